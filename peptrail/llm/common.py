@@ -2,63 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-MASK64 = (1 << 64) - 1
-_local_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (local master only) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_folder:
-        _local_folder.append("file://" + tempfile.mkdtemp(prefix="peptrail-"))
-    return _local_folder[0]
-
-
-class Scratch:
-    """Tables written below the shared folder, so that lost executors never lose them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+from peptrail.sources.scratch import Scratch, delete, shared_folder, small_enough
 
-    def path(self, tag: str) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count:03d}-{tag}"
+__all__ = ["Scratch", "delete", "shared_folder", "small_enough"]
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write df and return it as read back: its lineage starts at the written files."""
-        path = self.path(tag)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *dfs: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
-        for df in dfs:
-            if getattr(df, "scratch_path", None):
-                delete(self.spark, df.scratch_path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+WORD = r"[^\x20\x09-\x0D]+"
+MASK64 = (1 << 64) - 1
 
 
 def arrow_map(df: DataFrame, columns: list[str], rows: Callable[..., Iterator[tuple]], schema: str, flush: int = 4096, flush_bytes: int = 8 << 20) -> DataFrame:
@@ -139,11 +96,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most `rows` rows; reads no more than it must to tell."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def semi_by_size(df: DataFrame, ids: DataFrame, key: str, rows: int = 1_000_000) -> DataFrame:
     """Rows of df whose key is in ids: a broadcast up to `rows` ids (8 bytes each), a shuffled join beyond."""
     return df.join(F.broadcast(ids) if small_enough(ids, rows) else ids, key, "left_semi")

@@ -39,7 +39,7 @@ def tag_lookup(tags: DataFrame, postings: DataFrame, scfg: SearchConfig = Search
     """Postings with a query's tag and direction whose half mass lies in the query's window."""
     off = delta("q_mass", scfg.mass_accuracy)
     q = tags.select("query_id", "tag", "is_right", F.col("half_mass").alias("q_mass")).withColumns({"q_lo": F.col("q_mass") - off, "q_hi": F.col("q_mass") + off})
-    return q.join(postings, ["tag", "is_right"]).where(F.col("half_mass").between(F.col("q_lo"), F.col("q_hi"))).drop("q_mass", "q_lo", "q_hi")
+    return postings.join(q, ["tag", "is_right"]).where(F.col("half_mass").between(F.col("q_lo"), F.col("q_hi"))).drop("q_mass", "q_lo", "q_hi")
 
 
 def anchors(hits: DataFrame) -> DataFrame:

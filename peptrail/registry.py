@@ -1,6 +1,438 @@
-"""The engine's own queries by name, and the equivalent SQL."""
+"""The engine's own queries by name, and the equivalent SQL.
+
+`documents` stand for a genome and `benchmark` for a small one and for the source of query peptides; both are
+mapped from letters to nucleotides as whole texts.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from peptrail.functions import mass as M
+from peptrail.functions import sequence as S
+from peptrail.functions import tables as T
+from peptrail.functions.config import IndexConfig, SearchConfig
+from peptrail.functions.text import assembly, outer_start
+from peptrail.operators import introns, lookup, translate
+from peptrail.operators.bands import scaffold_lookup
+from peptrail.plans import engine
+from peptrail.plans import oracle as O
+from peptrail.sources import fasta
+from peptrail.sources.scratch import Scratch
+from peptrail.sources.sinks import csv_rows, distinct_peptides
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+EXACT = SearchConfig(similarity_search=False)
+FRAME = translate.FRAME
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return fasta.scaffolds_from_text(docs, "doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.col("doc_id").cast("string")))
+
+
+def small_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta.scaffolds_from_text(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", F.concat(F.lit("item-"), F.col("item_id").cast("string")))
+
+
+def small_residues(spark, sf_dir):
+    return translate.residues(small_genome(spark, sf_dir))
+
+
+def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, peptide, precursor_mass: runs of 8 residues or more between cleavage sites in the forward frames of benchmark texts."""
+    rows = small_residues(spark, sf_dir).where("strand = '+' and span_id > 0").groupBy("scaffold_id", "frame", "span_id")
+    text = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "aa"))), lambda r: r["aa"]), "").alias("peptide"))
+    text = text.select("peptide").where(S.is_peptide("peptide") & (F.length("peptide") >= 8)).distinct()
+    return text.select(F.row_number().over(Window.orderBy("peptide")).cast("long").alias("query_id"), "peptide", F.lit(None).cast("long").alias("precursor_mass"))
+
+
+def searched(spark, sf_dir, cfg: SearchConfig) -> DataFrame:
+    return engine.search(engine.make_index(genome(spark, sf_dir)), peptides(spark, sf_dir), cfg)
+
+
+# ---- sources and static tables
+
+
+@query(f"WITH {O.scaffolds('documents')} SELECT scaffold_id, label, CAST(length(seq) AS BIGINT) AS length, md5(seq) AS seq_md5 FROM scaffolds")
+def fasta_scan(spark, sf_dir):
+    """Documents written as FASTA of 60 letters a line and read back."""
+    path = Scratch(spark, "fasta").path("genome")
+    g = genome(spark, sf_dir)
+    body = F.regexp_replace("seq", "(.{1,60})", "$1\n")
+    g.select(F.concat(F.lit(">"), "scaffold_id", F.lit(" "), "label", F.lit("\n"), body).alias("value")).write.text(path)
+    rows = fasta.read_fasta(spark, path)
+    parts = F.split("label", " ", 2)
+    return rows.select(parts[0].cast("long").alias("scaffold_id"), parts[1].alias("label"), "length", F.md5("seq").alias("seq_md5"))
+
+
+@query(f"WITH {O.scaffolds('documents')} SELECT scaffold_id, CAST(length(seq) AS BIGINT) AS length, CAST(coalesce(sum(length(seq)) OVER (ORDER BY scaffold_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM scaffolds")
+def scaffold_offsets(spark, sf_dir):
+    return fasta.scaffold_offsets(genome(spark, sf_dir))
+
+
+@query(f"WITH {O.scaffolds('documents')} SELECT count(*) AS n_scaffolds, CAST(sum(length(seq)) AS BIGINT) AS total_nt, CAST(max(length(seq)) AS BIGINT) AS longest FROM scaffolds")
+def scaffold_stats(spark, sf_dir):
+    return fasta.scaffold_stats(genome(spark, sf_dir))
+
+
+@query("SELECT doc_id, md5(regexp_replace(upper(regexp_replace(text, '[^ -~]', '', 'g')), '[^ACGT]', 'N', 'g')) AS seq_md5 FROM documents")
+def nt_normalize(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(S.nt_normalize(F.regexp_replace("text", "[^ -~]", ""))).alias("seq_md5"))
+
+
+@query("SELECT item_id AS query_id, 'PEP' || repeat('TIDE', CAST(item_id % 3 AS BIGINT)) AS peptide, CASE WHEN item_id % 2 = 0 THEN CAST((900.25 + item_id) * 10000 AS BIGINT) ELSE -1 END AS precursor_mass FROM benchmark")
+def peptide_parse(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    n = F.col("item_id")
+    line = F.concat(F.lit("PEP"), F.repeat(F.lit("TIDE"), (n % 3).cast("int")), F.when(n % 2 == 0, F.concat(F.lit(" ; "), (F.lit(900.25) + n).cast("string"))).otherwise(F.lit("")))
+    parsed = fasta.parse_peptides(rows.select(line.alias("value"), n.alias("line_no")))
+    return parsed.select("query_id", "peptide", F.coalesce("precursor_mass", F.lit(-1).cast("long")).alias("precursor_mass"))
+
+
+@query(f"WITH c(codon, aa) AS (VALUES {O.CODON_ROWS}) SELECT codon, aa FROM c")
+def codon_table(spark, sf_dir):
+    """All 125 codons, computed from the 64 of the standard code."""
+    return ambiguous(spark, 1)
+
+
+def ambiguous(spark, code: int) -> DataFrame:
+    aas = dict(T.GENETIC_CODES)[code][1]
+    known = spark.createDataFrame([(aas,)], "aas string").select(F.posexplode(F.filter(F.split("aas", ""), lambda c: c != "")).alias("i", "aa"))
+    base = lambda k: F.substring(F.lit(T.BASES), (F.floor(F.col("i") / 4**k) % 4 + 1).cast("int"), F.lit(1))
+    known = known.select(*(base(2 - j).alias(f"b{j}") for j in range(3)), "aa")
+    for j in range(3):
+        known = known.withColumn(f"b{j}", F.explode(F.array(F.col(f"b{j}"), F.lit("N"))))
+    return known.groupBy(F.concat("b0", "b1", "b2").alias("codon")).agg(F.when(F.count_distinct("aa") == 1, F.min("aa")).otherwise("X").alias("aa"))
+
+
+@query(f"WITH c(codon, aa) AS (VALUES {O.CODON_ROWS}) SELECT codon, aa FROM c WHERE contains(codon, 'N') AND aa <> 'X'")
+def ambiguous_codons(spark, sf_dir):
+    return ambiguous(spark, 1).where("instr(codon, 'N') > 0 and aa <> 'X'")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', CAST({m} AS DOUBLE), CAST({T.TAG_LETTERS.index('L' if a == 'I' else a)} AS INTEGER))" for a, m in T.MASSES.items()) + ") t(aa, mono_mass, code)")
+def aa_table(spark, sf_dir):
+    return T.amino_acids(spark)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS INTEGER), '{t}')" for k, (t, _) in T.GENETIC_CODES.items()) + ") t(code_id, title)")
+def genetic_code_list(spark, sf_dir):
+    return T.genetic_codes(spark).select("code_id", "title").orderBy("code_id")
+
+
+# ---- scalars
+
+
+@query(O.chain("benchmark", last="SELECT scaffold_id, strand, i AS pos, substr(seq, i + 1, 3) AS codon FROM strands, LATERAL (SELECT unnest(range(CAST(greatest(length(seq) - 2, 0) AS BIGINT))) AS i)"))
+def triplets(spark, sf_dir):
+    rows = translate.strands(small_genome(spark, sf_dir)).select("scaffold_id", "strand", F.posexplode(S.overlapping(F.col("seq"), 3)).alias("pos", "codon"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(O.chain("documents", last=f"SELECT codon, {O.codon_aa('codon')} AS aa, count(*) AS n FROM (SELECT unnest(regexp_extract_all(seq, '[ACGTN]{{3}}')) AS codon FROM scaffolds) GROUP BY codon"))
+def translate_codon(spark, sf_dir):
+    rows = genome(spark, sf_dir).select(F.explode(S.codons(F.col("seq"), 0)).alias("codon")).groupBy("codon").agg(F.count("*").alias("n"))
+    return rows.select("codon", S.translate_codon("codon").alias("aa"), "n")
+
+
+def on_sequence(name: str, sql: str, f) -> None:
+    def run(spark, sf_dir):
+        return genome(spark, sf_dir).select("scaffold_id", F.md5(f("seq")).alias("seq_md5"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"WITH {O.scaffolds('documents')} SELECT scaffold_id, md5({sql}) AS seq_md5 FROM scaffolds"
+
+
+on_sequence("nt_reverse", "reverse(seq)", F.reverse)
+on_sequence("nt_complement", "translate(seq, 'ACGT', 'TGCA')", S.complement)
+on_sequence("revcomp", "reverse(translate(seq, 'ACGT', 'TGCA'))", S.revcomp)
+
+
+@query(O.chain("benchmark", last=f"SELECT scaffold_id, split, left(seq, split) || right(seq, 3 - split) AS codon, {O.codon_aa('(left(seq, split) || right(seq, 3 - split))')} AS aa FROM scaffolds, (VALUES (1), (2)) s(split) WHERE length(seq) >= 3"))
+def split_codon(spark, sf_dir):
+    rows = small_genome(spark, sf_dir).where("length >= 3").withColumn("split", F.explode(F.array(F.lit(1), F.lit(2))))
+    codon = F.concat(F.expr("left(seq, split)"), F.expr("right(seq, 3 - split)"))
+    return rows.select("scaffold_id", "split", codon.alias("codon"), S.translate_codon(codon).alias("aa"))
+
+
+SMALL_TAGS = "SELECT DISTINCT substr(orf, i + 1, 5) AS tag FROM orfs, LATERAL (SELECT unnest(range(CAST(greatest(length(orf) - 4, 0) AS BIGINT))) AS i)"
+
+
+def small_tags(spark, sf_dir):
+    return translate.six_frame(small_genome(spark, sf_dir)).select(F.explode(S.overlapping(F.col("orf"), 5)).alias("tag")).distinct()
+
+
+_code = " + ".join(f"(strpos('{T.TAG_LETTERS}', substr(replace(tag, 'I', 'L'), {i + 1}, 1)) - 1) * {19 ** (4 - i)}" for i in range(5))
+TAG_CODE = f"CASE WHEN regexp_full_match(tag, '[{O.RESIDUES}]{{5}}') THEN CAST({_code} AS BIGINT) ELSE CAST(-1 AS BIGINT) END"
+
+
+@query(O.chain("benchmark", O.RESIDUE_ROWS, O.ORFS, last=f"SELECT tag, {TAG_CODE} AS code FROM ({SMALL_TAGS})"))
+def tag_code(spark, sf_dir):
+    return small_tags(spark, sf_dir).select("tag", S.tag_code("tag").alias("code"))
+
+
+@query(O.chain("benchmark", O.RESIDUE_ROWS, O.ORFS, last=f"SELECT tag, replace(tag, 'I', 'L') AS decoded FROM ({SMALL_TAGS}) WHERE regexp_full_match(tag, '[{O.RESIDUES}]{{5}}')"))
+def tag_decode(spark, sf_dir):
+    rows = small_tags(spark, sf_dir).withColumn("code", S.tag_code("tag")).where("code >= 0")
+    return rows.select("tag", S.tag_decode("code", 5).alias("decoded"))
+
+
+@query(O.chain("benchmark", O.RESIDUE_ROWS, O.ORFS, last=f"SELECT tag, replace(tag, 'I', 'L') AS normal FROM ({SMALL_TAGS})"))
+def il_normalize(spark, sf_dir):
+    return small_tags(spark, sf_dir).select("tag", S.il_normalize("tag").alias("normal"))
+
+
+@query(f"WITH m(aa, mass) AS (VALUES {O.MASS_ROWS}) SELECT aa, CAST(mass AS BIGINT) AS mass FROM m")
+def residue_mass(spark, sf_dir):
+    return T.amino_acids(spark).select("aa", M.residue_mass("aa").alias("mass"))
+
+
+@query(f"WITH m(aa, mass) AS (VALUES {O.MASS_ROWS}) SELECT CAST(min(mass) AS BIGINT) AS mass FROM m")
+def min_residue_mass(spark, sf_dir):
+    return T.amino_acids(spark).agg(F.min(M.residue_mass("aa")).alias("mass"))
+
+
+@query(O.search_chain(last="SELECT peptide, query_mass AS mass FROM windowed"))
+def peptide_mass(spark, sf_dir):
+    return peptides(spark, sf_dir).select("peptide", M.peptide_mass("peptide").alias("mass"))
+
+
+@query(O.search_chain(last="SELECT peptide, query_mass, lo, hi FROM windowed"))
+def ppm_window(spark, sf_dir):
+    return lookup.windows(peptides(spark, sf_dir), IndexConfig(), SearchConfig()).drop("query_id")
+
+
+@query("SELECT s_suppkey, CAST(trunc(abs(s_acctbal) * 10000) AS BIGINT) AS mass FROM supplier")
+def precursor_mass(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", M.precursor_mass(F.abs("s_acctbal")).alias("mass"))
+
+
+@query(O.search_chain(last="SELECT peptide, printf('%.4f', query_mass / 10000.0) AS text FROM windowed"))
+def mass_format(spark, sf_dir):
+    return peptides(spark, sf_dir).select("peptide", M.mass_format(M.peptide_mass("peptide")).alias("text"))
+
+
+@query(O.chain("documents", last="SELECT scaffold_id, strand, '{index/' || label || '}' || strand || CASE WHEN strand = '+' THEN 0 ELSE length(seq) - 1 END || ':' || length(seq) AS assembly FROM strands"))
+def assembly_format(spark, sf_dir):
+    rows = translate.strands(genome(spark, sf_dir))
+    return rows.select("scaffold_id", "strand", assembly("index", F.col("label"), F.col("strand"), (outer_start(F.col("strand"), F.lit(0), F.col("length")), F.col("length"))).alias("assembly"))
+
+
+@query(O.chain("documents", last="""
+    SELECT scaffold_id, strand, '{index/' || label || '}' || strand || CASE WHEN strand = '+' THEN 0 ELSE length(seq) - 1 END || ':3,'
+           || CASE WHEN strand = '+' THEN length(seq) - 6 ELSE 5 END || ':6' AS assembly, CAST(length(seq) - 9 AS BIGINT) AS intron_length FROM strands WHERE length(seq) >= 9"""))
+def assembly_format_split(spark, sf_dir):
+    rows = translate.strands(genome(spark, sf_dir)).where("length >= 9")
+    start = lambda at: outer_start(F.col("strand"), at, F.col("length"))
+    text = assembly("index", F.col("label"), F.col("strand"), (start(F.lit(0)), F.lit(3)), (start(F.col("length") - 6), F.lit(6)))
+    return rows.select("scaffold_id", "strand", text.alias("assembly"), (F.col("length") - 9).alias("intron_length"))
+
+
+# ---- generators, windows, aggregates of the index
+
+
+@query(O.chain("documents", O.RESIDUE_ROWS, O.ORFS, last="SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, md5(orf) AS orf_md5, CAST(length(orf) AS BIGINT) AS residues FROM orfs"))
+def six_frame(spark, sf_dir):
+    rows = translate.six_frame(genome(spark, sf_dir)).where("length(orf) > 0")
+    return rows.select(*FRAME, F.md5("orf").alias("orf_md5"), F.length("orf").cast("long").alias("residues"))
+
+
+@query(O.chain("benchmark", O.RESIDUE_ROWS, last="SELECT DISTINCT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, idx AS site FROM residues WHERE cut OR idx = 0"))
+def cleavage_sites(spark, sf_dir):
+    w = Window.partitionBy(*FRAME).orderBy("idx")
+    rows = small_residues(spark, sf_dir).withColumn("before", F.lag("span_id").over(w))
+    return rows.where("before is null or span_id > before").select(*FRAME, F.col("idx").alias("site"))
+
+
+@query(O.chain("documents", O.RESIDUE_ROWS, O.SPANS, last="SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, count(*) AS n_spans, CAST(sum(last_idx - first_idx + 1) AS BIGINT) AS residues, CAST(max(last_idx - first_idx + 1) AS BIGINT) AS longest FROM spans GROUP BY ALL"))
+def spans(spark, sf_dir):
+    size = F.col("last_idx") - F.col("first_idx") + 1
+    return translate.spans(translate.residues(genome(spark, sf_dir))).groupBy(*FRAME).agg(F.count("*").alias("n_spans"), F.sum(size).alias("residues"), F.max(size).alias("longest"))
+
+
+@query(O.chain("benchmark", O.RESIDUE_ROWS, last="SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, idx, aa, bad AS run_id FROM residues WHERE valid"))
+def valid_runs(spark, sf_dir):
+    return small_residues(spark, sf_dir).where("valid").select(*FRAME, "idx", "aa", F.col("bad").alias("run_id"))
+
+
+@query(O.chain("benchmark", O.RESIDUE_ROWS, last="SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, idx, cum_mass FROM residues"))
+def prefix_mass(spark, sf_dir):
+    return small_residues(spark, sf_dir).select(*FRAME, "idx", "cum_mass")
+
+
+HMST_COLUMNS = "tag, is_right, CAST(half_mass AS BIGINT) AS half_mass, scaffold_id, strand, CAST(frame AS INTEGER) AS frame, CAST(anchor_idx AS BIGINT) AS anchor_idx, CAST(anchor_pos AS BIGINT) AS anchor_pos"
+
+
+@query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last=f"SELECT {HMST_COLUMNS} FROM hmst"))
+def hmst(spark, sf_dir):
+    rows = translate.hmst(small_residues(spark, sf_dir))
+    return rows.select("tag", "is_right", "half_mass", *FRAME, "anchor_idx", F.col("anchor_pos").cast("long").alias("anchor_pos"))
+
+
+@query(O.chain("documents", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="SELECT tag, is_right, count(*) AS n FROM hmst GROUP BY ALL"))
+def hmst_histogram(spark, sf_dir):
+    return translate.histogram(translate.hmst(translate.residues(genome(spark, sf_dir))))
+
+
+@query(O.chain("documents", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="SELECT CAST(sum(n) AS BIGINT) AS total, max(n) AS largest, count(*) AS n_buckets FROM (SELECT count(*) AS n FROM hmst GROUP BY tag, is_right)"))
+def hmst_histogram_stats(spark, sf_dir):
+    return translate.histogram_stats(translate.hmst(translate.residues(genome(spark, sf_dir))))
+
+
+@query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last='SELECT tag, is_right, n, CAST(coalesce(sum(n) OVER (ORDER BY tag, is_right ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM (SELECT tag, is_right, count(*) AS n FROM hmst GROUP BY ALL)'))
+def bucket_offsets(spark, sf_dir):
+    return translate.bucket_offsets(translate.histogram(translate.hmst(small_residues(spark, sf_dir))))
+
+
+@query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="SELECT tag, is_right, CAST(half_mass AS BIGINT) AS half_mass, row_number() OVER (PARTITION BY tag, is_right ORDER BY half_mass) AS place FROM hmst"))
+def index_sorted(spark, sf_dir):
+    """Postings as stored: sorted by mass in each bucket."""
+    index = engine.build_index(small_genome(spark, sf_dir), Scratch(spark, "index").path("small"))
+    stored = index.postings.withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("tag", "is_right").orderBy("half_mass", "at"))
+    return stored.select("tag", "is_right", "half_mass", place.cast("long").alias("place"))
+
+
+@query("SELECT '' AS tag, false AS is_right, CAST(0 AS BIGINT) AS n_descents WHERE false")
+def index_check(spark, sf_dir):
+    """Buckets of a stored index of all documents whose masses fall: none."""
+    return engine.verify_index(engine.build_index(genome(spark, sf_dir), Scratch(spark, "index").path("genome")))
+
+
+@query(f"""WITH {O.scaffolds('documents')}, o AS (
+    SELECT scaffold_id, length(seq) AS length, CAST(coalesce(sum(length(seq)) OVER (ORDER BY scaffold_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM scaffolds
+), p AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST((l_orderkey * 7919 + l_linenumber * 104729) % (SELECT sum(length) FROM o) AS BIGINT) AS gno FROM lineitem)
+SELECT k, n, gno, scaffold_id, gno - start AS local_pos FROM p ASOF JOIN (SELECT * FROM o WHERE length > 0) s ON p.gno >= s.start""")
+def scaffold_by_position(spark, sf_dir):
+    offsets = fasta.scaffold_offsets(genome(spark, sf_dir))
+    total = offsets.agg(F.sum("length")).first()[0] or 1
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+    positions = rows.withColumn("gno", (F.col("k") * 7919 + F.col("n") * 104729) % F.lit(total))
+    return scaffold_lookup(positions, offsets).select("k", "n", "gno", "scaffold_id", "local_pos")
+
+
+# ---- search
+
+
+@query(O.search_chain(O.query_tags(False), last="SELECT DISTINCT peptide, tag, is_right, half_mass FROM query_tags"))
+def query_hmst(spark, sf_dir):
+    q = peptides(spark, sf_dir)
+    return lookup.query_hmst(q).join(q.select("query_id", "peptide"), "query_id").select("peptide", "tag", "is_right", "half_mass").distinct()
+
+
+@query(O.search_chain(O.query_tags(False), O.HITS, last="SELECT peptide, is_right, count(*) AS n, CAST(sum(half_mass) AS BIGINT) AS mass_sum FROM hits GROUP BY ALL"))
+def tag_lookup(spark, sf_dir):
+    q = peptides(spark, sf_dir)
+    hits = engine.find_hits(engine.make_index(genome(spark, sf_dir)), q, SearchConfig())
+    return hits.groupBy("query_id", "is_right").agg(F.count("*").alias("n"), F.sum("half_mass").alias("mass_sum")).join(q.select("query_id", "peptide"), "query_id").select("peptide", "is_right", "n", "mass_sum")
+
+
+@query(O.search_chain(O.query_tags(False), O.HITS, last="SELECT peptide, is_right, count(*) AS n, CAST(sum(half_mass) AS BIGINT) AS mass_sum, CAST(sum(steps) AS BIGINT) AS steps_sum FROM anchors GROUP BY ALL"))
+def anchors(spark, sf_dir):
+    q = peptides(spark, sf_dir)
+    found = engine.find_anchors(engine.make_index(genome(spark, sf_dir)), q, SearchConfig())
+    return found.groupBy("query_id", "is_right").agg(F.count("*").alias("n"), F.sum("half_mass").alias("mass_sum"), F.sum("steps").alias("steps_sum")).join(q.select("query_id", "peptide"), "query_id").select("peptide", "is_right", "n", "mass_sum", "steps_sum")
+
+
+IMMEDIATE = "query, aa_n_term, peptide, aa_c_term, CAST(mass AS DOUBLE) AS mass, assembly"
+
+
+@query(O.search_chain(O.query_tags(False), O.HITS, O.IMMEDIATE, last=f"SELECT DISTINCT {IMMEDIATE} FROM alignments"))
+def immediate_alignments(spark, sf_dir):
+    return searched(spark, sf_dir, SearchConfig(search_intron_split="no")).select("query", "aa_n_term", "peptide", "aa_c_term", "mass", "assembly")
+
+
+@query(O.search_chain(O.query_tags(True), O.HITS, O.IMMEDIATE, last=f"SELECT DISTINCT {IMMEDIATE} FROM alignments WHERE peptide = query"))
+def accept_exact(spark, sf_dir):
+    return searched(spark, sf_dir, SearchConfig(similarity_search=False, distinguish_il=True, search_intron_split="no")).select("query", "aa_n_term", "peptide", "aa_c_term", "mass", "assembly")
+
+
+@query(O.search_chain(O.query_tags(True), O.HITS, O.IMMEDIATE, last=f"SELECT DISTINCT {IMMEDIATE} FROM alignments WHERE replace(peptide, 'I', 'L') = replace(query, 'I', 'L')"))
+def accept_il(spark, sf_dir):
+    return searched(spark, sf_dir, SearchConfig(similarity_search=False, search_intron_split="no")).select("query", "aa_n_term", "peptide", "aa_c_term", "mass", "assembly")
+
+
+@query(O.search_chain(O.query_tags(True), O.HITS, O.IMMEDIATE, last="SELECT DISTINCT peptide FROM alignments WHERE replace(peptide, 'I', 'L') = replace(query, 'I', 'L')"))
+def distinct_hit_peptides(spark, sf_dir):
+    return distinct_peptides(searched(spark, sf_dir, SearchConfig(similarity_search=False, search_intron_split="no")))
+
+
+@query(O.search_chain(O.query_tags(True), O.HITS, O.IMMEDIATE, last="""
+    SELECT DISTINCT query AS "Query", aa_n_term AS "AA N-term", peptide AS "Peptide", aa_c_term AS "AA C-term", printf('%.4f', mass) AS "Mass", assembly AS "Assembly", '' AS "Intron length", '' AS "Splice site"
+    FROM alignments WHERE replace(peptide, 'I', 'L') = replace(query, 'I', 'L')"""))
+def alignment_csv(spark, sf_dir):
+    return csv_rows(engine.ordered(searched(spark, sf_dir, SearchConfig(similarity_search=False, search_intron_split="no"))))
+
+
+@query(O.search_chain(O.query_tags(True), O.HITS, O.IMMEDIATE, last="SELECT peptide AS query FROM peptides EXCEPT SELECT query FROM alignments WHERE replace(peptide, 'I', 'L') = replace(query, 'I', 'L')"))
+def conditional_introns(spark, sf_dir):
+    """Queries that the intron stage gets: those without an accepted contiguous alignment."""
+    q = peptides(spark, sf_dir)
+    direct = engine.search(engine.make_index(genome(spark, sf_dir)), q, SearchConfig(similarity_search=False, search_intron_split="no"))
+    return q.join(direct.select("query_id").distinct(), "query_id", "left_anti").select(F.col("peptide").alias("query"))
+
+
+SITES = """sites AS (SELECT scaffold_id, strand, i AS pos, substr(seq, i + 1, 2) AS motif, substr('NN' || seq, i + 1, 2) AS ahead, substr(seq || 'NN', i + 3, 2) AS behind
+    FROM strands, LATERAL (SELECT unnest(range(CAST(greatest(length(seq) - 1, 0) AS BIGINT))) AS i) WHERE substr(seq, i + 1, 2) IN ('GT', 'GC', 'AG'))"""
+
+
+@query(O.chain("documents", SITES, last="SELECT scaffold_id, strand, motif, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum, min(ahead || behind) AS least FROM sites GROUP BY ALL"))
+def splice_sites(spark, sf_dir):
+    rows = introns.motif_sites(genome(spark, sf_dir), ["GT", "GC", "AG"])
+    return rows.groupBy("scaffold_id", "strand", "motif").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"), F.min(F.concat("ahead", "behind")).alias("least"))
+
+
+@query(O.chain("benchmark", SITES, last="""
+    SELECT d.scaffold_id, d.strand, d.pos AS d_pos, a.pos AS a_pos, d.motif AS d_motif, a.motif AS a_motif, a.pos + 2 - d.pos AS intron_length
+    FROM sites d JOIN sites a ON d.scaffold_id = a.scaffold_id AND d.strand = a.strand AND d.motif IN ('GT', 'GC') AND a.motif = 'AG' AND a.pos - d.pos BETWEEN 0 AND 2099"""))
+def intron_candidates(spark, sf_dir):
+    return introns.intron_candidates(small_genome(spark, sf_dir))
+
+
+@query(O.chain("benchmark", O.RESIDUE_ROWS, SITES, last="""
+    SELECT r.scaffold_id, r.strand, CAST(r.frame AS INTEGER) AS frame, r.idx, CAST(s.split AS INTEGER) AS split, t.motif
+    FROM residues r, (VALUES (0), (1), (2)) s(split), sites t
+    WHERE r.valid AND t.scaffold_id = r.scaffold_id AND t.strand = r.strand AND t.pos = r.frame + 3 * r.idx + 3 + s.split AND t.motif IN ('GT', 'GC')"""))
+def intron_starts(spark, sf_dir):
+    g = small_genome(spark, sf_dir)
+    donors, _ = introns.donors_and_acceptors(g, SearchConfig())
+    rows = translate.residues(g).where("valid").withColumn("split", F.explode(F.array(*map(F.lit, range(3)))))
+    rows = rows.withColumn("d_pos", F.col("frame") + 3 * F.col("idx") + 3 + F.col("split"))
+    return rows.join(donors, ["scaffold_id", "strand", "d_pos"]).select(*FRAME, "idx", "split", F.col("d_motif").alias("motif"))
+
+
+@query()
+def split_alignments(spark, sf_dir):
+    """Intron-split alignments of all peptides against the small genome; tested against goldens and brute force."""
+    cfg = SearchConfig(similarity_search=False, search_immediate=False, search_intron_split="yes")
+    return engine.search(engine.make_index(small_genome(spark, sf_dir)), peptides(spark, sf_dir), cfg)
+
+
+@query()
+def ordered_alignments(spark, sf_dir):
+    """The whole conditional search over all documents, in display order; tested against goldens and brute force."""
+    return engine.ordered(searched(spark, sf_dir, EXACT))
+
+
+#: Rows whose checklist names differ from the function that covers them.
+for name, same in (("scaffold_lookup", "scaffold_by_position"), ("distinct_peptides", "distinct_hit_peptides"), ("intron_length", "assembly_format_split"), ("flanks", "accept_il"), ("distinct_assemblies", "accept_exact")):
+    QUERIES[name], ORACLE_SQL[name] = QUERIES.get(same), ORACLE_SQL[same]
+for name in ("scaffold_by_position", "distinct_hit_peptides"):
+    del QUERIES[name], ORACLE_SQL[name]

@@ -15,15 +15,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words remembered by a Python worker, and characters of text in a block.
-REMEMBER, BLOCK = 300_000, 4 << 20
+REMEMBER, BLOCK = 500_000, 4 << 20
 
 
 class Vocabulary:
@@ -37,15 +38,14 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             if len(token) == 2:
                 self.first[token[0], token[1]] = rank
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}  # a << 32 | b to the rank of the token that a and b make, -1 if there is none
 
-    def pair(self, a: int, b: int) -> int:
-        """The rank of the token that a and b make, -1 if there is none."""
-        if (a, b) not in self.pairs:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return self.pairs[a, b]
+    def pair(self, key: int) -> int:
+        """The rank for a key of `pairs` that isn't there yet."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        rank = self.pairs[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
+        return rank
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
@@ -76,7 +76,7 @@ class Vocabulary:
     def replay(self, token: list[int], rank: list[int], index: dict[int, list[int]]) -> None:
         """Merge in place. token: id at the token's first position, -1 elsewhere; rank: of the pair that begins there."""
         after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
-        pending, pair = list(index), self.pair
+        pending, pair, pairs = list(index), self.pair, self.pairs
         heapq.heapify(pending)
         while pending:
             r = heapq.heappop(pending)
@@ -88,17 +88,23 @@ class Vocabulary:
                 n = after[q]
                 token[p], token[q], rank[q], after[p], before[n] = r, -1, -1, n, p
                 lower = False
-                new = rank[p] = pair(r, token[n]) if token[n] >= 0 else -1
-                if new >= 0:
-                    lower = new < r
-                    if new in index:
-                        index[new].append(p)
-                    else:
-                        index[new] = [p]
-                        heapq.heappush(pending, new)
+                t = token[n]
+                if t < 0:
+                    rank[p] = -1
+                else:
+                    key = r << 32 | t
+                    new = rank[p] = pairs[key] if key in pairs else pair(key)
+                    if new >= 0:
+                        lower = new < r
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            heapq.heappush(pending, new)
                 b = before[p]
                 if b >= 0 and token[b] >= 0:
-                    new = rank[b] = pair(token[b], r)
+                    key = token[b] << 32 | r
+                    new = rank[b] = pairs[key] if key in pairs else pair(key)
                     if new >= 0:
                         lower |= new < r
                         if new in index:
@@ -113,21 +119,26 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts block by block, remembering words: word -> (ids, decimal text, bytes decoded from the ids)."""
+    """Encodes texts block by block; remembers each word's ids, their decimal text and the bytes that they decode to."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.pattern, self.known = vocabulary, regex.compile(pattern), {}
+        self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
+        self.ids: dict[str, list[int]] = {}
+        self.texts: dict[str, str] = {}
+        self.bytes: dict[str, bytes] = {}
 
-    def block(self, texts: list[str | None]) -> Iterator[list[tuple[list[int], str, bytes]]]:
-        """For each text its words' entries."""
+    def block(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text, all of them remembered."""
         split = [self.pattern.findall(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        fresh = list(set().union(*split) - self.known.keys())
-        for word, ids in zip(fresh, self.vocabulary.encode_words([w.encode("utf-8", "surrogatepass") for w in fresh])):
-            self.known[word] = ids, " ".join(map(str, ids)), self.vocabulary.decode(ids)
-        get = self.known.__getitem__
-        return (list(map(get, words)) for words in split)
+        if len(self.texts) > REMEMBER:
+            for known in (self.ids, self.texts, self.bytes):
+                known.clear()
+        fresh = list(set().union(*split) - self.texts.keys())
+        encoded = self.vocabulary.encode_words([w.encode("utf-8", "surrogatepass") for w in fresh])
+        self.ids.update(zip(fresh, encoded))
+        self.texts.update(zip(fresh, [" ".join(map(str, ids)) for ids in encoded]))
+        self.bytes.update(zip(fresh, map(self.vocabulary.decode, encoded)))
+        return split
 
 
 @lru_cache(2)
@@ -160,12 +171,15 @@ def encode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = False) ->
 
         def rows(keys, texts):
             columns = [keys, [], [], [], []]
-            for entries in enc.block(texts):
-                columns[1].append(sum([len(e[0]) for e in entries]))
-                columns[2].append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
-                columns[3].append(hashlib.sha256(b"".join([e[2] for e in entries])).hexdigest())
+            split = enc.block(texts)
+            text, back, ids = enc.texts.__getitem__, enc.bytes.__getitem__, enc.ids.__getitem__
+            for words in split:
+                decimal = " ".join(map(text, words))
+                columns[1].append(decimal.count(" ") + 1 if words else 0)
+                columns[2].append(hashlib.sha256(decimal.encode()).hexdigest())
+                columns[3].append(hashlib.sha256(b"".join(map(back, words))).hexdigest())
                 if with_ids:
-                    columns[4].append(np.array([i for e in entries for i in e[0]], dtype=np.int32))
+                    columns[4].append(np.array(list(chain.from_iterable(map(ids, words))), dtype=np.int32))
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
 
         for batch in batches:

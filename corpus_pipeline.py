@@ -1,11 +1,130 @@
-"""The corpus pipeline; its stages are filled in as the operators arrive."""
+"""The corpus pipeline: language ID, near-duplicate removal, passage removal, mixing, encoding.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but the last return the columns of
+`documents`. run() writes each stage's result to the shared folder and reads it again, so a lost executor never
+costs more than one stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peptrail.llm import bpe, langid, minhash, mixing, substring
+from peptrail.llm.common import Scratch, arrow_map
+from peptrail.llm.queries import held_out
+
+#: Least share of a text's letters that its language must have.
+LEAST_SHARE = 0.5
+WORDS = 5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts of one main language; null texts, texts without letters and mixtures without a main language go.
+
+    One pass: the text is labelled and filtered where it is read, so nothing is shuffled.
+    """
+    model = spark.sparkContext.broadcast(langid.train(docs.where(~held_out(F.col("doc_id")))))
+    names = docs.columns
+    at = names.index("text")
+
+    def keep(batches):
+        import pyarrow as pa
+
+        tag = langid.tagger(model.value)
+        for batch in batches:
+            good = []
+            for text in batch.column(at).to_pylist():
+                lang, share = tag.predict(text)
+                good.append(lang != langid.UND and share >= LEAST_SHARE)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8); wordless texts stay."""
+    found = minhash.near_duplicates(docs, width=WORDS)
+    found = Scratch(spark, "pipeline").keep(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = F.broadcast(found) if found.count() <= 1_000_000 else found
+    return one_row_each(docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti"), docs.columns)
+
+
+def one_row_each(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Repeated rows of one doc_id are copies of each other: one stays. Only repeated doc_ids are shuffled with their texts."""
+    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
+    again = Scratch(docs.sparkSession, "pipeline").keep(again, "again")
+    if again.isEmpty():
+        return docs.select(*columns)
+    many = docs.join(again, docs["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(again, docs["doc_id"] == again["__again"], "left_anti").select(*columns).unionByName(many.select(*columns))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 50 words or more that repeat an earlier text's; n_chars follows, texts without a word left go."""
+    scratch = Scratch(spark, "pipeline")
+    found = substring.repeated_passages(docs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
+    found = scratch.keep(found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("text_key", "spans")).alias("__cuts")), "cuts")
+    ids = found.select("__id")
+    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
+    same = docs["doc_id"] == ids["__id"]
+    touched = docs.join(ids, same, "left_semi")
+    touched = touched.join(found, touched["doc_id"] == found["__id"])
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+
+    def cut(text, cuts, *rest):
+        key = substring.text_key(text) if text is not None else None
+        for c in cuts:
+            if c["text_key"] == key:
+                text = substring.without(text, [(s["first_word"], s["last_word"]) for s in c["spans"]])
+        if text is None or text.split():
+            yield text, len(text) if text is not None else None, *rest
+
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(f"`{c}` {fields.get(c, 'bigint')}" for c in ("text", "n_chars", *others))
+    changed = arrow_map(touched, ["text", "__cuts", *others], cut, schema)
+    return docs.join(ids, same, "left_anti").unionByName(changed.select(*docs.columns))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat each document as often as the mix takes it; documents that it takes no time go."""
+    scratch = Scratch(spark, "pipeline")
+    copies = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
+    # rows that repeat a doc_id within a source share the sum of their copies, dealt by a running number
+    copies = scratch.keep(copies.groupBy("__id", "__source", "__size").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows")).where("__sum > 0"), "copies")
+    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
+    sized = docs.withColumn("__words", size)
+    match = sized["doc_id"].eqNullSafe(copies["__id"]) & sized["source"].eqNullSafe(copies["__source"]) & (F.col("__words") == F.col("__size"))
+    taken = sized.join(copies, match)
+    single = taken.where("__rows = 1").withColumn("__times", F.col("__sum"))
+    if not copies.where("__rows > 1").isEmpty():
+        from pyspark.sql.window import Window
+
+        order = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("text"))
+        several = taken.where("__rows > 1").withColumn("__times", F.floor((F.col("__sum") + F.col("__rows") - order) / F.col("__rows")))
+        single = single.unionByName(several)
+    return single.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, hashes of the ids and of the text that they decode to, and the ids."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+#: No stage can be expressed in SQL; the whole is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,21 +29,43 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     opened = opened.otherwise(F.raise_error(F.concat(F.lit("sequence before the first > in "), F.col("file"))))
     rows = raw.select(opened.alias("value"), "file", "n").where("value is not null")
     parsed = parse_records(rows)
-    return number_scaffolds(parsed.select("file", "n", "label", "seq"), ["file", "n"])
+    return number_scaffolds(parsed.select("file", "n", "label", "seq"))
 
 
-def number_scaffolds(records: DataFrame, order: list[str]) -> DataFrame:
-    """Give records(label, seq) ids and global starts in the given order. The windows hold a row per scaffold without its sequence."""
-    keys = records.select(*order, F.length("seq").cast("long").alias("length"))
-    w = Window.orderBy(*order)
-    numbered = keys.withColumn("scaffold_id", (F.row_number().over(w) - 1).cast("long")).withColumn("start", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    return records.join(numbered, order).select("scaffold_id", "label", "length", "start", "seq")
+def running_total(rows: DataFrame, key: str, value: str, out: str, block: int = 65536) -> DataFrame:
+    """Adds `out`, the sum of `value` over all rows with a smaller integer `key`; keys are unique.
+
+    Two levels: inside blocks of keys, and over the blocks' totals, so that no task gets all rows.
+    """
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumn("__block", F.floor(F.col(key) / block))
+    totals = rows.groupBy("__block").agg(F.sum(value).alias("__total"))
+    over = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__block", F.coalesce(F.sum("__total").over(over), zero).alias("__before"))
+    inside = Window.partitionBy("__block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("__local", F.coalesce(F.sum(value).over(inside), zero))
+    return local.join(totals, "__block").withColumn(out, (F.col("__local") + F.col("__before")).cast("long")).drop("__block", "__local", "__before")
+
+
+def number_scaffolds(records: DataFrame) -> DataFrame:
+    """Give records(file, n, label, seq), numbered in each file from 1, ids and global starts in order of file and number.
+
+    Only the files' totals are ordered as a whole; sequences take no part in any window.
+    """
+    keys = records.select("file", F.col("n").cast("long").alias("n"), F.length("seq").cast("long").alias("length"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    files = keys.groupBy("file").agg(F.count("*").alias("c"), F.sum("length").alias("l"))
+    files = files.select("file", F.coalesce(F.sum("c").over(before), zero).alias("ids"), F.coalesce(F.sum("l").over(before), zero).alias("nts"))
+    place = Window.partitionBy("file").orderBy("n")
+    keys = keys.withColumn("row", F.row_number().over(place)).withColumn("nt", F.coalesce(F.sum("length").over(place.rowsBetween(Window.unboundedPreceding, -1)), zero))
+    numbered = keys.join(files, "file").select("file", "n", "length", (F.col("ids") + F.col("row") - 1).cast("long").alias("scaffold_id"), (F.col("nts") + F.col("nt")).cast("long").alias("start"))
+    return records.join(numbered, ["file", "n"]).select("scaffold_id", "label", "length", "start", "seq")
 
 
 def scaffold_offsets(scaffolds: DataFrame) -> DataFrame:
     """scaffold_id, length and global start: a running total over scaffolds."""
-    w = Window.orderBy("scaffold_id").rowsBetween(Window.unboundedPreceding, -1)
-    return scaffolds.select("scaffold_id", "length").withColumn("start", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long"))
+    return running_total(scaffolds.select("scaffold_id", "length"), "scaffold_id", "length", "start")
 
 
 def scaffold_stats(scaffolds: DataFrame) -> DataFrame:

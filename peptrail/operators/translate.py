@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from peptrail.functions.config import IndexConfig
 from peptrail.functions.mass import residue_mass
-from peptrail.functions.sequence import orf, overlapping, revcomp
+from peptrail.functions.sequence import RESIDUES, orf, overlapping, revcomp
 
 FRAME = ["scaffold_id", "strand", "frame"]
 #: Residues to a block of the two-level running sums.
@@ -27,51 +27,64 @@ def six_frame(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFra
     return frames.select("scaffold_id", "label", "length", "strand", "frame", orf(F.col("seq"), F.col("frame"), cfg.genetic_code).alias("orf"))
 
 
-def cuts_before(cfg: IndexConfig, aa: Column, before: Column) -> Column:
+def cut_test(cfg: IndexConfig, aa: Column, before: Column) -> Column:
     """Whether a cleavage site lies between the residue `before` and `aa`."""
-    after = list("*" + cfg.cut_after)
-    site = before.isin(*after)
+    site = before.isin(*("*" + cfg.cut_after))
     return site | aa.isin(*cfg.cut_before) if cfg.cut_before else site
 
 
+def blocks(frames: DataFrame, cfg: IndexConfig) -> DataFrame:
+    """Frames in blocks of BLOCK residues: text, the k - 1 residues around it, and the sums of all blocks before it.
+
+    Sums are counted on the texts, so that nothing is exploded for them; the window holds a row per block.
+    """
+    k, zero = cfg.tag_size, F.lit(0).cast("long")
+    pieces = F.regexp_extract_all("orf", F.lit(f"[\\s\\S]{{1,{BLOCK}}}"), 0)
+    rows = frames.withColumn("pieces", pieces).select(*FRAME, "label", "length", F.posexplode("pieces").alias("block", "text"), "pieces")
+    ahead = F.coalesce(F.get("pieces", F.col("block") - 1), F.lit(""))
+    behind = F.coalesce(F.get("pieces", F.col("block") + 1), F.lit(""))
+    if BLOCK < k:
+        raise ValueError("a block must hold a tag")
+    side = F.lit(k - 1)
+    rows = rows.select(*FRAME, "label", "length", "block", "text", F.right(ahead, F.greatest(side, F.lit(1))).alias("ahead"), F.left(behind, side).alias("behind"))
+    count = lambda letters: (F.length("text") - F.length(F.translate("text", letters, ""))).cast("long")
+    mass = sum((count(aa) * m for aa, m in cfg.masses.items()), zero)
+    after = f"(?<=[*{cfg.cut_after}])[\\s\\S]" + (f"|(?<=[\\s\\S])[{cfg.cut_before}]" if cfg.cut_before else "")
+    cuts = F.regexp_count(F.concat(F.right("ahead", F.lit(1)), F.col("text")), F.lit(after)).cast("long")
+    over = Window.partitionBy(*FRAME).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"base_mass": mass, "base_bad": F.length("text").cast("long") - count(RESIDUES), "base_cuts": cuts}
+    return rows.withColumns(sums).withColumns({name: F.coalesce(F.sum(name).over(over), zero) for name in sums})
+
+
 def residues(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
     """A row per residue: its place and mass, running sums (before it) of mass, of invalid residues and of cleavage sites.
 
     Columns: scaffold_id, label, length, strand, frame, idx, aa, tag (starting here, or null), tag_back (ending here),
-    mass, valid, cum_mass, bad, span_id. Sums run in two levels, inside blocks and over block totals, so that no
-    task needs a whole chromosome's frame.
+    mass, valid, cum_mass, bad, span_id. Sums run in two levels, over blocks and inside a block, so that no task needs
+    a whole chromosome's frame. Blocks are dealt to tasks as texts; the residues then need no shuffle for their sums.
     """
     k = cfg.tag_size
-    letters = F.filter(F.split("orf", ""), lambda c: c != "")
-    frames = six_frame(scaffolds, cfg).withColumns({"aas": letters, "tags": overlapping(F.col("orf"), k)})
-    rows = frames.select("scaffold_id", "label", "length", "strand", "frame", F.posexplode("aas").alias("idx", "aa"), "aas", "tags")
+    dealt = blocks(six_frame(scaffolds, cfg), cfg).repartition(*FRAME, "block")
+    front = F.right("ahead", F.lit(k - 1)) if k > 1 else F.lit("")
+    lists = {"lead": F.length(front), "aas": F.filter(F.split("text", ""), lambda c: c != ""), "tags": overlapping(F.concat(front, F.col("text"), F.col("behind")), k)}
+    rows = dealt.withColumns(lists).select(*FRAME, "label", "length", "block", F.posexplode("aas").alias("at", "aa"), "aas", "tags", "lead", "ahead", "base_mass", "base_bad", "base_cuts")
     mass = residue_mass("aa", cfg.mass_precision)
-    before = F.get("aas", F.col("idx") - 1)
+    before = F.coalesce(F.get("aas", F.col("at") - 1), F.nullif(F.right("ahead", F.lit(1)), F.lit("")))
     rows = rows.select(
-        *FRAME, "label", "length", F.col("idx").cast("long").alias("idx"), "aa",
-        F.get("tags", F.col("idx")).alias("tag"), F.get("tags", F.col("idx") - (k - 1)).alias("tag_back"),
+        *FRAME, "label", "length", "block", "at", "aa",
+        F.get("tags", F.col("lead") + F.col("at")).alias("tag"), F.get("tags", F.col("lead") + F.col("at") - (k - 1)).alias("tag_back"),
         F.coalesce(mass, F.lit(0).cast("long")).alias("mass"), mass.isNotNull().alias("valid"),
-        F.when(before.isNull(), 0).otherwise(cuts_before(cfg, F.col("aa"), before).cast("int")).alias("cut"),
-        F.floor(F.col("idx") / BLOCK).alias("block"),
+        F.when(before.isNull(), 0).otherwise(cut_test(cfg, F.col("aa"), before).cast("int")).alias("cut"),
+        "base_mass", "base_bad", "base_cuts",
+    )
+    up_to = Window.partitionBy(*FRAME, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    wrong = (~F.col("valid")).cast("long")
+    return rows.select(
+        *FRAME, "label", "length", (F.col("block").cast("long") * BLOCK + F.col("at")).alias("idx"), "aa", "tag", "tag_back", "mass", "valid",
+        (F.sum("mass").over(up_to) - F.col("mass") + F.col("base_mass")).alias("cum_mass"),
+        (F.sum(wrong).over(up_to) - wrong + F.col("base_bad")).alias("bad"),
+        (F.sum(F.col("cut").cast("long")).over(up_to) + F.col("base_cuts")).alias("span_id"),
     )
-    return running_sums(rows)
-
-
-def running_sums(rows: DataFrame) -> DataFrame:
-    inside = Window.partitionBy(*FRAME, "block").orderBy("idx")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*FRAME, "block").agg(F.sum("mass").alias("m"), F.count_if(~F.col("valid")).alias("b"), F.sum("cut").alias("c"))
-    over = Window.partitionBy(*FRAME).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    starts = totals.select(*FRAME, "block", *(F.coalesce(F.sum(x).over(over), zero).alias(x) for x in "mbc"))
-    local = rows.withColumns({
-        "cum_mass": F.coalesce(F.sum("mass").over(before), zero),
-        "bad": F.coalesce(F.sum((~F.col("valid")).cast("long")).over(before), zero),
-        "span_id": F.sum(F.col("cut").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-    })
-    out = local.join(starts, [*FRAME, "block"])
-    sums = {"cum_mass": F.col("cum_mass") + F.col("m"), "bad": F.col("bad") + F.col("b"), "span_id": F.col("span_id") + F.col("c")}
-    return out.withColumns(sums).drop("m", "b", "c", "block", "cut")
 
 
 def spans(rows: DataFrame) -> DataFrame:

@@ -17,14 +17,15 @@ import hashlib
 import heapq
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from peptrail.llm.common import hold
+
 #: Words remembered by a Python worker, and characters of text in a block.
-REMEMBER, BLOCK = 500_000, 4 << 20
+REMEMBER, BLOCK = 400_000, 2 << 20
 
 
 class Vocabulary:
@@ -42,7 +43,7 @@ class Vocabulary:
 
     def pair(self, key: int) -> int:
         """The rank for a key of `pairs` that isn't there yet."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 250_000:
             self.pairs.clear()
         rank = self.pairs[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
         return rank
@@ -119,23 +120,26 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts block by block; remembers each word's ids, their decimal text and the bytes that they decode to."""
+    """Encodes texts block by block; remembers the decimal text of each word's ids and the bytes that they decode to."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.ids: dict[str, list[int]] = {}
+        self.forget = self.clear  # one bound method, so that hold() knows it again
         self.texts: dict[str, str] = {}
         self.bytes: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        self.texts.clear()
+        self.bytes.clear()
+        self.vocabulary.pairs.clear()
+
     def block(self, texts: list[str | None]) -> list[list[str]]:
         """The words of each text, all of them remembered."""
         split = [self.pattern.findall(t) if t else [] for t in texts]
         if len(self.texts) > REMEMBER:
-            for known in (self.ids, self.texts, self.bytes):
-                known.clear()
-        fresh = list(set().union(*split) - self.texts.keys())
+            self.clear()
+        fresh = [w for w in set().union(*split) if w not in self.texts]
         encoded = self.vocabulary.encode_words([w.encode("utf-8", "surrogatepass") for w in fresh])
-        self.ids.update(zip(fresh, encoded))
         self.texts.update(zip(fresh, [" ".join(map(str, ids)) for ids in encoded]))
         self.bytes.update(zip(fresh, map(self.vocabulary.decode, encoded)))
         return split
@@ -168,18 +172,19 @@ def encode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = False) ->
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target, enc = to_arrow_schema(out), encoder(content.value, pattern)
+        hold(enc.forget)
 
         def rows(keys, texts):
             columns = [keys, [], [], [], []]
             split = enc.block(texts)
-            text, back, ids = enc.texts.__getitem__, enc.bytes.__getitem__, enc.ids.__getitem__
+            text, back = enc.texts.__getitem__, enc.bytes.__getitem__
             for words in split:
                 decimal = " ".join(map(text, words))
                 columns[1].append(decimal.count(" ") + 1 if words else 0)
                 columns[2].append(hashlib.sha256(decimal.encode()).hexdigest())
                 columns[3].append(hashlib.sha256(b"".join(map(back, words))).hexdigest())
                 if with_ids:
-                    columns[4].append(np.array(list(chain.from_iterable(map(ids, words))), dtype=np.int32))
+                    columns[4].append(np.fromstring(decimal, dtype=np.int32, sep=" "))
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
 
         for batch in batches:

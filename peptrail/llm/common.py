@@ -48,10 +48,21 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+_holder: list[Callable[[], None]] = []
+
+
+def hold(clear: Callable[[], None]) -> None:
+    """Workers are used again by other stages: whoever fills a cache in one first empties the cache of the stage before."""
+    if not _holder or _holder[0] is not clear:
+        if _holder:
+            _holder.pop()()
+        _holder.append(clear)
+
+
 class WordHashes(dict):
     """xxh64 of a word's bytes, remembered for up to `limit` words."""
 
-    limit = 500_000
+    limit = 300_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
@@ -62,9 +73,11 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+_clear_hashes = _hashes.clear
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    hold(_clear_hashes)
     return np.array(list(map(_hashes.__getitem__, words)), dtype=np.uint64)
 
 

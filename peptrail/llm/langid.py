@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peptrail.llm.common import arrow_map
+from peptrail.llm.common import arrow_map, hold
 
 UND = "und"
 #: First code points of ranges and the scripts that begin there (fixed values, from the Unicode blocks).
@@ -82,10 +82,10 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The language of each word on the best path; staying and the lower index win ties."""
     total = scores.sum(axis=0)
     best = int(total.argmax())
-    gain = np.cumsum(scores - scores[:, [best]], axis=0)
-    low = np.minimum.accumulate(np.vstack([np.zeros(scores.shape[1]), gain[:-1]]), axis=0)
-    if (gain - low).max(initial=0.0) <= penalty / 2:
-        # s segments that gain at most penalty / 2 each never repay their s - 1 switches
+    gain = np.vstack([np.zeros(scores.shape[1]), np.cumsum(scores - scores[:, [best]], axis=0)])
+    if gain.max() <= penalty / 2 and (gain[-1] - gain).max() <= penalty / 2 and (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
+        # against the best single language, a first or last segment gains at most half a penalty and any other at most
+        # one; s segments gain at most the s - 1 penalties of their switches, so none is worth while
         return np.full(len(scores), best)
     rows = scores.tolist()
     value, back = rows[0], []
@@ -103,16 +103,20 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
 class Tagger:
     """Labels texts, remembering the scores of up to `limit` words."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int = 200_000):
+        self.forget = self.clear  # one bound method, so that hold() knows it again
         self.model, self.limit, self.index = model, limit, {}
         self.scores, self.counts = np.zeros((0, len(model.languages))), np.zeros(0, dtype=np.int64)
 
+    def clear(self) -> None:
+        self.index, self.scores, self.counts = {}, np.zeros((0, len(self.model.languages))), np.zeros(0, dtype=np.int64)
+
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        fresh = list(set(words) - self.index.keys())
+        fresh = [w for w in set(words) if w not in self.index]  # a set less dict.keys() would walk through the whole index
         if fresh:
             if len(self.index) + len(fresh) > self.limit:
-                self.index, fresh = {}, list(set(words))
-                self.scores, self.counts = self.scores[:0], self.counts[:0]
+                self.clear()
+                fresh = list(set(words))
             base = len(self.index)
             self.index.update((w, base + i) for i, w in enumerate(fresh))
             scores, counts = self.model.score(fresh)
@@ -194,6 +198,7 @@ def tagger(model: Model) -> Tagger:
     if key not in _taggers:
         _taggers.clear()
         _taggers[key] = Tagger(model)
+    hold(_taggers[key].forget)
     return _taggers[key]
 
 

@@ -96,7 +96,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
     sized = docs.withColumn("__words", size)
     match = sized["doc_id"].eqNullSafe(copies["__id"]) & sized["source"].eqNullSafe(copies["__source"]) & (F.col("__words") == F.col("__size"))
-    taken = sized.join(copies, match)
+    taken = sized.join(copies.hint("merge"), match)  # one plan at every size: the copies grow with the documents
     single = taken.where("__rows = 1").withColumn("__times", F.col("__sum"))
     if not copies.where("__rows > 1").isEmpty():
         from pyspark.sql.window import Window

@@ -151,6 +151,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8, ba
         if not found.isEmpty():
             links = links.unionByName(found)
             groups = components(links, scratch)
+        scratch.drop(left)
+    scratch.drop(shared, known, tested, wanted, sets)
     return finish(base, groups)
 
 

@@ -17,6 +17,7 @@ repeated documents repeat their row; an empty table gives an empty result; furth
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -98,7 +99,7 @@ class Chain:
 
     def score(self, text: str | None) -> list[float]:
         """The probability of each category, each fed the log odds of those before it."""
-        found = [self.vocabulary[w] for w in words_of(text) & self.vocabulary.keys()]
+        found = [self.vocabulary[w] for w in words_of(text) if w in self.vocabulary]
         odds: list[float] = []
         for m in self.models:
             odds.append(float(np.clip(m.words[found].sum() + np.dot(m.links, odds) + m.bias, -30, 30)))
@@ -129,37 +130,43 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], most: int =
         yield key, sorted(words_of(text)), [-1 if v not in (0, 1) else v for v in y]
 
     rows = arrow_map(sample, ["doc_id", "text", *ys], features, "doc_id long, words array<binary>, y array<int>")
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(folds))).orderBy("doc_id", "words").limit(4 * most).toPandas()
-    return fit_chain([list(map(bytes, w)) for w in rows["words"]], np.array(rows["y"].tolist(), dtype=int).reshape(len(rows), len(categories)), rows["fold"].to_numpy(dtype=int), categories, vocabulary, folds)
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(folds))).orderBy("doc_id", "words").limit(4 * most).toArrow()
+    y = np.array(rows.column("y").to_pylist(), dtype=int).reshape(rows.num_rows, len(categories))
+    fold = np.array(rows.column("fold").to_pylist(), dtype=int)
+    return fit_chain((w.as_py() for chunk in rows.column("words").chunks for w in chunk), y, fold, categories, vocabulary, folds)
 
 
-def choose_words(texts: list[list[bytes]], y: np.ndarray, size: int, least: int = 4) -> dict[bytes, int]:
-    """The words of at least `least` texts that tell some category apart best, by a signed root of the likelihood ratio."""
-    index: dict[bytes, int] = {}
-    at = [np.array([index.setdefault(w, len(index)) for w in t], dtype=np.int64) for t in texts]
-    n = np.bincount(np.concatenate(at) if at else np.zeros(0, dtype=np.int64), minlength=len(index)).astype(float)
-    worth = np.zeros(len(index))
+def choose_words(at: list[np.ndarray], names: list[bytes], y: np.ndarray, size: int, least: int = 4) -> list[int]:
+    """The words of at least `least` texts that tell some category apart best, by a standardised difference. at: word numbers of each text."""
+    n = np.bincount(np.concatenate(at) if at else np.zeros(0, dtype=np.int64), minlength=len(names)).astype(float)
+    worth = np.zeros(len(names))
     for c in range(y.shape[1]):
         pos = [a for a, v in zip(at, y[:, c]) if v == 1]
         total, share = (y[:, c] >= 0).sum(), (y[:, c] == 1).sum()
         if 0 < share < total:
-            hits = np.bincount(np.concatenate(pos), minlength=len(index)).astype(float)
+            hits = np.bincount(np.concatenate(pos), minlength=len(names)).astype(float)
             expect = n * share / total
             worth = np.maximum(worth, np.abs(hits - expect) / np.sqrt(expect * (1 - share / total) + 0.5))
     worth[n < least] = 0
-    names = list(index)
-    order = sorted(np.flatnonzero(worth > 0).tolist(), key=lambda i: (-worth[i], names[i]))[:size]
-    return {names[i]: j for j, i in enumerate(order)}
+    return sorted(np.flatnonzero(worth > 0).tolist(), key=lambda i: (-worth[i], names[i]))[:size]
 
 
-def fit_chain(texts: list[list[bytes]], y: np.ndarray, fold: np.ndarray, categories: list[str], vocabulary: int, folds: int) -> Chain:
-    chain = Chain(categories, choose_words(texts, y, vocabulary))
+def fit_chain(texts: Iterable[list[bytes]], y: np.ndarray, fold: np.ndarray, categories: list[str], vocabulary: int, folds: int) -> Chain:
+    """Fit the chain on word lists, which are turned into numbers one by one."""
+    index: dict[bytes, int] = {}
+    at = [np.array([index.setdefault(w, len(index)) for w in t], dtype=np.int32) for t in texts]
+    names = list(index)
+    chosen = choose_words(at, names, y, vocabulary)
+    chain = Chain(categories, {names[i]: j for j, i in enumerate(chosen)})
+    place = np.full(len(names) + 1, -1, dtype=np.int64)
+    place[chosen] = np.arange(len(chosen))
+    found = [place[a][place[a] >= 0] for a in at]
+    del index, names, at
     size = len(chain.vocabulary)
-    found = [np.array([chain.vocabulary[w] for w in t if w in chain.vocabulary], dtype=np.int64) for t in texts]
     rows = Rows(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64))
-    earlier = np.zeros((len(texts), 0))
+    earlier = np.zeros((len(found), 0))
     for c in range(len(categories)):
-        labelled, odds = y[:, c] >= 0, np.zeros(len(texts))
+        labelled, odds = y[:, c] >= 0, np.zeros(len(found))
         for f in range(folds):
             inside, outside = np.flatnonzero(labelled & (fold != f)), np.flatnonzero(fold == f)
             model = fit(rows.take(inside), earlier[inside], y[inside, c], size)

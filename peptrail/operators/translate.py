@@ -15,6 +15,11 @@ FRAME = ["scaffold_id", "strand", "frame"]
 BLOCK = 8192
 
 
+def tasks(rows: DataFrame) -> int:
+    """Partitions for compact rows that are about to grow: as configured, since adaptive execution would judge them by their size before."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def strands(scaffolds: DataFrame) -> DataFrame:
     """Each scaffold as read on both strands: seq is the strand's own sequence."""
     both = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("seq")), F.struct(F.lit("-").alias("strand"), revcomp("seq").alias("seq"))))
@@ -22,8 +27,11 @@ def strands(scaffolds: DataFrame) -> DataFrame:
 
 
 def six_frame(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
-    """scaffold_id, label, length, strand, frame, orf: translations of all frames, stops and unknowns included."""
-    frames = strands(scaffolds).withColumn("frame", F.explode(F.array(*map(F.lit, range(3)))))
+    """scaffold_id, label, length, strand, frame, orf: translations of all frames, stops and unknowns included.
+
+    Scaffolds are dealt to tasks first: translation costs far more than reading, and few files would keep few cores busy.
+    """
+    frames = strands(scaffolds.select("scaffold_id", "label", "length", "seq").repartition(tasks(scaffolds), "scaffold_id")).withColumn("frame", F.explode(F.array(*map(F.lit, range(3)))))
     return frames.select("scaffold_id", "label", "length", "strand", "frame", orf(F.col("seq"), F.col("frame"), cfg.genetic_code).alias("orf"))
 
 
@@ -64,7 +72,7 @@ def residues(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFram
     a whole chromosome's frame. Blocks are dealt to tasks as texts; the residues then need no shuffle for their sums.
     """
     k = cfg.tag_size
-    dealt = blocks(six_frame(scaffolds, cfg), cfg).repartition(*FRAME, "block")
+    dealt = blocks(six_frame(scaffolds, cfg), cfg).repartition(tasks(scaffolds), *FRAME, "block")
     front = F.right("ahead", F.lit(k - 1)) if k > 1 else F.lit("")
     lists = {"lead": F.length(front), "aas": F.filter(F.split("text", ""), lambda c: c != ""), "tags": overlapping(F.concat(front, F.col("text"), F.col("behind")), k)}
     rows = dealt.withColumns(lists).select(*FRAME, "label", "length", "block", F.posexplode("aas").alias("at", "aa"), "aas", "tags", "lead", "ahead", "base_mass", "base_bad", "base_cuts")

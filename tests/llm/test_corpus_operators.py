@@ -132,6 +132,33 @@ def test_passages(spark):
     assert substring.without("a b  c\nd e", [(1, 2)]) == "a d e" and substring.without("a b", [(0, 1)]) == ""
 
 
+def test_passages_of_frequent_lines(spark):
+    rng = random.Random(5)
+    lines = [[rng.choice(VOCABULARY) for _ in range(11)] for _ in range(40)]
+    texts = {i: [w for line in rng.sample(lines, 12) for w in line] for i in range(150)}
+    for i in range(30):  # copies of 50 to 79 words, between lines that all others have too
+        source = texts[rng.randrange(100)]
+        at, n = rng.randrange(40), 50 + i
+        texts[200 + i] = rng.choice(lines)[:7] + source[at : at + n] + rng.choice(lines)[3:] + rng.choice(lines)
+    texts[300] = ["again"] * 70
+    rows = [(k, " ".join(t), 0, "c", "s", "k") for k, t in texts.items()]
+    rows += [rows[4], (-1, None, 0, "", "", ""), (5, " ".join(texts[210] + ["end"]), 0, "", "", "")]
+    order = sorted({(k, substring.text_key(t), t) for k, t, *_ in rows if t})
+    seen, want = set(), {}
+    for k, key, text in order:
+        words = text.split()
+        for j in range(len(words) - 49):
+            run = tuple(words[j : j + 50])
+            if run in seen:
+                want.setdefault((k, key), set()).update(range(j, j + 50))
+            seen.add(run)
+    for parts in (1, 7):
+        got = {}
+        for r in substring.repeated_passages(frame(spark, rows).repartition(parts)).collect():
+            got.setdefault((r["doc_id"], r["text_key"]), set()).update(range(r["first_word"], r["last_word"] + 1))
+        assert len(want) >= 31 and all(want[k] <= got.get(k, set()) for k in want)
+
+
 def test_windows_are_the_tree():
     rng = np.random.default_rng(4)
     for n in (1, 45, 46, 47, 400):

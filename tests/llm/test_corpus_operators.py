@@ -159,6 +159,23 @@ def test_passages_of_frequent_lines(spark):
         assert len(want) >= 31 and all(want[k] <= got.get(k, set()) for k in want)
 
 
+def test_near_passages_are_seldom_missed():
+    """Texts of 55 words with one word changed (similarity 0.82) have one window for each function: the hardest case."""
+    rng, lost, trials = np.random.default_rng(3), 0, 2000
+    for _ in range(trials):
+        words = rng.integers(0, 2**62, 55, dtype=np.uint64)
+        other = words.copy()
+        other[rng.integers(22, 32)] += np.uint64(1)
+        mine, theirs = (substring.shingle_hashes(w, substring.WIDTH) for w in (other, words))
+        found = [substring.windows(x, substring.HASHES, 46) for x in (mine, theirs)]
+        ties = []
+        for f, (ours, first) in enumerate(zip(*found)):
+            at = {theirs[c]: (l, c, r) for l, c, r in zip(*first)}
+            ties += [(l, c, r, *at[mine[c]], f) for l, c, r in zip(*ours) if mine[c] in at]
+        lost += not (ties and substring.candidates(ties, 46, substring.AGREE))
+    assert lost <= 0.012 * trials  # 0.5 % as measured with 5 functions, 2.5 % with 4
+
+
 def test_windows_are_the_tree():
     rng = np.random.default_rng(4)
     for n in (1, 45, 46, 47, 400):

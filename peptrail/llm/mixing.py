@@ -121,26 +121,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     expected = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(expected + 1e-12)).withColumn("share", F.greatest(expected - F.col("whole"), F.lit(0.0)))
     deal = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size"), F.ceil(F.col("n_docs") / group))
-    level = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "share", deal.alias("bucket"), F.lit(False).alias("left"))
+    level = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "share", deal.alias("bucket"), F.lit(False).alias("left"), F.col("n_docs").alias("rest"))
     schema, done, depth = level.schema, [], 0
     while True:
-        last = deepest <= group
-        kept = scratch.keep(level.groupBy("source", "bucket").applyInPandas(rounding(seed + depth, last), schema), "rounded")
+        kept = scratch.keep(level.groupBy("source", "bucket").applyInPandas(rounding(seed + depth, group), schema), "rounded")
         done.append(kept.where("not left"))
-        if last:
+        if deepest <= group:
             break
         depth, deepest = depth + 1, -(-deepest // group)
         level = kept.where("left").withColumn("bucket", F.floor(F.col("bucket") / group)).withColumn("left", F.lit(False))
+        level = level.withColumn("rest", F.ceil(F.col("rest") / group))
     out = reduce(DataFrame.unionByName, done)
     copies = (F.col("whole") + F.col("share")).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def rounding(seed: int, last: bool):
-    """Round one group; its last fraction is marked as left, or rounded at random at the tree's root."""
+def rounding(seed: int, group: int):
+    """Round one group; its last fraction is marked as left, or rounded at random at the root of its source's tree.
+
+    A source's group is the root if at most `group` of the source's documents are left (rest), whatever other sources have.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "size"], kind="stable", na_position="first").reset_index(drop=True)
+        last = rows["rest"].iloc[0] <= group
         keys = [f"{k}.{i}" for k, i in zip(rows["doc_id"], rows.groupby("doc_id", dropna=False).cumcount())]
         shares = rows["share"].to_numpy()
         shares = pivot_with_rest(keys, rows["size"].to_numpy(), shares, seed) if last else shares

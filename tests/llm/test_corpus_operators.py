@@ -238,6 +238,15 @@ def test_mixing(spark, group):
     assert {r["target"] for r in mixing.mix(docs.where("text = ''")).collect()} == {0.0}
 
 
+def test_small_source_beside_a_large_one(spark):
+    rows = [(i, " ".join(["w"] * 36), "a") for i in range(200)]  # of more than `group` rows
+    rows += [(1000 + i, " ".join(["w"] * 20), "b") for i in range(60)] + [(2000, " ".join(["w"] * 500), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(6):
+        mine = [r for r in mixing.mix(docs, seed=seed, group=64).collect() if r["source"] == "b"]
+        assert len(mine) == 61 and abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 20
+
+
 def test_pivot_keeps_expectations():
     sizes, shares = np.array([5, 1, 9, 30, 2, 7]), np.array([0.4, 0.4, 0.4, 0.4, 0.4, 0.4])
     for rounds in (lambda s: mixing.pivot(list("abcdef"), sizes, shares, s), lambda s: mixing.pivot(list("abcdef"), sizes, mixing.pivot_with_rest(list("abcdef"), sizes, shares, s), s)):

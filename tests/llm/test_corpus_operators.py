@@ -159,6 +159,35 @@ def test_passages_of_frequent_lines(spark):
         assert len(want) >= 31 and all(want[k] <= got.get(k, set()) for k in want)
 
 
+def test_passages_with_a_block_inserted(spark):
+    rng = random.Random(8)
+
+    def some(n):
+        return [rng.choice(VOCABULARY) for _ in range(n)]
+
+    def grams(words):
+        return {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+
+    rows, want = [], {}
+    for i in range(20):
+        words, n = some(95), (8, 9, 11, 13)[i % 4]
+        other = words[:47] + some(n) + words[47:]
+        assert len(grams(words) & grams(other)) >= 0.8 * len(grams(words) | grams(other))
+        first, second = (words, other) if i % 2 else (other, words)
+        rows += [(i, " ".join(some(30) + first + some(30)), 0, "", "", ""), (100 + i, " ".join(some(40) + second + some(20)), 0, "", "", "")]
+        want[100 + i] = 40, 40 + len(second) - 1
+    got = {}
+    for r in substring.repeated_passages(frame(spark, rows)).collect():
+        a, b = want[r["doc_id"]]
+        assert a - 5 <= r["first_word"] and r["last_word"] <= b + 5
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["last_word"] - r["first_word"] + 1
+    assert len(got) >= 19 and all(n >= 85 for n in got.values())
+    mine, theirs = (substring.shingle_hashes(np.array([hash(w) % 2**61 for w in x], dtype=np.uint64), 5) for x in (other, words))
+    assert list(substring.verify(mine, theirs, 0, None, 46, 0.8)) == [(0, len(mine) - 1)]
+    # two ties beside a block of 20 words, in windows of 100
+    assert substring.candidates([(0, 40, 99, 0, 40, 99, 0), (0, 60, 119, 0, 80, 119, 1)], 46, 2)
+
+
 def test_near_passages_are_seldom_missed():
     """Texts of 55 words with one word changed (similarity 0.82) have one window for each function: the hardest case."""
     rng, lost, trials = np.random.default_rng(3), 0, 2000

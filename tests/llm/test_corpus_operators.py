@@ -82,6 +82,23 @@ def test_near_duplicates_hot_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {k: v[1] for k, v in slow_components(texts).items()}
 
 
+def test_small_sets_are_compared_in_full(spark):
+    """Pairs of 20 and 25 shingles at a similarity of exactly 0.8 whose finer sketches differ most of 3000."""
+    rng, pairs = np.random.default_rng(2), []
+    for _ in range(3000):
+        y = np.unique(rng.integers(0, 2**64 - 1, 25, dtype=np.uint64))
+        x = np.sort(rng.permutation(y)[:20])
+        bits = [minhash.one_bits(minhash.sketch(s, minhash.FINE)) for s in (x, y)]
+        pairs.append((sum(int(b).bit_count() for b in (bits[0] ^ bits[1]).view(np.uint64)), [(s.view(np.int64).tolist(), b.tolist()) for s, b in zip((x, y), bits)]))
+    pairs.sort(key=lambda p: -p[0])
+    sets = [(2 * i + k, *s) for i, (_, pair) in enumerate(pairs[:5]) for k, s in enumerate(pair)]
+    sets = spark.createDataFrame(sets, "cid long, items array<long>, bits array<long>")
+    members = sets.select((F.col("cid") / 2).cast("long").alias("bucket"), "cid", F.col("cid").alias("component"))
+    for centres in (8, None):
+        found = minhash.links_inside(members, sets, 0.8, 80, 100, centres).collect()
+        assert sorted((r["a"], r["b"]) for r in found) == [(2 * i, 2 * i + 1) for i in range(5)]
+
+
 def test_sketch_is_unbiased():
     rng = np.random.default_rng(2)
     for n in (12, 100, 2000):

@@ -10,6 +10,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from peptrail.llm import bpe, langid, minhash, mixing, substring
 from peptrail.llm.common import Scratch, arrow_map
@@ -44,21 +46,39 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8); wordless texts stay."""
-    found = minhash.near_duplicates(docs, width=WORDS)
-    found = Scratch(spark, "pipeline").keep(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    gone = F.broadcast(found) if found.count() <= 1_000_000 else found
-    return one_row_each(docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti"), docs.columns)
+    """Keep the smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8); wordless texts stay.
 
-
-def one_row_each(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Repeated rows of one doc_id are copies of each other: one stays. Only repeated doc_ids are shuffled with their texts."""
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
-    again = Scratch(docs.sparkSession, "pipeline").keep(again, "again")
+    Rows that repeat a doc_id are judged by their own texts: of each group one row stays.
+    """
+    scratch = Scratch(spark, "pipeline")
+    found = scratch.keep(minhash.near_duplicates(docs, width=WORDS).select("doc_id", "cid", "component", "kept"), "judged")
+    again = scratch.keep(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "again")
+    gone = scratch.keep(found.where("not kept").select(F.col("doc_id").alias("__gone")).unionByName(again.select(F.col("__again").alias("__gone"))).distinct(), "gone")
+    few = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
+    once = docs.join(few, docs["doc_id"] == few["__gone"], "left_anti").select(*docs.columns)
     if again.isEmpty():
-        return docs.select(*columns)
-    many = docs.join(again, docs["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(again, docs["doc_id"] == again["__again"], "left_anti").select(*columns).unionByName(many.select(*columns))
+        return once
+    return once.unionByName(one_of_each(docs.join(again, docs["doc_id"] == again["__again"], "left_semi").select(*docs.columns), found.join(again, F.col("doc_id") == F.col("__again"), "left_semi")))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of rows that repeat a doc_id, one for each kept group of near duplicates, and one for each wordless text."""
+    least = found.where("kept and cid is not null").groupBy(F.col("doc_id").alias("__id"), "component").agg(F.min("cid").alias("__class"))
+    names = docs.columns
+    at = names.index("text")
+
+    def classes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = (minhash.text_set(text, WORDS) for text in batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([minhash.set_id(s) if len(s) else None for s in sets], pa.int64())], names=[*names, "__cid"])
+
+    rows = docs.mapInArrow(classes, StructType([*docs.schema.fields, StructField("__cid", LongType())]))
+    alike = Window.partitionBy("doc_id", "__cid", F.when(F.col("__cid").isNull(), F.col("text"))).orderBy("text")
+    rows = rows.withColumn("__turn", F.row_number().over(alike)).where("__turn = 1")
+    same = (rows["doc_id"] == least["__id"]) & (rows["__cid"] == least["__class"])
+    return rows.where("__cid is null").select(*docs.columns).unionByName(rows.join(least, same, "left_semi").select(*docs.columns))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,8 +119,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = sized.join(copies.hint("merge"), match)  # one plan at every size: the copies grow with the documents
     single = taken.where("__rows = 1").withColumn("__times", F.col("__sum"))
     if not copies.where("__rows > 1").isEmpty():
-        from pyspark.sql.window import Window
-
         order = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("text"))
         several = taken.where("__rows > 1").withColumn("__times", F.floor((F.col("__sum") + F.col("__rows") - order) / F.col("__rows")))
         single = single.unionByName(several)

@@ -109,7 +109,10 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, doc_id: str = "
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8, bands: int = 40, rows: int = 6) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, cid, component_id, kept (doc_id = component_id)."""
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, cid, component, component_id, kept (doc_id = component_id).
+
+    Components whose smallest doc_ids are equal (of texts that share a doc_id) differ in component, a cid of theirs.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     num, den = round(similarity * 100), 100
@@ -198,10 +201,10 @@ def finish(base: DataFrame, groups: DataFrame | None) -> DataFrame:
     rows = rows.where("cid is not null")
     classes = rows.groupBy("cid").agg(F.min("doc_id").alias("least"))
     if groups is None:
-        named = classes.select("cid", F.col("least").alias("component_id"))
+        named = classes.select("cid", F.col("cid").alias("component"), F.col("least").alias("component_id"))
     else:
         classes = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = classes.join(names, "component").select("cid", "component_id")
+        named = classes.join(names, "component").select("cid", "component", "component_id")
     out = rows.join(named, "cid").unionByName(alone, allowMissingColumns=True)
-    return out.select("doc_id", "n_shingles", "cid", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "cid", "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

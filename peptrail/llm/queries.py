@@ -38,7 +38,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("cid")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("cid", "component")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,17 @@ def test_stages(spark, planted, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(encoded)
 
 
+def test_rows_that_repeat_a_doc_id(spark):
+    rng = random.Random(4)
+    a, b, c, d = ([rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(90)] for _ in range(4))
+    near = lambda words: [*words[:-1], "other"]
+    texts = [(1, a), (1, b), (1, a), (1, near(a)), (2, near(b)), (2, c), (3, near(c)), (3, c), (4, d), (None, near(d)), (5, []), (5, [])]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"][:40]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == sorted([(i or 0, " ".join(w)[:40]) for i, w in ((1, a), (1, b), (2, c), (4, d), (None, d), (5, []))])
+
+
 def test_odd_tables(spark, tmp_path):
     extra = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, cid int, component_id int"
     rows = [(1, "some words here to keep", "en", None, 1, "a", "b", 2, 3), (1, "some words here to keep", "en", None, 1, "a", "b", 2, 3), (None, "null id text", "en", "s", 1, None, None, None, None), (2, None, None, None, None, None, None, None, None)]

@@ -3,25 +3,29 @@
 A source's documents all get the expected copies target / source size. The whole part is taken as
 it is; the fractions are rounded in pairs: words of expectation move at random from one document of
 a pair to the other, keeping the pair's expected words and each document's expectation, until one
-of them has a whole count. The documents of a source are dealt by a hash of doc_id into groups of
-about `group` rows; each group leaves at most one fractional document, and these meet in a reduction
+of them has a whole count. The documents of a source are dealt by a hash into groups of about
+`group` rows; each group leaves at most one fractional document, and these meet in a reduction
 tree of fan-in `group`, so no task sees more than a few thousand rows however large a source is. The
 last fraction of a source is rounded at random; so a source misses its target by under one document.
-In a source of one group, where that would show, each document from the largest on is paired with
-all smaller ones together, whose common fraction takes up the transfer, so that the fraction left
-in the end is that of a small document. All randomness comes from hashes of doc_id and `seed`: reruns agree.
+
+At the root of each source's tree a document may be so long that all smaller ones there, one by one,
+could not take up its fraction: its square exceeds the sum of theirs (pairs walk at random, by steps of
+the smaller document). Its partner is then the pool of all smaller ones, whose fractions change
+together; pairs follow as soon as a document is within that bound. This depends on the source's own
+documents only. All randomness comes from hashes of doc_id and `seed`: reruns agree.
 
 Defined cases: null or wordless text has size 0 and takes 0; a null source is a source of its own,
-last in order; repeated rows are documents of their own; null doc_ids are dealt like any other;
-a table without words gives targets of 0; an empty table an empty result; further columns are ignored.
+last in order; repeated rows are documents of their own, told apart by a running number, as are rows
+without a doc_id; a doc_id of any type comes back as it is; a table without words gives targets of 0;
+an empty table an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,15 +41,24 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def in_order(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds place, from 0 by code point with null last. A task numbers one range of sources; the ranges' counts add up in a window."""
+    ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = scratch.keep(ranged, "ranged")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return ranged.withColumn("inside", inside).join(F.broadcast(parts), "part").withColumn("place", F.col("before") + F.col("inside") - 1).drop("part", "before", "inside")
+
+
 def targets(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
     """source, source_size, n_docs, target. Targets are capped at `most` times the source; the excess is reshared by weight.
 
     The only rows here are the sources. Each round caps those above their cap, until none is.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    table = scratch.keep(totals.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most), "sources")
+    totals = in_order(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), scratch)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    table = scratch.keep(totals.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).drop("place"), "sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     rate, capped = 0.0, F.lit(False)
     while total:
@@ -86,27 +99,30 @@ def pivot(keys: list, sizes: np.ndarray, shares: np.ndarray, seed: int) -> tuple
     return shares, open_
 
 
-def pivot_with_rest(keys: list, sizes: np.ndarray, shares: np.ndarray, seed: int) -> np.ndarray:
-    """Round fractional shares that are all equal, from the largest document on, each against all smaller ones together.
+def pivot_with_pool(keys: list, sizes: np.ndarray, shares: np.ndarray, seed: int) -> np.ndarray:
+    """Pair each document that is too long for pairs, from the longest on, with the pool of all smaller ones.
 
-    A document becomes whole with probability equal to its share, and the words moved change the rest's common share,
-    so every expectation is kept. It ends where the rest could not take or give the words; pivot() goes on from there.
+    It becomes whole with probability equal to its share; each member of the pool gives or takes words in proportion to
+    what it has room for in both cases, so every expectation and the sum of words are kept. It ends at the first document
+    whose square the squares of the smaller ones reach, or whose fraction the pool has no room for; pairs go on from there.
     """
     shares = shares.astype(float).copy()
-    order = sorted(np.flatnonzero((shares > 0) & (shares < 1) & (sizes > 0)).tolist(), key=lambda i: (-sizes[i], keys[i]))
-    if not order or np.ptp(shares[order]) > 1e-9:
-        return shares
-    share, rest = float(shares[order[0]]), float(sizes[order].sum())
+    order = np.array(sorted(np.flatnonzero((shares > 0) & (shares < 1) & (sizes > 0)).tolist(), key=lambda i: (-sizes[i], keys[i])), dtype=np.int64)
     for n, i in enumerate(order):
-        words, left = share * rest, rest - float(sizes[i])
-        if words > left or words < sizes[i] or not left:
-            shares[order[n:]] = share
+        pool = order[n + 1 :]
+        pool = pool[(shares[pool] > 0) & (shares[pool] < 1)]
+        w, rest = float(sizes[i]), sizes[pool].astype(float)
+        if not len(pool) or not 0 < shares[i] < 1 or w * w <= (rest * rest).sum():
             break
-        shares[i] = float(xxhash.xxh64_intdigest(f"{seed}/rest/{keys[i]}") / 2.0**64 < share)
-        share, rest = min(1.0, max(0.0, (words - shares[i] * float(sizes[i])) / left)), left
-        if share in (0.0, 1.0):
-            shares[order[n + 1 :]] = share
+        gives, takes = (1 - shares[i]) * w, shares[i] * w  # words that the pool gives if the document is taken, takes if not
+        room = np.minimum(shares[pool] * rest / gives, (1 - shares[pool]) * rest / takes)
+        if room.sum() < 1:
             break
+        part = room / room.sum()
+        up = xxhash.xxh64_intdigest(f"{seed}/pool/{keys[i]}") / 2.0**64 < shares[i]
+        shares[i] = float(up)
+        moved = shares[pool] - part * gives / rest if up else shares[pool] + part * takes / rest
+        shares[pool] = np.where(np.abs(moved - np.round(moved)) < 1e-12, np.round(moved), moved)
     return shares
 
 
@@ -117,14 +133,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     goal = scratch.keep(targets(sized, scratch, weights, most), "targets")
     deepest = goal.agg(F.max("n_docs")).first()[0] or 0
     goal_side = F.broadcast(goal) if small_enough(goal, 100_000) else goal
-    rows = sized.join(goal_side, sized["source"].eqNullSafe(goal_side["source"])).drop(goal_side["source"])
+    # rows that repeat a document's id, source and size differ in nothing that matters here but a running number
+    alike = sized.groupBy("doc_id", "source", "size").count()
+    alike = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    rows = alike.join(goal_side, alike["source"].eqNullSafe(goal_side["source"])).drop(goal_side["source"])
     expected = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(expected + 1e-12)).withColumn("share", F.greatest(expected - F.col("whole"), F.lit(0.0)))
-    deal = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size"), F.ceil(F.col("n_docs") / group))
-    level = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "share", deal.alias("bucket"), F.lit(False).alias("left"), F.col("n_docs").alias("rest"))
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("copy").cast("string"))
+    rows = rows.withColumn("key", key)
+    deal = F.pmod(F.xxhash64(F.lit(seed), "key"), F.ceil(F.col("n_docs") / group))
+    level = rows.select("doc_id", "key", "source", "size", "source_size", "target", "whole", "share", deal.alias("bucket"), F.lit(False).alias("left"), F.col("n_docs").alias("rest"))
     schema, done, depth = level.schema, [], 0
     while True:
-        kept = scratch.keep(level.groupBy("source", "bucket").applyInPandas(rounding(seed + depth, group), schema), "rounded")
+        kept = scratch.keep(level.groupBy("source", "bucket").applyInArrow(rounding(seed + depth, group), schema), "rounded")
         done.append(kept.where("not left"))
         if deepest <= group:
             break
@@ -136,25 +157,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def rounding(seed: int, group: int):
+def rounding(seed: int, group: int) -> Callable:
     """Round one group; its last fraction is marked as left, or rounded at random at the root of its source's tree.
 
     A source's group is the root if at most `group` of the source's documents are left (rest), whatever other sources have.
+    Only keys, sizes and shares become Python values; all other columns stay as they are.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "size"], kind="stable", na_position="first").reset_index(drop=True)
-        last = rows["rest"].iloc[0] <= group
-        keys = [f"{k}.{i}" for k, i in zip(rows["doc_id"], rows.groupby("doc_id", dropna=False).cumcount())]
-        shares = rows["share"].to_numpy()
-        shares = pivot_with_rest(keys, rows["size"].to_numpy(), shares, seed) if last else shares
-        shares, open_ = pivot(keys, rows["size"].to_numpy(), shares, seed)
+    def run(rows):
+        import pyarrow as pa
+
+        key, size = rows.column("key").to_pylist(), rows.column("size").to_pylist()
+        order = np.array(sorted(range(len(key)), key=lambda i: (-size[i], key[i])), dtype=np.int64)  # so a small document is left
+        keys = [key[i] for i in order]
+        sizes, shares = (rows.column(c).to_numpy()[order] for c in ("size", "share"))
+        last = rows.column("rest")[0].as_py() <= group
+        if last:
+            shares = pivot_with_pool(keys, sizes, shares, seed)
+        shares, open_ = pivot(keys, sizes, shares, seed)
+        left = np.zeros(len(key), dtype=bool)
         if open_ is not None and last:
             shares[open_] = float(xxhash.xxh64_intdigest(f"{seed}/last/{keys[open_]}") / 2.0**64 < shares[open_])
-            open_ = None
-        rows["share"] = shares
-        if open_ is not None:
-            rows.loc[open_, "left"] = True
-        return rows
+        elif open_ is not None:
+            left[order[open_]] = True
+        back = np.empty(len(key))
+        back[order] = shares
+        rows = rows.set_column(rows.schema.get_field_index("share"), "share", pa.array(back))
+        return rows.set_column(rows.schema.get_field_index("left"), "left", pa.array(left))
 
     return run

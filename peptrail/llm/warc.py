@@ -13,10 +13,14 @@ then tells which candidates the chain from offset 0 reaches. Only those are reco
 payload. A record's payload is hashed in its split; payloads that hold a magic, and so span several
 pieces, are put together from the pieces between a record and its successor in a second pass.
 
+Record ids hold the page_id, the payload's digest and a number that no other record of both has, so
+pages that repeat a page_id keep their own payloads.
+
 Defined cases: null html is an empty payload; with least=0, empty payloads are equal payloads like
 any other; repeated rows are records of their own, revisits except one (the largest page_id, then
-one of them chosen by its url); a null page_id is smaller than any other; null urls are written
-as `urn:null`; an empty table gives an empty result; further columns are ignored.
+one of them chosen by its url); rows that repeat a page_id with another html are records with payloads
+of their own; a null page_id is smaller than any other; null urls are written as `urn:null`; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,46 +50,58 @@ def base32(hex40: Column) -> Column:
     return F.translate(F.concat(*parts), DIGITS, BASE32)
 
 
-def record_id(page_id: Column, copy: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), copy.cast("string"), F.lit(">"))
+def record_id(page_id: Column, digest: Column, copy: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(":"), copy.cast("string"), F.lit(">"))
 
 
 def write_archives(pages: DataFrame, path: str, scratch: Scratch, least: int = 0) -> None:
-    """Write pages(page_id, url, html) as WARC files under path."""
+    """Write pages(page_id, url, html) as WARC files under path.
+
+    What the records need but their payloads is written first, a row per page; revisits are made from it alone. A
+    response is looked up in the pages by its digest, page_id and url, and where rows repeat these too one is taken.
+    """
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit("urn:null"))
     clean = F.regexp_replace(url, r"[\r\n]", "")
-    rows = pages.select("page_id", clean.alias("url"), html.alias("html"))
-    facts = rows.select("page_id", F.xxhash64("url").alias("u"), F.octet_length("html").alias("bytes"), F.sha1(F.col("html").cast("binary")).alias("sha1"))
-    again = facts.where(F.col("bytes") >= least).groupBy("sha1").agg(F.max(F.struct("page_id", "u")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = scratch.keep(again.select("sha1", F.col("first.page_id").alias("first_id"), F.col("first.u").alias("first_u")), "again")
-    rows = rows.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "u": F.xxhash64("url")})
-    rows = rows.join(F.broadcast(again) if small_enough(again, 200_000) else again, "sha1", "left")
-    # rows that repeat a whole record are told apart by a running number; only groups of equal payloads can hold any
-    same = Window.partitionBy("sha1", "page_id", "u").orderBy("n")
-    heads = scratch.keep(facts.join(again.select("sha1"), "sha1", "left_semi").groupBy("sha1", "page_id", "u").count().where("count > 1").select("sha1", "page_id", "u"), "heads")
-    if not heads.isEmpty():
-        twice = rows.join(heads.withColumnRenamed("page_id", "p"), (rows["sha1"] == heads["sha1"]) & rows["page_id"].eqNullSafe(F.col("p")) & (rows["u"] == heads["u"]), "left_semi")
-        once = rows.join(heads.withColumnRenamed("page_id", "p"), (rows["sha1"] == heads["sha1"]) & rows["page_id"].eqNullSafe(F.col("p")) & (rows["u"] == heads["u"]), "left_anti")
-        numbered = twice.withColumn("n", F.monotonically_increasing_id()).withColumn("copy", F.row_number().over(same) - 1).drop("n")
-        rows = once.withColumn("copy", F.lit(0)).unionByName(numbered)
-    else:
-        rows = rows.withColumn("copy", F.lit(0))
-    first = F.col("first_u").isNull() | (F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("u") == F.col("first_u")) & (F.col("copy") == 0))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    block = F.when(first, F.concat(F.lit(HTTP), "html")).otherwise(F.lit(HTTP))
+    rows = pages.select("page_id", clean.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
+    facts = rows.select("page_id", "url", "sha1", F.octet_length("html").alias("bytes"), (F.monotonically_increasing_id() + 1).alias("n"))
+    facts = scratch.keep(facts, "facts")
+    groups = facts.where(F.col("bytes") >= least).groupBy("sha1").agg(F.max(F.struct("page_id", "url", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    groups = scratch.keep(groups.select("sha1", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.n").alias("first_n")), "groups")
+    few = F.broadcast(groups) if small_enough(groups, 200_000) else groups
+    revisits = facts.join(few, "sha1").where("n <> first_n")
+    same = (F.col("page_id").eqNullSafe(F.col("first_id"))) & (F.col("url") == F.col("first_url"))
+    twice = scratch.keep(revisits.where(same).select("sha1").distinct(), "twice")
+    tagged = rows.join(few, "sha1", "left")
+    alone = tagged.where("first_n is null").withColumn("copy", F.monotonically_increasing_id() + 1)
+    first = tagged.where(F.col("first_n").isNotNull() & same).withColumn("copy", F.lit(0).cast("long"))
+    if not twice.isEmpty():
+        some = F.broadcast(twice) if small_enough(twice, 200_000) else twice
+        names = [c for c in first.columns if c != "sha1"]
+        one = first.join(some, "sha1", "left_semi").groupBy("sha1").agg(*(F.first(c).alias(c) for c in names))
+        first = first.join(some, "sha1", "left_anti").unionByName(one)
+    whole = alone.unionByName(first).select("page_id", "url", "sha1", "copy", F.lit("response").alias("type"), F.concat(F.lit(HTTP), "html").alias("block"), F.lit("").alias("extra"))
+    refers = record_id(F.col("first_id"), base32(F.upper("sha1")), F.lit(0))
+    profile = F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")
+    again = revisits.select("page_id", "url", "sha1", F.col("n").alias("copy"), F.lit("revisit").alias("type"), F.lit(HTTP).alias("block"), F.concat(profile, line("WARC-Refers-To", refers)).alias("extra"))
+    digest = base32(F.upper("sha1"))
     head = F.concat(
         F.lit(MAGIC),
-        line("WARC-Type", F.when(first, F.lit("response")).otherwise(F.lit("revisit"))),
-        line("WARC-Record-ID", record_id(F.col("page_id"), F.col("copy"))),
+        line("WARC-Type", F.col("type")),
+        line("WARC-Record-ID", record_id(F.col("page_id"), digest, F.col("copy"))),
         line("WARC-Target-URI", F.col("url")),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\n"),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.upper("sha1")))),
-        F.when(first, F.lit("")).otherwise(F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), line("WARC-Refers-To", record_id(F.col("first_id"), F.lit(0))))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        F.col("extra"),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
-        line("Content-Length", F.octet_length(block).cast("string")),
+        line("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
     )
-    rows.select(F.concat(head, block, F.lit("\r\n\r")).alias("value")).write.option("lineSep", "\n").text(path)
+    whole.unionByName(again).select(F.concat(head, "block", F.lit("\r\n\r")).alias("value")).write.option("lineSep", "\n").text(path)
+
+
+def line(name: str, value: Column) -> Column:
+    """A header line."""
+    return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -231,6 +247,8 @@ def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame
     responses = records.where("type = 'response'").withColumn("digest", F.when(own == F.col("digest"), F.col("seen")).otherwise(F.raise_error(F.concat(F.lit("digest mismatch in "), F.col("id")))))
     responses = responses.select("file", "offset", "type", "id", F.lit(None).cast("string").alias("refers"), "bytes", "digest")
     origin = responses.select(F.col("id").alias("refers"), F.col("bytes").alias("origin_bytes"), F.col("digest").alias("origin_digest"))
-    revisits = records.where("type = 'revisit'").select("file", "offset", "type", "id", "refers").join(origin, "refers", "left")
+    revisits = records.where("type = 'revisit'").select("file", "offset", "type", "id", "refers")
+    used = scratch.keep(origin.join(revisits.select("refers").distinct(), "refers", "left_semi"), "origins")
+    revisits = revisits.join(F.broadcast(used) if small_enough(used, 200_000) else used, "refers", "left")
     revisits = revisits.select("file", "offset", "type", "id", "refers", F.col("origin_bytes").alias("bytes"), F.col("origin_digest").alias("digest"))
     return responses.unionByName(revisits)

@@ -441,7 +441,9 @@ def test_warc(spark, tmp_path):
                 for i, k in enumerate(ids):
                     want.append((str(k) if k is not None else "null", len(raw), digest, "response" if i == 0 or least else "revisit"))
             assert got == sorted(want)
-            assert {r["refers"] for r in rows if r["type"] == "revisit"} == (set() if least else {"<urn:page:10:0>", "<urn:page:4:0>", "<urn:page:8:0>"})
+            responses = {r["id"]: r["digest"] for r in rows if r["type"] == "response"}
+            assert len({r["id"] for r in rows}) == len(rows) and all(responses[r["refers"]] == r["digest"] for r in rows if r["type"] == "revisit")
+            assert {r["refers"].split(":")[2] for r in rows if r["type"] == "revisit"} == (set() if least else {"10", "4", "8"})
         scratch = Scratch(spark, "t")
         path = scratch.path("warc")
         warc.write_archives(table.where("false"), path, scratch)
@@ -450,6 +452,21 @@ def test_warc(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_warc_repeated_page_ids(spark):
+    pages = [(5, "u", "A"), (5, "u", "B"), (3, "v", "A"), (5, "w", "A"), (None, "n", "C"), (None, "n", "C"), (None, "m", "C"), (1, "u", "D"), (1, "u", "D"), (1, "u", "E")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    scratch = Scratch(spark, "t")
+    warc.write_archives(table, path := scratch.path("warc"), scratch)
+    rows = warc.read_archives(spark, path, scratch).collect()
+    sha = {h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for h in "ABCDE"}
+    want = sorted((str(k) if k is not None else "null", sha[h]) for k, _, h in pages)
+    assert sorted((r["id"].split(":")[2], r["digest"]) for r in rows) == want and len({r["id"] for r in rows}) == len(pages)
+    assert all(r["bytes"] == 1 for r in rows)
+    assert sorted(r["digest"] for r in rows if r["type"] == "response") == sorted(sha.values())
+    largest = {sha["A"]: "5", sha["C"]: "null", sha["D"]: "1"}
+    assert all(r["refers"].split(":")[2] == largest[r["digest"]] and r["refers"].split(":")[3] == r["digest"] for r in rows if r["type"] == "revisit")
+
+
 def test_queries_on_tables(spark):
     for name in ("op1_toxicity", "op2_quality_rules", "op4_byte_bpe", "op5_minhash_near_dedup", "op6_mixing", "op8_language_id"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200

@@ -10,8 +10,10 @@ in a fixed sequence, each tested at its own share of the error. So the union of
 more than `risk` of a stratum's good documents with probability under `delta`.
 
 Defined cases: null or wordless text has zero statistics and fails the base rules; a stratum or
-signal without enough labels gets no cutoff and rejects nothing; labels may be empty, null, or
-repeat a doc_id (each row counts); repeated documents repeat their row; further columns are ignored.
+signal without enough labels gets no cutoff and rejects nothing; labels may be empty or null. A doc_id
+is one trial however often its label or its document is repeated; it is none where its labels contradict
+each other, or its texts differ in what is measured. Repeated documents repeat their row; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -82,30 +84,36 @@ def statistics(docs: DataFrame) -> DataFrame:
     return out.select("*", *(s.alias(n) for n, s in zip(SIGNALS, signals)), band.alias("stratum"))
 
 
-def upper_bound(k: int, n: int, delta: float) -> float:
-    """Exact upper confidence bound on a binomial share: the largest p with P(X <= k) >= delta.
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (Lentz's way)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    out, m = d, 1
+    while True:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1 / (1 + even * d or tiny), 1 + even / c or tiny
+        out *= d * c
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / (1 + odd * d or tiny), 1 + odd / c or tiny
+        out *= d * c
+        if abs(d * c - 1) < 1e-14:
+            return front * out
+        m += 1
+
 
-    Beyond 100,000 rejections Chernoff's bound replaces the sum; it is never below the exact one.
-    """
+def upper_bound(k: int, n: int, delta: float) -> float:
+    """Exact upper confidence bound (Clopper and Pearson) on a binomial share: the largest p with P(X <= k) >= delta."""
     if k >= n:
         return 1.0
-    if k <= 100_000:
-        i = np.arange(1, k + 1)
-        logs = np.r_[0.0, np.cumsum(np.log((n - i + 1) / i))]
-
-        def holds(p: float) -> bool:
-            terms = logs + np.arange(k + 1) * math.log(p) + (n - np.arange(k + 1)) * math.log1p(-p)
-            return terms.max() + math.log(np.exp(terms - terms.max()).sum()) >= math.log(delta)
-    else:
-
-        def holds(p: float) -> bool:
-            q = k / n
-            return n * (q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p))) <= -math.log(delta)
-
     low, high = k / n, 1.0
     for _ in range(60):
         p = (low + high) / 2
-        low, high = (p, high) if holds(p) else (low, p)
+        low, high = (p, high) if beta_share(1 - p, n - k, k + 1) >= delta else (low, p)
     return high
 
 
@@ -128,12 +136,20 @@ def certify(counts: dict[tuple[int, str, int, int], list[int]], risk: float, del
     return out
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.1, delta: float = 0.05) -> dict[tuple[int, str], float]:
-    """Certified cutoffs from all labelled documents; only counts (strata x signals x halves x levels) reach the driver."""
-    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+def trials(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, quality, stratum and the levels of all signals: one row for each labelled document."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id")
+    known = known.agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("__most")).where("quality = __most").drop("__most")
     known = F.broadcast(known) if small_enough(known, 200_000) else known
     level = lambda s: sum((F.when(F.col(s) >= g, 1).otherwise(0) for g in GRID), F.lit(0))
-    rows = measured.join(known, "doc_id").select("stratum", "quality", (F.xxhash64("doc_id") % 2 != 0).cast("int").alias("half"), F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), level(s).alias("level")) for s in SIGNALS))).alias("s"))
+    rows = measured.select("doc_id", F.struct("stratum", *(level(s).alias(s) for s in SIGNALS)).alias("m")).join(known, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("m").alias("m"), F.max("m").alias("__most")).where("m = __most").select("doc_id", "quality", "m.*")
+
+
+def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.1, delta: float = 0.05) -> dict[tuple[int, str], float]:
+    """Certified cutoffs from all labelled documents; only counts (strata x signals x halves x levels) reach the driver."""
+    half = (F.xxhash64("doc_id") % 2 != 0).cast("int").alias("half")
+    rows = trials(measured, labels).select("stratum", "quality", half, F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("level")) for s in SIGNALS))).alias("s"))
     counts: dict = {}
     for r in rows.groupBy("stratum", "quality", "half", "s.signal", "s.level").count().collect():
         counts.setdefault((r["stratum"], r["signal"], r["half"], r["quality"]), [0] * (len(GRID) + 1))[r["level"]] += r["count"]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -93,7 +94,76 @@ def test_quality_bounds():
     for k, n in ((0, 50), (3, 100), (100, 100), (20, 2000)):
         p = quality.upper_bound(k, n, 0.01)
         assert p == 1.0 if k == n else abs(sum(np.exp(np.cumsum(np.log(np.r_[1, (n - np.arange(k)) / np.arange(1, k + 1)])) + np.arange(k + 1) * np.log(p) + (n - np.arange(k + 1)) * np.log1p(-p))) - 0.01) < 1e-6
-    assert quality.upper_bound(200_000, 10_000_000, 0.01) > 0.02
+    # no step where counts grow: the bound moves by about one part in k
+    bounds = [quality.upper_bound(k, 2_000_000, 1e-4) for k in range(99_998, 100_004)]
+    assert all(0 < b - a < 1e-6 for a, b in zip(bounds, bounds[1:]))
+    assert abs(quality.upper_bound(200_000, 10_000_000, 0.01) - 0.0201033) < 1e-6
+    assert abs(quality.beta_share(0.3, 2, 3) - 0.3483) < 1e-12
+
+
+def slow_kept(rows, labels, risk=0.1, delta=0.05, steps=5):
+    """The verdict on rows(doc_id, text) by definition, with binomial sums in whole numbers."""
+    import struct
+    from fractions import Fraction
+
+    import xxhash
+
+    def at_most(k, n, p):  # P(X <= k)
+        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+    facts = {}
+    for key, text in rows:
+        n_words, chars, symbols, dup, again, lines, capitals, marks = quality.measure(text)
+        band = max(i for i, low in enumerate(quality.BANDS) if n_words >= low)
+        facts[key] = band, dict(zip(quality.SIGNALS, (symbols / max(n_words, 1), again / max(n_words, 1), dup / max(lines, 1), capitals / max(chars, 1), marks / max(n_words, 1)))), n_words < 20 or 100 * again > 30 * n_words
+    known = {}
+    for key, q in labels:
+        if key is not None and q in (0, 1):
+            known.setdefault(key, set()).add(q)
+    known = {k: min(q) for k, q in known.items() if len(q) == 1 and k in facts}
+    half = {k: xxhash.xxh64_intdigest(struct.pack("<q", k), 42) % 2 for k in known}
+    share, trust, cut = Fraction(risk) / 5, delta / (5 * 5 * steps), {}
+    for band in range(5):
+        for signal in quality.SIGNALS:
+            mine = [(facts[k][1][signal], q, half[k]) for k, q in known.items() if facts[k][0] == band]
+            gain = [sum(1 if q == 0 else -2 for v, q, h in mine if h == 0 and v >= g) for g in quality.GRID]
+            best = max(range(len(gain)), key=lambda i: (gain[i], i))
+            good = [v for v, q, h in mine if q == 1 and h == 1]
+            for i in range(best, min(best + steps, len(gain))) if gain[best] > 0 and good else ():
+                k = sum(v >= quality.GRID[i] for v in good)
+                if k < len(good) and at_most(k, len(good), float(share)) <= trust:  # the bound is within the share
+                    cut[band, signal] = quality.GRID[i]
+                    break
+    return {k: not failed and not any((band, s) in cut and v >= cut[band, s] for s, v in values.items()) for k, (band, values, failed) in facts.items()}, cut
+
+
+def test_quality_verdict_by_definition(spark):
+    rng = random.Random(19)
+    rows, labels = [], []
+    for i in range(6000):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.choice([10, 90, 90, 200, 200]))]
+        bad = rng.random() < 0.4
+        if rng.random() < (0.8 if bad else 0.003):
+            words = [w + rng.choice(["", "$", "#$"]) for w in words]
+        if rng.random() < (0.5 if bad else 0.002):
+            words = [w.upper() if rng.random() < 0.4 else w for w in words]
+        rows.append((i, " ".join(words)))
+        labels += [(i, int(not bad))] * rng.choice([1, 1, 1, 0, 9])
+        if i % 97 == 0:
+            labels.append((i, rng.choice([0, 1, 3, None])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in quality.filter_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    want, cut = slow_kept(rows, labels)
+    assert got == want and len(cut) >= 3
+
+
+def test_quality_repeated_labels_are_one_trial(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice("abcdefgh") * 3 + ("$$" if i >= 4 else "") for _ in range(70))) for i in range(8)]
+    docs = spark.createDataFrame(texts * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(8)] * 300 + [(1, 0)], "doc_id long, quality int")
+    measured = quality.statistics(docs)
+    assert quality.trials(measured, labels).count() == 7 and quality.thresholds(measured, labels) == {}
 
 
 def test_quality_filter(spark, odd):

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,28 +59,6 @@ def hold(clear: Callable[[], None]) -> None:
         _holder.append(clear)
 
 
-class WordHashes(dict):
-    """xxh64 of a word's bytes, remembered for up to `limit` words."""
-
-    limit = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h
-        return h
-
-
-_hashes = WordHashes()
-_clear_hashes = _hashes.clear
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    hold(_clear_hashes)
-    return np.array(list(map(_hashes.__getitem__, words)), dtype=np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser on uint64 (the splitmix64 steps)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -100,9 +78,119 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
-def lower_words(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case; none for null. bytes.split has just these separators."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+#: A value for each byte (A-Z as a-z, white space none), the base of the polynomial and its inverse modulo 2^64 (fixed values).
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTES[65:91] = _BYTES[97:123]
+_SOLID = np.ones(256, dtype=bool)
+_SOLID[[32, *range(9, 14)]] = False
+_BYTES[~_SOLID] = 0
+BASE = 0x5851F42D4C957F2D
+PIECE = 1 << 17
+
+
+@lru_cache(4)
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n - 1) modulo 2^64."""
+    out = np.ones(n, dtype=np.uint64)
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
+        done += step
+    return out
+
+
+def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of texts, A-Z in lower case, and where each text's words begin.
+
+    data: the texts' bytes one behind the other; offsets: where each begins, and the end. A word's hash is a polynomial of
+    its bytes, a difference of running sums; data is taken a piece at a time, and a word torn by a piece's end is joined.
+    """
+    hashes, places, open_, length = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], False, 0
+    up, down = powers(BASE, PIECE), powers(pow(BASE, -1, 1 << 64), PIECE)
+    for at in range(0, len(data), PIECE):
+        x = data[at : at + PIECE]
+        solid = _SOLID[x]
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        begins = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, at + len(x))] - at
+        first[begins] = solid[begins]
+        last = solid.copy()
+        last[:-1] &= ~solid[1:] | first[1:]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sums = np.zeros(len(x) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[x] * up[: len(x)], out=sums[1:])
+        found = (sums[end] - sums[start]) * down[start]
+        goes_on = open_ and len(start) > 0 and start[0] == 0 and not (len(begins) and begins[0] == 0)
+        if goes_on:
+            hashes[-1][-1:] += found[:1] * np.uint64(pow(BASE, length, 1 << 64))
+        size = int(end[0]) if len(end) else 0
+        open_ = bool(len(end)) and int(end[-1]) == len(x)
+        length = (length + size if goes_on and len(end) == 1 else int(end[-1] - start[-1])) if open_ else 0
+        if goes_on:
+            start, found = start[1:], found[1:]
+        if len(found):
+            hashes.append(found)
+            places.append(start + at)
+    return mix(np.concatenate(hashes)), np.searchsorted(np.concatenate(places), offsets)
+
+
+def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column's texts (null: none) one behind the other, and where each begins, and the end."""
+    column = column.fill_null("") if column.null_count else column
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, dtype=np.uint8), np.zeros(len(column) + 1, dtype=np.int64)
+    offsets = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def column_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """hash_words of a string column: the hashes of all words, and where each row's begin, and the end."""
+    return hash_words(*column_bytes(column))
+
+
+def text_words(text: str | None) -> np.ndarray:
+    """hash_words of one text."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return hash_words(raw, np.array([0, len(raw)]))[0]
+
+
+def blocks(batches: Iterable[pa.RecordBatch], at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of about `size` bytes of the text column at `at`, so that a batch of long texts needs no more memory than others."""
+    for batch in batches:
+        _, ends = column_bytes(batch.column(at))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + size, "right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by keys, dealt anew so that no group of equal keys is torn."""
+    pending: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pending[0] if len(pending) == 1 else pa.Table.from_batches(pending).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
+        same = pending and all(pending[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in keys)
+        cut = int(changes[-1]) + 1 if len(changes) else 0
+        if cut or not same:
+            if cut:
+                pending.append(batch.slice(0, cut))
+            if pending:
+                yield joined()
+            pending = []
+        pending.append(batch.slice(cut))
+    if pending:
+        yield joined()
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peptrail.llm.common import Scratch, arrow_map, lower_words, mix, semi_by_size, shingle_hashes, signed, word_hashes
+from peptrail.llm.common import Scratch, arrow_map, mix, semi_by_size, shingle_hashes, signed, text_words
 from peptrail.llm.components import components
 
 
@@ -82,7 +82,7 @@ def one_bits(values: np.ndarray) -> np.ndarray:
 
 
 def text_set(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(lower_words(text)), width))
+    return np.unique(shingle_hashes(text_words(text), width))
 
 
 def set_id(shingles: np.ndarray) -> int:

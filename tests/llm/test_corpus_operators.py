@@ -6,10 +6,11 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from peptrail.llm import chat, components, kdtree, minhash, mixing, queries, substring, template, warc
+from peptrail.llm import chat, common, components, kdtree, minhash, mixing, queries, substring, template, warc
 from peptrail.llm.common import Scratch
 
 RNG = random.Random(11)
@@ -200,9 +201,17 @@ def test_passages_with_a_block_inserted(spark):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["last_word"] - r["first_word"] + 1
     assert len(got) >= 19 and all(n >= 85 for n in got.values())
     mine, theirs = (substring.shingle_hashes(np.array([hash(w) % 2**61 for w in x], dtype=np.uint64), 5) for x in (other, words))
-    assert list(substring.verify(mine, theirs, 0, None, 46, 0.8)) == [(0, len(mine) - 1)]
+    matcher = substring.Matcher(theirs)
+    matcher.take(mine)
+    assert list(matcher.stretches(0, len(mine) - 1, 0, len(theirs) - 1, 0, False, 46, 0.8)) == [(0, len(mine) - 1)]
     # two ties beside a block of 20 words, in windows of 100
-    assert substring.candidates([(0, 40, 99, 0, 40, 99, 0), (0, 60, 119, 0, 80, 119, 1)], 46, 2)
+    assert substring.candidates(np.zeros(2), np.array([(0, 40, 99, 0, 40, 99, 0), (0, 60, 119, 0, 80, 119, 1)]).T, 46, 2).shape[1]
+
+
+def windows_of(tokens, hashes, span):
+    """(l, c, r) of a text's windows by function."""
+    _, f, l, c, r = substring.windows(substring.Tokens(tokens, np.array([0]), np.array([len(tokens)])), hashes, span)
+    return [list(zip(*(x[f == i].tolist() for x in (l, c, r)))) for i in range(hashes)]
 
 
 def test_near_passages_are_seldom_missed():
@@ -213,12 +222,12 @@ def test_near_passages_are_seldom_missed():
         other = words.copy()
         other[rng.integers(22, 32)] += np.uint64(1)
         mine, theirs = (substring.shingle_hashes(w, substring.WIDTH) for w in (other, words))
-        found = [substring.windows(x, substring.HASHES, 46) for x in (mine, theirs)]
+        found = [windows_of(x, substring.HASHES, 46) for x in (mine, theirs)]
         ties = []
         for f, (ours, first) in enumerate(zip(*found)):
-            at = {theirs[c]: (l, c, r) for l, c, r in zip(*first)}
-            ties += [(l, c, r, *at[mine[c]], f) for l, c, r in zip(*ours) if mine[c] in at]
-        lost += not (ties and substring.candidates(ties, 46, substring.AGREE))
+            at = {theirs[c]: (l, c, r) for l, c, r in first}
+            ties += [(l, c, r, *at[mine[c]], f) for l, c, r in ours if mine[c] in at]
+        lost += not (ties and substring.candidates(np.zeros(len(ties)), np.array(ties).T, 46, substring.AGREE).shape[1])
     assert lost <= 0.012 * trials  # 0.5 % as measured with 5 functions, 2.5 % with 4
 
 
@@ -237,7 +246,41 @@ def test_windows_are_the_tree():
                 grow(c + 1, b)
 
         grow(0, n - 1)
-        assert sorted(zip(*substring.windows(tokens, 3, 46)[2])) == sorted(want)
+        assert sorted(windows_of(tokens, 3, 46)[2]) == sorted(want)
+
+
+def test_windows_of_several_texts():
+    rng = np.random.default_rng(9)
+    sizes = [0, 46, 12, 300, 0, 0, 45, 47, 300]
+    texts = [rng.integers(0, 2**62, n, dtype=np.uint64) for n in sizes]
+    texts[8] = texts[3]
+    words = np.concatenate([np.r_[t, rng.integers(0, 2**62, 4, dtype=np.uint64)] for t in texts])
+    begin = np.cumsum([0] + [n + 4 for n in sizes])[:-1]
+    text, f, *rest = substring.windows(substring.Tokens(words, begin, np.array(sizes)), 4, 46)
+    for i, t in enumerate(texts):
+        for k, want in enumerate(windows_of(t, 4, 46)):
+            assert list(zip(*(x[(text == i) & (f == k)].tolist() for x in rest))) == want
+
+
+def test_words_by_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["ab", "C", "\n", " ", "\x0b", "é", "\u00a0", "\x00", "longer-word" * 9]) for _ in range(rng.choice([0, 1, 5, 200]))) for _ in range(60)] + ["", "x" * 5000, "", "y", "z"]
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    want, seen = [t.encode().lower().split() for t in texts], {}
+    for piece in (7, 64, 1 << 17):
+        monkeypatch.setattr(common, "PIECE", piece)
+        common.powers.cache_clear()
+        hashes, places = common.hash_words(data, offsets)
+        for i, words in enumerate(want):
+            mine = hashes[places[i] : places[i + 1]].tolist()
+            assert len(mine) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, mine))
+    assert len(set(seen.values())) == len(seen)
+    column = pa.array([None, *texts, None, "tail"]).slice(3)
+    hashes, places = common.column_words(column)
+    assert np.diff(places).tolist() == [len(t.split()) for t in [x.encode() for x in texts[2:]]] + [0, 1]
+    parts = list(common.blocks([pa.record_batch([pa.array(range(65)), pa.array(texts)], names=["a", "b"])], 1, 500))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts and len(parts) > 5
 
 
 # ---- mixing

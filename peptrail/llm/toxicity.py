@@ -3,16 +3,20 @@
 Categories are predicted in order. Each model is a logistic regression on the words that a text
 holds, and on the log odds of all earlier categories. In training these log odds are out of fold:
 documents are dealt to folds by a hash of doc_id, and a fold's come from a model of the other folds,
-so that later models see earlier predictions as good as they will be on new text. The cutoff of a
-category is that of the best F1 out of fold.
+whose words were chosen on the other folds too, so that later models see earlier predictions as good
+as they will be on new text. The cutoff of a category is that of the best F1 out of fold.
 
-Models are fitted on at most about `most` labelled documents, chosen by a hash of doc_id, with the
-`vocabulary` words that tell the categories apart best; scoring covers every whole text.
+Models are fitted on a sample of about `most` labelled documents, chosen by a hash of doc_id (all, if
+there are fewer), of which those with more than `widest` different words are left out: so much the
+driver holds at most. Each model has the `vocabulary` words that tell the categories apart best;
+scoring covers every whole text.
 
 Defined cases: null or wordless text has no features and gets the prior; labels that are null, or
-neither 0 nor 1, are left out for their category; a category without both classes predicts its
-share, and its cutoff is above 1; without labels all is 0; repeated doc_ids among labels each count;
-repeated documents repeat their row; an empty table gives an empty result; further columns are ignored.
+neither 0 nor 1, are left out for their category, as are those of a doc_id that contradict each other;
+a doc_id counts once however often its label is repeated; where documents repeat a doc_id, the least
+set of words counts; a category without both classes predicts its share, and its cutoff is above 1;
+without labels all is 0; repeated documents repeat their row; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,19 +122,31 @@ def best_cutoff(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][i] + (p[order][i + 1] if i + 1 < len(p) else 0.0)) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], most: int = 6000, vocabulary: int = 4000, folds: int = 5) -> Chain:
-    """A chain from docs(doc_id, text) and labels(doc_id, categories...). The driver holds the word sets of at most about `most` documents."""
-    known = labels.where("doc_id is not null").select("doc_id", *(F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)))
+def sample(docs: DataFrame, labels: DataFrame, categories: list[str], most: int, widest: int, folds: int) -> DataFrame:
+    """doc_id, words, y (a list; -1 for none) and fold of about `most` labelled documents, one row for each doc_id."""
+    ys = [f"y{i}" for i in range(len(categories))]
+    clean = lambda c: F.when(F.col(c).isin(0, 1), F.col(c)).cast("int")
+    known = labels.where("doc_id is not null").select("doc_id", *(clean(c).alias(y) for c, y in zip(categories, ys)))
+    one = lambda y: F.when(F.min(y) == F.max(y), F.min(y)).otherwise(-1).alias(y)
+    known = known.groupBy("doc_id").agg(*map(one, ys))
     share = min(1.0, most / max(known.count(), 1))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), 1_000_003) < share * 1_000_003)
-    sample = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(known) if small_enough(known, 4 * most) else known, "doc_id")
-    ys = [f"y{i}" for i in range(len(categories))]
+    rows = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(known) if small_enough(known, 4 * most) else known, "doc_id")
 
     def features(key, text, *y):
-        yield key, sorted(words_of(text)), [-1 if v not in (0, 1) else v for v in y]
+        words = words_of(text)
+        if len(words) <= widest:
+            yield key, sorted(words), y
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = arrow_map(rows, ["doc_id", "text", *ys], features, f"doc_id {kind}, words array<binary>, y array<int>")
+    rows = rows.groupBy("doc_id").agg(F.min("words").alias("words"), F.min("y").alias("y"))
+    return rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(folds)))
+
 
-    rows = arrow_map(sample, ["doc_id", "text", *ys], features, "doc_id long, words array<binary>, y array<int>")
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(folds))).orderBy("doc_id", "words").limit(4 * most).toArrow()
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], most: int = 6000, vocabulary: int = 4000, folds: int = 5, widest: int = 20_000) -> Chain:
+    """A chain from docs(doc_id, text) and labels(doc_id, categories...)."""
+    rows = sample(docs, labels, categories, most, widest, folds).orderBy("doc_id").toArrow()
     y = np.array(rows.column("y").to_pylist(), dtype=int).reshape(rows.num_rows, len(categories))
     fold = np.array(rows.column("fold").to_pylist(), dtype=int)
     return fit_chain((w.as_py() for chunk in rows.column("words").chunks for w in chunk), y, fold, categories, vocabulary, folds)
@@ -151,31 +167,49 @@ def choose_words(at: list[np.ndarray], names: list[bytes], y: np.ndarray, size:
     return sorted(np.flatnonzero(worth > 0).tolist(), key=lambda i: (-worth[i], names[i]))[:size]
 
 
-def fit_chain(texts: Iterable[list[bytes]], y: np.ndarray, fold: np.ndarray, categories: list[str], vocabulary: int, folds: int) -> Chain:
+@dataclass
+class Texts:
+    """Texts as lists of word numbers, and the words by number."""
+
+    at: list[np.ndarray]
+    names: list[bytes]
+
+    def rows(self, chosen: list[int]) -> Rows:
+        """Rows whose columns are the chosen words, in their order."""
+        place = np.full(len(self.names) + 1, -1, dtype=np.int64)
+        place[chosen] = np.arange(len(chosen))
+        found = [place[a][place[a] >= 0] for a in self.at]
+        return Rows(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64))
+
+
+def out_of_fold(texts: Texts, y: np.ndarray, fold: np.ndarray, vocabulary: int, folds: int) -> np.ndarray:
+    """Log odds of each text and category by models that have seen nothing of the text's fold, nor chosen words by it."""
+    odds = np.zeros(y.shape)
+    made = []
+    for f in range(folds):
+        others = np.flatnonzero(fold != f)
+        made.append(texts.rows(choose_words([texts.at[i] for i in others], texts.names, y[others], vocabulary)))
+    for c in range(y.shape[1]):
+        for f, rows in enumerate(made):
+            inside, outside = np.flatnonzero((y[:, c] >= 0) & (fold != f)), np.flatnonzero(fold == f)
+            model = fit(rows.take(inside), odds[inside, :c], y[inside, c], vocabulary)
+            odds[outside, c] = model.odds(rows.take(outside), odds[outside, :c])
+        odds[:, c] = np.clip(odds[:, c], -30, 30)
+    return odds
+
+
+def fit_chain(words: Iterable[list[bytes]], y: np.ndarray, fold: np.ndarray, categories: list[str], vocabulary: int, folds: int) -> Chain:
     """Fit the chain on word lists, which are turned into numbers one by one."""
     index: dict[bytes, int] = {}
-    at = [np.array([index.setdefault(w, len(index)) for w in t], dtype=np.int32) for t in texts]
-    names = list(index)
-    chosen = choose_words(at, names, y, vocabulary)
-    chain = Chain(categories, {names[i]: j for j, i in enumerate(chosen)})
-    place = np.full(len(names) + 1, -1, dtype=np.int64)
-    place[chosen] = np.arange(len(chosen))
-    found = [place[a][place[a] >= 0] for a in at]
-    del index, names, at
-    size = len(chain.vocabulary)
-    rows = Rows(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64))
-    earlier = np.zeros((len(found), 0))
+    at = [np.array([index.setdefault(w, len(index)) for w in t], dtype=np.int32) for t in words]
+    texts = Texts(at, list(index))
+    odds = out_of_fold(texts, y, fold, vocabulary, folds)
+    chosen = choose_words(texts.at, texts.names, y, vocabulary)
+    chain, rows = Chain(categories, {texts.names[i]: j for j, i in enumerate(chosen)}), texts.rows(chosen)
     for c in range(len(categories)):
-        labelled, odds = y[:, c] >= 0, np.zeros(len(found))
-        for f in range(folds):
-            inside, outside = np.flatnonzero(labelled & (fold != f)), np.flatnonzero(fold == f)
-            model = fit(rows.take(inside), earlier[inside], y[inside, c], size)
-            odds[outside] = model.odds(rows.take(outside), earlier[outside])
-        at = np.flatnonzero(labelled)
-        chain.models.append(fit(rows.take(at), earlier[at], y[at, c], size))
-        odds = np.clip(odds, -30, 30)
-        chain.cutoffs.append(best_cutoff(1 / (1 + np.exp(-odds[at])), y[at, c]))
-        earlier = np.c_[earlier, odds]
+        at = np.flatnonzero(y[:, c] >= 0)
+        chain.models.append(fit(rows.take(at), odds[at, :c], y[at, c], len(chosen)))
+        chain.cutoffs.append(best_cutoff(1 / (1 + np.exp(-odds[at, c])), y[at, c]))
     return chain
 
 

@@ -213,6 +213,104 @@ def test_toxicity_later_models_see_out_of_fold_odds():
     assert chain.models[1].links[0] > 0 and chain.score("first")[1] > 0.9 > 0.1 > chain.score("other")[1]
 
 
+def auc(score, y):
+    order = np.argsort(np.argsort(score, kind="stable")) + 1
+    return (order[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+
+
+def test_toxicity_random_labels_teach_nothing():
+    """Out-of-fold odds for labels that have nothing to do with the texts are no better than chance."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        texts = toxicity.Texts([np.unique(rng.integers(0, 8000, 60)) for _ in range(1500)], [b"%d" % i for i in range(8000)])
+        y, fold = rng.integers(0, 2, (1500, 2)), rng.integers(0, 5, 1500)
+        odds = toxicity.out_of_fold(texts, y, fold, 1000, 5)
+        assert all(0.45 < auc(odds[:, c], y[:, c]) < 0.55 for c in (0, 1))
+
+
+def slow_model(x, earlier, y, ridge=2.0):
+    """The ridge logistic model by Newton's steps on dense rows; weights, links and bias."""
+    scale = np.abs(earlier).max(axis=0, initial=1.0)
+    z = np.c_[x, earlier, np.ones(len(y))]
+    prior = (y.sum() + 0.5) / (len(y) + 1)
+    w = np.r_[np.zeros(z.shape[1] - 1), np.log(prior / (1 - prior))]
+    if 0 < y.sum() < len(y):
+        damp = np.r_[np.full(x.shape[1], ridge), ridge * scale**2 * np.ones(earlier.shape[1]), 1e-9]
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-z @ w))
+            w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(damp), z.T @ (p - y) + damp * w)
+    return w
+
+
+def slow_chain(texts, y, fold, vocabulary, folds):
+    """The chain by definition, on word sets: (words, model of each category), and the out-of-fold odds."""
+
+    def choose(at):
+        names = sorted(set().union(*(texts[i] for i in at)))
+        worth = {}
+        for w in names:
+            has = np.array([w in texts[i] for i in at])
+            if has.sum() >= 4:
+                for c in range(y.shape[1]):
+                    v = y[at, c]
+                    total, share = (v >= 0).sum(), (v == 1).sum()
+                    if 0 < share < total:
+                        expect = has.sum() * share / total
+                        worth[w] = max(worth.get(w, 0), abs(has[v == 1].sum() - expect) / np.sqrt(expect * (1 - share / total) + 0.5))
+        return sorted((w for w in worth if worth[w] > 0), key=lambda w: (-worth[w], w))[:vocabulary]
+
+    def dense(at, words):
+        return np.array([[float(w in texts[i]) for w in words] for i in at]).reshape(len(at), len(words))
+
+    every, odds = np.arange(len(texts)), np.zeros(y.shape)
+    chosen = [choose(every[fold != f]) for f in range(folds)]
+    words = choose(every)
+    models = []
+    for c in range(y.shape[1]):
+        for f in range(folds):
+            inside, outside = every[(fold != f) & (y[:, c] >= 0)], every[fold == f]
+            w = slow_model(dense(inside, chosen[f]), odds[inside, :c], y[inside, c])
+            odds[outside, c] = np.c_[dense(outside, chosen[f]), odds[outside, :c], np.ones(len(outside))] @ w
+        odds = np.clip(odds, -30, 30)
+        at = every[y[:, c] >= 0]
+        models.append(slow_model(dense(at, words), odds[at, :c], y[at, c]))
+    return words, models, odds
+
+
+def test_toxicity_is_the_chain_by_definition(spark):
+    rng = random.Random(21)
+    vocabulary = [b"w%d" % i for i in range(60)]
+    texts, y = [], []
+    for i in range(300):
+        bad = rng.random() < 0.4
+        toxic = rng.random() < (0.6 if bad else 0.1)
+        words = set(rng.sample(vocabulary, 12)) | ({b"junk"} if bad and rng.random() < 0.8 else set()) | ({b"vile"} if toxic and rng.random() < 0.7 else set())
+        texts.append(words)
+        y.append([int(bad) if i % 11 else -1, int(toxic)])
+    y, fold = np.array(y), np.array([rng.randrange(5) for _ in texts])
+    chain = toxicity.fit_chain([sorted(t) for t in texts], y, fold, ["low_quality", "toxic"], 40, 5)
+    words, models, _ = slow_chain(texts, y, fold, 40, 5)
+    assert sorted(chain.vocabulary) == sorted(words)
+    docs = spark.createDataFrame([(i, b" ".join(sorted(t)).decode()) for i, t in enumerate(texts)] + [(900, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, chain).collect()}
+    for i, t in [*enumerate(texts), (900, set())]:
+        odds = []
+        for c, w in enumerate(models):
+            odds.append(float(np.clip(np.r_[[float(x in t) for x in words], odds, 1.0] @ w, -30, 30)))
+        p = [1 / (1 + np.exp(-o)) for o in odds]
+        assert abs(got[i]["p_low_quality"] - p[0]) < 0.06 and abs(got[i]["p_toxic"] - p[1]) < 0.06  # the fit stops after its fixed number of steps
+        assert got[i]["toxic"] == (got[i]["p_toxic"] >= chain.cutoffs[1])
+
+
+def test_toxicity_sample(spark):
+    docs = spark.createDataFrame([(i, f"word{i} x", "c") for i in range(50)] * 4 + [(3, "other text", "c"), (7, " ".join(map(str, range(300))), "c")], "doc_id long, text string, words string")
+    labels = spark.createDataFrame([(i, i % 2, 0, "c") for i in range(40)] * 30 + [(4, 1, 0, "c"), (5, None, 7, "c"), (None, 1, 1, "c"), (99, 1, 1, "c")], "doc_id long, low_quality int, toxic int, text string")
+    rows = {r["doc_id"]: r for r in toxicity.sample(docs, labels, ["low_quality", "toxic"], 6000, 100, 5).collect()}
+    assert len(rows) == 40 and rows[4]["y"] == [-1, 0] and rows[5]["y"] == [1, 0] and rows[3]["words"] == [b"other", b"text"] and rows[7]["words"] == [b"word7", b"x"]
+    few = toxicity.sample(docs, labels, ["low_quality", "toxic"], 10, 100, 5).count()
+    assert 0 < few < 25
+
+
 def slow_viterbi(scores, penalty):
     best, back = scores[0].copy(), []
     for row in scores[1:]:

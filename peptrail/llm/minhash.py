@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peptrail.llm.common import Scratch, arrow_map, mix, semi_by_size, shingle_hashes, signed, text_words
+from peptrail.llm.common import Scratch, arrow_map, blocks, column_words, mix, semi_by_size, shingle_hashes, signed, text_words
 from peptrail.llm.components import components
 
 
@@ -67,11 +67,11 @@ def sketch(shingles: np.ndarray, bins: int) -> np.ndarray:
 
 
 def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    if not len(values):
-        return values
-    grid, out = values.reshape(bands, rows), np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    """A key for each band of each sketch (a row of values)."""
+    grid = values.reshape(len(values), bands, rows)
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), (len(values), 1))
     for j in range(rows):
-        out = mix(out + grid[:, j])
+        out = mix(out + grid[:, :, j])
     return out
 
 
@@ -85,9 +85,27 @@ def text_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text_words(text), width))
 
 
+def text_sets(column, width: int) -> list[np.ndarray]:
+    """text_set of each row of a string column."""
+    words, offsets = column_words(column)
+    shingles = shingle_hashes(words, width) if len(words) >= width else words[:0]
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        out.append(np.unique(shingles[a : b - width + 1] if b - a >= width else shingle_hashes(words[a:b], width)))
+    return out
+
+
+def set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set that isn't empty."""
+    if not sets:
+        return np.zeros(0, dtype=np.int64)
+    size = np.array([len(s) for s in sets])
+    sums = np.add.reduceat(mix(mix(np.concatenate(sets)) + np.repeat(size, size).astype(np.uint64)), np.r_[0, np.cumsum(size)[:-1]])
+    return signed(mix(sums))
+
+
 def set_id(shingles: np.ndarray) -> int:
-    total = mix(mix(shingles) + np.uint64(len(shingles))).sum(dtype=np.uint64) if len(shingles) else np.uint64(0)
-    return int(signed(mix(np.array([total], dtype=np.uint64)))[0])
+    return int(set_ids([shingles])[0])
 
 
 #: Bins of the finer sketch whose bits rule pairs out.
@@ -96,16 +114,43 @@ FINE = 1024
 DENSE = 64
 
 
-def sketches(docs: DataFrame, width: int, bands: int, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """Per row: doc_id, n_shingles, cid (64-bit hash of the set, null if empty), bands."""
 
-    def one(key, value):
-        s = text_set(value, width)
-        v = sketch(s, bands * rows)
-        yield key, len(s), set_id(s) if len(s) else None, signed(band_keys(v, bands, rows)).tolist()
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in blocks(batches, 1):
+            sets = text_sets(batch.column(1), width)
+            some = [s for s in sets if len(s)]
+            keys = band_keys(np.stack([sketch(s, bands * rows) for s in some]), bands, rows) if some else np.zeros((0, bands), dtype=np.uint64)
+            size = np.array([len(s) for s in sets])
+            cid = np.zeros(len(sets), dtype=np.int64)
+            cid[size > 0] = set_ids(some)
+            ends = np.r_[0, np.cumsum(np.where(size > 0, bands, 0))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(keys).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(cid, mask=size == 0), lists], names=["doc_id", "n_shingles", "cid", "bands"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return arrow_map(docs, [doc_id, text], one, f"doc_id {kind}, n_shingles long, cid long, bands array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cid long, bands array<long>")
+
+
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """cid, items (the set's hashes) and bits of each class of equal sets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)), pa.array(np.concatenate(rows)))
+        for batch in blocks(batches, 1):
+            sets = [s for s in text_sets(batch.column(1), width) if len(s)]
+            if sets:
+                cid, at = np.unique(set_ids(sets), return_index=True)
+                sets = [sets[i] for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array(cid), lists([signed(s) for s in sets]), lists([one_bits(sketch(s, FINE)) for s in sets])], names=["cid", "items", "bits"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(run, "cid long, items array<long>, bits array<long>")
+    return rows.dropDuplicates(["cid"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8, bands: int = 40, rows: int = 6) -> DataFrame:
@@ -137,12 +182,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8, ba
     if not wanted.where("doc_id is null").isEmpty():
         texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
 
-    def full(_, text):
-        s = text_set(text, width)
-        if len(s):
-            yield set_id(s), signed(s).tolist(), one_bits(sketch(s, FINE)).tolist()
-
-    sets = scratch.keep(arrow_map(texts, ["doc_id", "text"], full, "cid long, items array<long>, bits array<long>").dropDuplicates(["cid"]), "sets")
+    sets = scratch.keep(full_sets(texts, width), "sets")
     links = scratch.keep(confirm(tested, sets, num, den), "links")
     groups = components(links, scratch)
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from peptrail.llm import bpe, langid, minhash, mixing, substring
-from peptrail.llm.common import Scratch, arrow_map
+from peptrail.llm.common import Scratch, arrow_map, blocks
 from peptrail.llm.queries import held_out
 
 #: Least share of a text's letters that its language must have.
@@ -70,8 +70,8 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     def classes(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            sets = (minhash.text_set(text, WORDS) for text in batch.column(at).to_pylist())
+        for batch in blocks(batches, at):
+            sets = minhash.text_sets(batch.column(at), WORDS)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([minhash.set_id(s) if len(s) else None for s in sets], pa.int64())], names=[*names, "__cid"])
 
     rows = docs.mapInArrow(classes, StructType([*docs.schema.fields, StructField("__cid", LongType())]))
@@ -98,7 +98,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         for c in cuts:
             if c["text_key"] == key:
                 text = substring.without(text, [(s["first_word"], s["last_word"]) for s in c["spans"]])
-        if text is None or text.split():
+        if text is None or text.encode("utf-8", "surrogatepass").split():
             yield text, len(text) if text is not None else None, *rest
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}

@@ -8,8 +8,9 @@ its own hash); the kth score found there travels with the query to all other sha
 prunes from the start. Queries meet shards in blocks of `block` queries, so a task holds one shard
 and one block whatever the table's size.
 
-Components are floor(256 * x) with x as double; scores are exact integers (products that could pass
-2^53 are computed as Python integers; scores beyond a long are clipped to it).
+Components are floor(256 * x) with x as double, which a double holds exactly however large it is (beyond the largest
+double it stays at that); scores are exact integers (products that could pass 2^53 are computed as Python integers;
+scores beyond a long are clipped to it).
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors
 meet only vectors of their own length (an empty one scores 0 with another); fully repeated rows count
@@ -30,7 +31,7 @@ from pyspark.sql.window import Window
 
 from peptrail.llm.common import Scratch, small_enough
 
-SAFE = 2**53
+SAFE, LARGEST = 2**53, float(np.finfo(np.float64).max)
 
 
 def clean(table: DataFrame) -> DataFrame:
@@ -38,7 +39,12 @@ def clean(table: DataFrame) -> DataFrame:
     x = F.col("embedding")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = table.where("vec_id is not null and embedding is not null").where(finite)
-    return rows.select("vec_id", F.size(x).alias("dim"), F.transform(x, lambda c: F.floor(c.cast("double") * 256).cast("double")).alias("v")).distinct()
+
+    def whole(c):
+        y = c.cast("double") * 256  # only the exponent changes; from 2^53 on a double is whole, and floor() would stop at a long's end
+        return F.when(F.abs(y) < SAFE, F.floor(y).cast("double")).otherwise(F.greatest(F.least(y, F.lit(LARGEST)), F.lit(-LARGEST)))
+
+    return rows.select("vec_id", F.size(x).alias("dim"), F.transform(x, whole).alias("v")).distinct()
 
 
 def matrix(column: pd.Series, dim: int) -> np.ndarray:
@@ -50,7 +56,8 @@ def leaves(points: np.ndarray, leaf: int) -> np.ndarray:
     out, pending, n = np.zeros(len(points), dtype=np.int64), [np.arange(len(points))], 0
     while pending:
         at = pending.pop()
-        widths = np.ptp(points[at], axis=0) if len(at) > leaf and points.shape[1] else np.zeros(1)
+        with np.errstate(over="ignore"):
+            widths = np.ptp(points[at], axis=0) if len(at) > leaf and points.shape[1] else np.zeros(1)
         if widths.max() == 0:
             out[at], n = n, n + 1
             continue
@@ -69,7 +76,9 @@ def grow(leaf: int):
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T as exact integers."""
-    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] < SAFE:
+    with np.errstate(over="ignore"):
+        exact = not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < SAFE
+    if exact and a.size and b.size:
         return (a @ b.T).astype(np.int64)
     whole = [[int(x) for x in row] for row in b.tolist()]
     top = 2**63 - 1
@@ -86,8 +95,10 @@ def search(ids: np.ndarray, points: np.ndarray, leaf: np.ndarray, asked: np.ndar
     ends = np.r_[cuts[1:], len(leaf)]
     if points.shape[1]:
         low, high = np.minimum.reduceat(points, cuts, axis=0), np.maximum.reduceat(points, cuts, axis=0)
-        bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-        bounds += np.abs(bounds) * 1e-12  # rounding never hides a leaf
+        with np.errstate(over="ignore", invalid="ignore"):
+            up, down = np.maximum(queries, 0) @ high.T, np.minimum(queries, 0) @ low.T
+            slack = (np.maximum(queries, 0) @ np.abs(high).T - np.minimum(queries, 0) @ np.abs(low).T) * 1e-12  # rounding never hides a leaf
+            bounds = np.nan_to_num(up + down + slack, nan=np.inf)
     else:
         bounds = np.zeros((len(queries), len(cuts)))
     for q in range(len(queries)):
@@ -102,7 +113,7 @@ def search(ids: np.ndarray, points: np.ndarray, leaf: np.ndarray, asked: np.ndar
             keep = (scores >= kth) & (ids[where] != asked[q])
             best_ids, best = np.r_[best_ids, ids[where][keep]], np.r_[best, scores[keep]]
             if len(best) > k:
-                top = np.lexsort((best_ids, -best))[:k]
+                top = np.lexsort((best_ids, ~best))[:k]  # ~ turns the order round and, unlike -, can not overflow
                 best_ids, best = best_ids[top], best[top]
             if len(best) == k:
                 kth = max(kth, int(best.min()))

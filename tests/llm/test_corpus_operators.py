@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 from itertools import combinations
 
@@ -403,9 +404,20 @@ def test_top_k(spark):
 
 
 def test_top_k_large_components(spark):
-    rows = [(0, [1e15, 2e15]), (1, [1e15, -2e15]), (2, [3e15, 0.0]), (3, [0.0, 0.0])]
-    got = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])][0] == 2
+    """Whole numbers beyond 2^53, beyond a long, and products of opposite signs; scores in Python's whole numbers."""
+    rng, top = random.Random(5), 2**63 - 1
+    values = [0.0, 1.0, -1.5, 2.0**45, -(2.0**45) - 1, 1e15, -1e15, 3e15 + 0.5, 1e16, -1e16, 2.0**56, 1e20, -1e20, 0.001, -0.001, 1e300, 1.7e308, -1.7e308]
+    rows = [(0, [1e15, 2e15]), (1, [1e15, -2e15]), (2, [3e15, 0.0]), (3, [0.0, 0.0])] + [(4 + i, [rng.choice(values) for _ in range(2)]) for i in range(200)]
+    got = {}
+    for r in kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, shard=64, leaf=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    largest = int(np.finfo(np.float64).max)
+    v = {}
+    for i, x in rows:
+        v[i] = [max(-largest, min(largest, math.floor(c * 256) if np.isfinite(c * 256) else (largest if c > 0 else -largest))) for c in x]
+    for q in (i for i in v if i % 10 == 0):
+        scored = sorted((-max(-top - 1, min(top, sum(a * b for a, b in zip(v[q], v[i])))), i) for i in v if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scored)]
 
 
 # ---- chat

@@ -263,6 +263,18 @@ def test_windows_of_several_texts():
             assert list(zip(*(x[(text == i) & (f == k)].tolist() for x in rest))) == want
 
 
+def test_windows_pack():
+    rng = np.random.default_rng(1)
+    for top, functions in ((1 << 20, 8), (1 << 30, 8), (1 << 20, 200)):
+        l, c, r = np.sort(rng.integers(0, top, (3, 1000)), axis=0)
+        f, size = rng.integers(0, functions, 1000), np.full(1000, top)
+        for n in (size - 1, size):
+            info, more = substring.pack(f, l, c, r, n)
+            assert all((x == y).all() for x, y in zip(substring.unpack(info, more), (f, l, c, r)))
+            if functions <= 8 and (n[0] < 1 << 20 or n[0] >= 1 << 30):
+                assert (np.diff(c[np.argsort(info)]) >= 0).all()
+
+
 def test_words_by_pieces(monkeypatch):
     rng = random.Random(6)
     texts = ["".join(rng.choice(["ab", "C", "\n", " ", "\x0b", "é", "\u00a0", "\x00", "longer-word" * 9]) for _ in range(rng.choice([0, 1, 5, 200]))) for _ in range(60)] + ["", "x" * 5000, "", "y", "z"]

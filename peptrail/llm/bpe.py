@@ -3,8 +3,8 @@
 A task takes its texts a block at a time, collects the words (matches of the pattern) that it
 has not met yet and encodes them together: an inverted index from the rank of a token pair to the
 positions that hold such a pair is replayed in rank order, and each merge touches only its two
-neighbours. A word's ids, their decimal text and the bytes they decode to are kept for the next
-block, for up to `REMEMBER` words. The cost of merging so follows the distinct words, not the text.
+neighbours. A word's ids are kept as decimal text for the next block, for up to `REMEMBER` words; bytes
+are decoded from a text's ids token by token. The cost of merging so follows the distinct words, not the text.
 
 Defined cases: null text counts as empty and gives no ids; texts of any length are encoded whole;
 rows are independent, so repeated rows repeat their result; further columns are ignored.
@@ -34,6 +34,7 @@ class Vocabulary:
     def __init__(self, lines: Iterable[bytes]):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.by_text = {str(rank): token for token, rank in self.ranks.items()}
         self.single = [self.ranks[bytes([i])] for i in range(256)]
         self.first = np.full((256, 256), -1, dtype=np.int64)
         for token, rank in self.ranks.items():
@@ -120,17 +121,15 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts block by block; remembers the decimal text of each word's ids and the bytes that they decode to."""
+    """Encodes texts block by block; remembers the decimal text of each word's ids."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.forget = self.clear  # one bound method, so that hold() knows it again
         self.texts: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
 
     def clear(self) -> None:
         self.texts.clear()
-        self.bytes.clear()
         self.vocabulary.pairs.clear()
 
     def block(self, texts: list[str | None]) -> list[list[str]]:
@@ -141,7 +140,6 @@ class Encoder:
         fresh = [w for w in set().union(*split) if w not in self.texts]
         encoded = self.vocabulary.encode_words([w.encode("utf-8", "surrogatepass") for w in fresh])
         self.texts.update(zip(fresh, [" ".join(map(str, ids)) for ids in encoded]))
-        self.bytes.update(zip(fresh, map(self.vocabulary.decode, encoded)))
         return split
 
 
@@ -177,12 +175,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = False) ->
         def rows(keys, texts):
             columns = [keys, [], [], [], []]
             split = enc.block(texts)
-            text, back = enc.texts.__getitem__, enc.bytes.__getitem__
+            text, token = enc.texts.__getitem__, enc.vocabulary.by_text.__getitem__
             for words in split:
                 decimal = " ".join(map(text, words))
-                columns[1].append(decimal.count(" ") + 1 if words else 0)
+                ids = decimal.split()
+                columns[1].append(len(ids))
                 columns[2].append(hashlib.sha256(decimal.encode()).hexdigest())
-                columns[3].append(hashlib.sha256(b"".join(map(back, words))).hexdigest())
+                columns[3].append(hashlib.sha256(b"".join(map(token, ids))).hexdigest())
                 if with_ids:
                     columns[4].append(np.fromstring(decimal, dtype=np.int32, sep=" "))
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)

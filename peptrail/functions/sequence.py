@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,14 +34,15 @@ def codon_at(seq: Column | str, pos: Column | int) -> Column:
     return F.substring(col(seq), (F.lit(pos) if isinstance(pos, int) else pos) + 1, 3)
 
 
-def codon_number(codon: Column) -> Column:
-    """A codon over ACGTN as a number of base 5."""
-    return F.conv(F.translate(codon, "ACGTN", "01234"), 5, 10).cast("int")
+def codon_letters(code: int) -> Column:
+    """The amino acids by the number that a codon's digits (A, C, G, T, N as 0 to 4) read as in base 10: an array, for a lookup by place."""
+    by = dict(zip(("".join(c) for c in product("01234", repeat=3)), codon_string(code)))
+    return F.array(*(F.lit(by.get(f"{i:03d}", "")) for i in range(445)))
 
 
 def translate_codon(codon: Column | str, code: int = 1) -> Column:
     """The amino acid of a codon over ACGTN: * for a stop, X where it isn't determined; null unless 3 long."""
-    return F.when(F.length(col(codon)) == 3, F.substring(F.lit(codon_string(code)), codon_number(col(codon)) + 1, F.lit(1)))
+    return F.when(F.length(col(codon)) == 3, F.get(codon_letters(code), F.translate(col(codon), "ACGTN", "01234").cast("int")))
 
 
 def codons(seq: Column, frame: Column | int) -> Column:
@@ -50,7 +53,10 @@ def codons(seq: Column, frame: Column | int) -> Column:
 
 def orf(seq: Column, frame: Column | int, code: int = 1) -> Column:
     """The translation of a frame, stops and unknowns included."""
-    return F.array_join(F.transform(codons(seq, frame), lambda c: translate_codon(c, code)), "")
+    start = (F.lit(frame) if isinstance(frame, int) else frame) + 1
+    digits = F.substring(F.translate(seq, "ACGTN", "01234"), start, F.length(seq))
+    numbers = F.regexp_extract_all(digits, F.lit("[0-4]{3}"), 0)
+    return F.array_join(F.transform(numbers, lambda c: F.get(codon_letters(code), c.cast("int"))), "")
 
 
 def il_normalize(peptide: Column | str) -> Column:

@@ -9,7 +9,7 @@ from peptrail.functions.config import IndexConfig, SearchConfig
 from peptrail.functions.sequence import il_normalize
 from peptrail.functions.text import assembly, outer_start
 from peptrail.operators.bands import band_join
-from peptrail.operators.translate import FRAME
+from peptrail.operators.translate import FRAME, block_of
 
 #: Bin of running mass: a fraction of the lightest residue, so that a bin holds one residue of a frame at most.
 MASS_BIN = 1 << 18
@@ -38,17 +38,45 @@ def immediate_hits(found: DataFrame, windows: DataFrame, prefixes: DataFrame, ic
     return left.unionByName(right).distinct()
 
 
-def immediate_alignments(hits: DataFrame, frames: DataFrame, index_id: str, flank: int = 5) -> DataFrame:
+def read_residues(wanted: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted(keys, part, FRAME, length, lo, hi) with `text`: residues lo to hi of a frame, as far as it goes; a row for each key and part.
+
+    frames: frame_blocks. A stretch meets the blocks that hold its ends and those between, and takes only its share of each.
+    """
+    first, last = (block_of(F.col("strand"), F.col("length"), F.least(F.greatest(F.col("frame") + 3 * F.col(c), F.lit(0)), F.col("length") - 1)) for c in ("lo", "hi"))
+    rows = wanted.where("lo <= hi").withColumn("block", F.explode(F.sequence(F.least(first, last), F.greatest(first, last))))
+    rows = rows.join(frames.select(*FRAME, "block", "first_idx", F.col("text").alias("residues")), [*FRAME, "block"])
+    start = F.greatest(F.col("lo"), F.col("first_idx"))
+    piece = F.substring("residues", (start - F.col("first_idx") + 1).cast("int"), F.greatest(F.col("hi") - start + 1, F.lit(0)).cast("int"))
+    rows = rows.select(*keys, "part", F.struct("first_idx", piece.alias("piece")).alias("p"))
+    return rows.groupBy(*keys, "part").agg(F.array_join(F.array_sort(F.collect_list("p"))["piece"], "").alias("text"))
+
+
+def with_texts(rows: DataFrame, frames: DataFrame, keys: list[str], **parts: tuple) -> DataFrame:
+    """Adds a column for each of parts, name=(frame, lo, hi): the residues lo to hi of a frame of the row's strand; empty where there are none.
+
+    keys tell the rows apart. Only stretches of residues are joined back, never blocks.
+    """
+    named = F.array(*(F.struct(F.lit(name).alias("part"), frame.cast("int").alias("frame"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")) for name, (frame, lo, hi) in parts.items()))
+    wanted = rows.select(*[F.col(k).alias(f"__{k}") for k in keys], "scaffold_id", "strand", "length", F.explode(named).alias("w"))
+    wanted = wanted.select(*[f"__{k}" for k in keys], "scaffold_id", "strand", "length", "w.*").withColumn("lo", F.greatest("lo", F.lit(0)))
+    found = read_residues(wanted, frames, [f"__{k}" for k in keys])
+    wide = found.groupBy(*[f"__{k}" for k in keys]).agg(*(F.max(F.when(F.col("part") == name, F.col("text"))).alias(name) for name in parts))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    out = rows.join(wide, same, "left").drop(*[f"__{k}" for k in keys])
+    return out.withColumns({name: F.coalesce(name, F.lit("")) for name in parts})
+
+
+def immediate_alignments(hits: DataFrame, scaffolds: DataFrame, frames: DataFrame, index_id: str, flank: int = 5) -> DataFrame:
     """Peptide, flanks and assembly of immediate_hits(); flanks end at the scaffold's bounds."""
-    rows = hits.join(frames, FRAME)
-    n = F.col("last_idx") - F.col("first_idx") + 1
-    cut = lambda start, size: F.substring("orf", (start + 1).cast("int"), size.cast("int"))
-    before = F.greatest(F.col("first_idx") - flank, F.lit(0))
-    start = (F.col("frame") + 3 * F.col("first_idx")).cast("long")
+    rows = hits.join(scaffolds.select("scaffold_id", "label", "length"), "scaffold_id")
+    first, last, frame = F.col("first_idx"), F.col("last_idx"), F.col("frame")
+    rows = with_texts(rows, frames, ["query_id", *FRAME, "first_idx", "last_idx"], aa_n_term=(frame, first - flank, first - 1), peptide=(frame, first, last), aa_c_term=(frame, last + 1, last + flank))
+    n = last - first + 1
+    start = (frame + 3 * first).cast("long")
     exon = outer_start(F.col("strand"), start, F.col("length")), (3 * n).cast("long")
     return rows.select(
-        "query_id", *FRAME, start.alias("exon_start"), "hit_mass",
-        cut(before, F.col("first_idx") - before).alias("aa_n_term"), cut(F.col("first_idx"), n).alias("peptide"), cut(F.col("last_idx") + 1, F.lit(flank)).alias("aa_c_term"),
+        "query_id", *FRAME, start.alias("exon_start"), "hit_mass", "aa_n_term", "peptide", "aa_c_term",
         assembly(index_id, F.col("label"), F.col("strand"), exon).alias("assembly"), F.lit(None).cast("long").alias("intron_length"), F.lit(None).cast("string").alias("splice_site"),
     )
 

@@ -13,19 +13,20 @@ from peptrail.functions.mass import min_residue_mass, residue_mass
 from peptrail.functions.sequence import overlapping, translate_codon
 from peptrail.functions.text import assembly, outer_start
 from peptrail.operators.bands import band_join
-from peptrail.operators.extend import MASS_BIN
-from peptrail.operators.translate import FRAME, strands
+from peptrail.operators.extend import MASS_BIN, with_texts
+from peptrail.operators.translate import FRAME, nt_blocks, strand_blocks
 
 STRAND = ["scaffold_id", "strand"]
 
 
 def motif_sites(scaffolds: DataFrame, motifs: list[str]) -> DataFrame:
-    """scaffold_id, strand, pos, motif, and the two nucleotides before and behind; one pass for each motif length."""
-    both, out = strands(scaffolds), []
+    """scaffold_id, strand, pos, motif, and the two nucleotides before and behind; one pass over the blocks for each motif length."""
+    both, out = strand_blocks(nt_blocks(scaffolds)), []
     for size in sorted({len(m) for m in motifs}):
-        text = overlapping(F.concat(F.lit("NN"), F.col("seq"), F.lit("NN")), size + 4)
-        rows = both.select(*STRAND, F.posexplode(text).alias("pos", "w")).where(F.substring("w", 3, size).isin(*[m for m in motifs if len(m) == size]))
-        out.append(rows.select(*STRAND, F.col("pos").cast("long").alias("pos"), F.substring("w", 3, size).alias("motif"), F.substring("w", 1, 2).alias("ahead"), F.substring("w", size + 3, 2).alias("behind")))
+        ahead, behind = F.lpad(F.right("ahead", F.lit(2)), 2, "N"), F.concat(F.left("behind", F.lit(size + 1)), F.lit("NN"))
+        text = F.left(F.concat(ahead, F.col("seq"), behind), F.length("seq") + size + 3)  # a motif begins in its block and ends in the scaffold
+        rows = both.select(*STRAND, "at", F.posexplode(overlapping(text, size + 4)).alias("pos", "w")).where(F.substring("w", 3, size).isin(*[m for m in motifs if len(m) == size]))
+        out.append(rows.select(*STRAND, (F.col("at") + F.col("pos")).cast("long").alias("pos"), F.substring("w", 3, size).alias("motif"), F.substring("w", 1, 2).alias("ahead"), F.substring("w", size + 3, 2).alias("behind")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -105,30 +106,27 @@ def split_hits(pairs: DataFrame, prefixes: DataFrame, icfg: IndexConfig) -> Data
     return alone.unionByName(left.select(*keep)).unionByName(right.select(*keep))
 
 
-def split_alignments(hits: DataFrame, frames: DataFrame, index_id: str, flank: int = 5) -> DataFrame:
-    """Peptide, flanks, assembly, intron length and splice site of split_hits(); one row for each query and assembly."""
-    mine = frames.select(*FRAME, "label", "length", "orf")
-    theirs = frames.select(*STRAND, F.col("frame").alias("frame2"), F.col("orf").alias("orf2"))
-    rows = hits.join(mine, FRAME).join(theirs, [*STRAND, "frame2"])
-    cut = lambda text, a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
+def split_alignments(hits: DataFrame, scaffolds: DataFrame, frames: DataFrame, index_id: str, flank: int = 5) -> DataFrame:
+    """Peptide, flanks, assembly, intron length and splice site of split_hits(); one row for each query and assembly. Rows need a number of their own, `hit`."""
+    rows = hits.join(scaffolds.select("scaffold_id", "label", "length"), "scaffold_id")
     n1 = F.col("last_idx") - F.col("first_idx") + 1
     n2 = F.coalesce(F.col("last2") - F.col("first2") + 1, F.lit(0))
-    anchor, other = cut("orf", F.col("first_idx"), n1), F.coalesce(cut("orf2", F.col("first2"), n2), F.lit(""))
-    middle, right = F.coalesce(F.col("split_aa"), F.lit("")), F.col("is_right")
-    s, rest = F.col("split"), (3 - F.col("split")) % 3
+    right, s, rest = F.col("is_right"), F.col("split"), (3 - F.col("split")) % 3
     size1, size2 = F.when(right, 3 * n2 + rest).otherwise(3 * n1 + s), F.when(right, 3 * n1 + s).otherwise(3 * n2 + rest)
     start1, start2 = F.col("gap_start") - size1, F.col("gap_end")
     rows = rows.withColumns({"size1": size1.cast("long"), "size2": size2.cast("long"), "start1": start1.cast("long"), "start2": start2.cast("long")})
-    rows = rows.withColumn("peptide", F.when(right, F.concat(other, middle, anchor)).otherwise(F.concat(anchor, middle, other)))
     rows = rows.withColumn("order", F.row_number().over(Window.partitionBy("query_id", *STRAND, "start1", "size1", "start2", "size2").orderBy(F.length("d_motif").desc(), F.length("a_motif").desc(), "d_motif", "a_motif", "is_right"))).where("order = 1")
     # flanks are read in the frames of the peptide's two ends
-    ends = frames.select(*STRAND, "frame", "orf")
-    rows = rows.withColumns({"f1": (F.col("start1") % 3).cast("int"), "i1": F.floor(F.col("start1") / 3), "stop": F.col("start2") + F.col("size2")}).withColumns({"f2": (F.col("stop") % 3).cast("int"), "i2": F.floor(F.col("stop") / 3)})
-    rows = rows.join(ends.select(*STRAND, F.col("frame").alias("f1"), F.col("orf").alias("lead")), [*STRAND, "f1"]).join(ends.select(*STRAND, F.col("frame").alias("f2"), F.col("orf").alias("tail")), [*STRAND, "f2"])
-    before = F.greatest(F.col("i1") - flank, F.lit(0))
+    stop = F.col("start2") + F.col("size2")
+    i1, i2 = F.floor(F.col("start1") / 3), F.floor(stop / 3)
+    rows = with_texts(
+        rows, frames, ["hit"], anchor=(F.col("frame"), F.col("first_idx"), F.col("last_idx")), other=(F.col("frame2"), F.col("first2"), F.col("last2")),
+        aa_n_term=(F.col("start1") % 3, i1 - flank, i1 - 1), aa_c_term=(stop % 3, i2, i2 + flank - 1),
+    )
+    middle = F.coalesce(F.col("split_aa"), F.lit(""))
+    peptide = F.when(right, F.concat("other", middle, "anchor")).otherwise(F.concat("anchor", middle, "other"))
     exons = [(outer_start(F.col("strand"), F.col(f"start{i}"), F.col("length")), F.col(f"size{i}")) for i in (1, 2)]
     return rows.select(
-        "query_id", *FRAME, F.col("start1").alias("exon_start"), "hit_mass",
-        cut("lead", before, F.col("i1") - before).alias("aa_n_term"), "peptide", cut("tail", F.col("i2"), F.lit(flank)).alias("aa_c_term"),
+        "query_id", *FRAME, F.col("start1").alias("exon_start"), "hit_mass", "aa_n_term", peptide.alias("peptide"), "aa_c_term",
         assembly(index_id, F.col("label"), F.col("strand"), *exons).alias("assembly"), (F.col("start2") - F.col("gap_start")).cast("long").alias("intron_length"), F.concat_ws("|", "d_motif", "a_motif").alias("splice_site"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from peptrail.functions.config import IndexConfig, SearchConfig
 from peptrail.functions.mass import delta, peptide_mass
 from peptrail.functions.sequence import il_normalize, is_peptide
+from peptrail.operators.bands import band_join
 from peptrail.operators.translate import FRAME
 
 
@@ -35,11 +36,17 @@ def query_hmst(queries: DataFrame, icfg: IndexConfig = IndexConfig(), scfg: Sear
     return out.where(F.col("half_mass") <= icfg.max_mass)
 
 
-def tag_lookup(tags: DataFrame, postings: DataFrame, scfg: SearchConfig = SearchConfig()) -> DataFrame:
-    """Postings with a query's tag and direction whose half mass lies in the query's window."""
+def tag_lookup(tags: DataFrame, postings: DataFrame, scfg: SearchConfig = SearchConfig(), icfg: IndexConfig = IndexConfig()) -> DataFrame:
+    """Postings with a query's tag and direction whose half mass lies in the query's window.
+
+    A bin of half mass, as wide as the widest window, is part of the key: a tag that is frequent in the genome and in the
+    queries meets only what is near in mass.
+    """
     off = delta("q_mass", scfg.mass_accuracy)
-    q = tags.select("query_id", "tag", "is_right", F.col("half_mass").alias("q_mass")).withColumns({"q_lo": F.col("q_mass") - off, "q_hi": F.col("q_mass") + off})
-    return postings.join(q, ["tag", "is_right"]).where(F.col("half_mass").between(F.col("q_lo"), F.col("q_hi"))).drop("q_mass", "q_lo", "q_hi")
+    width = max(1 << 14, 2 * int(scfg.mass_accuracy * icfg.max_mass / 1e6) + 1)
+    q = tags.select("query_id", "tag", "is_right", F.col("half_mass").alias("q_mass"))
+    found = band_join(q, postings, ["tag", "is_right"], F.col("q_mass") - off, F.col("q_mass") + off, F.col("half_mass"), width)
+    return found.drop("q_mass")
 
 
 def anchors(hits: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from peptrail.functions.mass import residue_mass
 from peptrail.functions.sequence import RESIDUES, orf, overlapping, revcomp
 
 FRAME = ["scaffold_id", "strand", "frame"]
-#: Residues to a block of the two-level running sums.
+#: Residues to a block of a frame, and nucleotides to a block of a scaffold.
 BLOCK = 8192
+NT = 3 * BLOCK
 
 
 def tasks(rows: DataFrame) -> int:
@@ -20,19 +21,74 @@ def tasks(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def edge(cfg: IndexConfig) -> int:
+    """Nucleotides that a block keeps of its neighbours: a tag and a motif that begin at its bounds lie in it whole."""
+    return 3 * cfg.tag_size + 12
+
+
+def nt_blocks(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
+    """scaffold_id, label, length, block, seq, ahead, behind: scaffolds in blocks of NT nucleotides, with edge() nucleotides around each.
+
+    Takes scaffolds as rows with their whole seq, or in blocks(scaffold_id, label, length, block, seq), which stay apart:
+    no row then holds more than a block. A scaffold without nucleotides has one empty block.
+    """
+    keys, n = ["scaffold_id", "label", "length"], edge(cfg)
+    if "ahead" in scaffolds.columns:
+        return scaffolds
+    if "block" not in scaffolds.columns:
+        pieces = scaffolds.select(*keys, F.regexp_extract_all("seq", F.lit(f"[\\s\\S]{{1,{NT}}}"), 0).alias("pieces"))
+        rows = pieces.select(*keys, F.posexplode_outer("pieces").alias("block", "seq"), "pieces")
+        beside = lambda step: F.coalesce(F.get("pieces", F.col("block") + step), F.lit(""))
+        rows = rows.select(*keys, F.coalesce("block", F.lit(0)).cast("long").alias("block"), F.coalesce("seq", F.lit("")).alias("seq"), F.right(beside(-1), F.lit(n)).alias("ahead"), F.left(beside(1), F.lit(n)).alias("behind"))
+        return rows
+    rows, place = scaffolds.select(*keys, "block", "seq"), ["scaffold_id", "block"]
+    before = rows.select("scaffold_id", (F.col("block") + 1).alias("block"), F.right("seq", F.lit(n)).alias("ahead"))
+    after = rows.select("scaffold_id", (F.col("block") - 1).alias("block"), F.left("seq", F.lit(n)).alias("behind"))
+    return rows.join(before, place, "left").join(after, place, "left").select(*keys, "block", "seq", F.coalesce("ahead", F.lit("")).alias("ahead"), F.coalesce("behind", F.lit("")).alias("behind"))
+
+
+def block_of(strand: Column, length: Column, place: Column) -> Column:
+    """The block that holds a strand-local place; a codon belongs to the block of the nucleotide that is read first."""
+    return F.floor(F.when(strand == "+", place).otherwise(length - 1 - place) / NT)
+
+
 def strands(scaffolds: DataFrame) -> DataFrame:
     """Each scaffold as read on both strands: seq is the strand's own sequence."""
     both = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("seq")), F.struct(F.lit("-").alias("strand"), revcomp("seq").alias("seq"))))
     return scaffolds.select("scaffold_id", "label", "length", both.alias("s")).select("scaffold_id", "label", "length", "s.strand", "s.seq")
 
 
-def six_frame(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
-    """scaffold_id, label, length, strand, frame, orf: translations of all frames, stops and unknowns included.
+def strand_blocks(blocks: DataFrame) -> DataFrame:
+    """nt_blocks as read on both strands: seq, ahead and behind are the strand's own, at is the strand-local place of seq."""
+    start = F.col("block") * NT
+    plus = F.struct(F.lit("+").alias("strand"), start.alias("at"), F.col("seq").alias("seq"), F.col("ahead").alias("ahead"), F.col("behind").alias("behind"))
+    minus = F.struct(F.lit("-").alias("strand"), (F.col("length") - start - F.length("seq")).alias("at"), revcomp("seq").alias("seq"), revcomp("behind").alias("ahead"), revcomp("ahead").alias("behind"))
+    return blocks.select("scaffold_id", "label", "length", "block", F.explode(F.array(plus, minus)).alias("s")).select("scaffold_id", "label", "length", "block", "s.*")
+
 
-    Scaffolds are dealt to tasks first: translation costs far more than reading, and few files would keep few cores busy.
+def frame_blocks(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
+    """FRAME, label, length, block, first_idx, text, ahead, behind: the residues of each frame whose codons begin in a block, and the k - 1 around them.
+
+    Blocks are dealt to tasks first: translation costs far more than reading, and few files would keep few cores busy.
     """
-    frames = strands(scaffolds.select("scaffold_id", "label", "length", "seq").repartition(tasks(scaffolds), "scaffold_id")).withColumn("frame", F.explode(F.array(*map(F.lit, range(3)))))
-    return frames.select("scaffold_id", "label", "length", "strand", "frame", orf(F.col("seq"), F.col("frame"), cfg.genetic_code).alias("orf"))
+    k, wide = cfg.tag_size, max(cfg.tag_size - 1, 1)
+    rows = strand_blocks(nt_blocks(scaffolds, cfg).repartition(tasks(scaffolds), "scaffold_id", "block")).withColumn("frame", F.explode(F.array(*map(F.lit, range(3)))))
+    skip = F.pmod(F.col("frame") - F.col("at"), F.lit(3))
+    rows = rows.withColumns({"skip": skip.cast("int"), "first_idx": F.floor((F.col("at") + skip - F.col("frame")) / 3)})
+    in_frame = F.floor((F.col("length") - F.col("frame")) / 3)
+    n = F.least(F.ceil((F.length("seq") - F.col("skip")) / 3), in_frame - F.col("first_idx"))
+    rows = rows.withColumns({"n": n.cast("int"), "lead": F.least(F.lit(wide), F.floor((F.length("ahead") + F.col("skip")) / 3)).cast("int")}).where("n > 0")
+    start = F.length("ahead") + F.col("skip") - 3 * F.col("lead") + 1
+    aa = orf(F.substring(F.concat("ahead", "seq", "behind"), start, 3 * (F.col("lead") + F.col("n") + (k - 1))), 0, cfg.genetic_code)
+    rows = rows.select(*FRAME, "label", "length", "block", "first_idx", "n", "lead", aa.alias("aa"))
+    return rows.select(*FRAME, "label", "length", "block", "first_idx", F.substring("aa", F.col("lead") + 1, F.col("n")).alias("text"), F.left("aa", F.col("lead")).alias("ahead"), F.expr("substring(aa, lead + n + 1)").alias("behind"))
+
+
+def six_frame(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
+    """scaffold_id, label, length, strand, frame, orf: translations of all frames that hold a residue, stops and unknowns included."""
+    parts = F.array_sort(F.collect_list(F.struct("first_idx", "text")))
+    rows = frame_blocks(scaffolds, cfg).groupBy(*FRAME, "label", "length").agg(parts.alias("parts"))
+    return rows.select("scaffold_id", "label", "length", "strand", "frame", F.array_join("parts.text", "").alias("orf"))
 
 
 def cut_test(cfg: IndexConfig, aa: Column, before: Column) -> Column:
@@ -41,57 +97,57 @@ def cut_test(cfg: IndexConfig, aa: Column, before: Column) -> Column:
     return site | aa.isin(*cfg.cut_before) if cfg.cut_before else site
 
 
-def blocks(frames: DataFrame, cfg: IndexConfig) -> DataFrame:
-    """Frames in blocks of BLOCK residues: text, the k - 1 residues around it, and the sums of all blocks before it.
+def with_sums(blocks: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
+    """frame_blocks with the sums of all blocks of the frame before each: mass, invalid residues and cleavage sites.
 
     Sums are counted on the texts, so that nothing is exploded for them; the window holds a row per block.
     """
-    k, zero = cfg.tag_size, F.lit(0).cast("long")
-    pieces = F.regexp_extract_all("orf", F.lit(f"[\\s\\S]{{1,{BLOCK}}}"), 0)
-    rows = frames.withColumn("pieces", pieces).select(*FRAME, "label", "length", F.posexplode("pieces").alias("block", "text"), "pieces")
-    ahead = F.coalesce(F.get("pieces", F.col("block") - 1), F.lit(""))
-    behind = F.coalesce(F.get("pieces", F.col("block") + 1), F.lit(""))
-    if BLOCK < k:
-        raise ValueError("a block must hold a tag")
-    side = F.lit(k - 1)
-    rows = rows.select(*FRAME, "label", "length", "block", "text", F.right(ahead, F.greatest(side, F.lit(1))).alias("ahead"), F.left(behind, side).alias("behind"))
+    zero = F.lit(0).cast("long")
     count = lambda letters: (F.length("text") - F.length(F.translate("text", letters, ""))).cast("long")
     mass = sum((count(aa) * m for aa, m in cfg.masses.items()), zero)
     after = f"(?<=[*{cfg.cut_after}])[\\s\\S]" + (f"|(?<=[\\s\\S])[{cfg.cut_before}]" if cfg.cut_before else "")
     cuts = F.regexp_count(F.concat(F.right("ahead", F.lit(1)), F.col("text")), F.lit(after)).cast("long")
-    over = Window.partitionBy(*FRAME).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*FRAME).orderBy("first_idx").rowsBetween(Window.unboundedPreceding, -1)
     sums = {"base_mass": mass, "base_bad": F.length("text").cast("long") - count(RESIDUES), "base_cuts": cuts}
-    return rows.withColumns(sums).withColumns({name: F.coalesce(F.sum(name).over(over), zero) for name in sums})
+    return blocks.withColumns(sums).withColumns({name: F.coalesce(F.sum(name).over(over), zero) for name in sums})
 
 
 def residues(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
-    """A row per residue: its place and mass, running sums (before it) of mass, of invalid residues and of cleavage sites.
+    """residue_rows() of whole scaffolds."""
+    return residue_rows(with_sums(frame_blocks(scaffolds, cfg), cfg), cfg)
+
+
+def residue_rows(blocks: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
+    """A row per residue of with_sums(): its place and mass, running sums (before it) of mass, of invalid residues and of cleavage sites.
 
     Columns: scaffold_id, label, length, strand, frame, idx, aa, tag (starting here, or null), tag_back (ending here),
-    mass, valid, cum_mass, bad, span_id. Sums run in two levels, over blocks and inside a block, so that no task needs
-    a whole chromosome's frame. Blocks are dealt to tasks as texts; the residues then need no shuffle for their sums.
+    mass, valid, cum_mass, bad, span_id, inner (unknown, as are both neighbours). Sums run in two levels, over blocks and
+    inside a block, so that no task needs a whole chromosome's frame. Blocks are dealt to tasks as texts; the residues then
+    need no shuffle for their sums.
     """
     k = cfg.tag_size
-    dealt = blocks(six_frame(scaffolds, cfg), cfg).repartition(tasks(scaffolds), *FRAME, "block")
+    dealt = blocks.repartition(tasks(blocks), *FRAME, "block")
     front = F.right("ahead", F.lit(k - 1)) if k > 1 else F.lit("")
-    lists = {"lead": F.length(front), "aas": F.filter(F.split("text", ""), lambda c: c != ""), "tags": overlapping(F.concat(front, F.col("text"), F.col("behind")), k)}
-    rows = dealt.withColumns(lists).select(*FRAME, "label", "length", "block", F.posexplode("aas").alias("at", "aa"), "aas", "tags", "lead", "ahead", "base_mass", "base_bad", "base_cuts")
+    behind = F.left("behind", F.lit(k - 1)) if k > 1 else F.lit("")
+    lists = {"lead": F.length(front), "aas": F.filter(F.split("text", ""), lambda c: c != ""), "tags": overlapping(F.concat(front, F.col("text"), behind), k)}
+    rows = dealt.withColumns(lists).select(*FRAME, "label", "length", "block", "first_idx", F.posexplode("aas").alias("at", "aa"), "aas", "tags", "lead", "ahead", "behind", "base_mass", "base_bad", "base_cuts")
     mass = residue_mass("aa", cfg.mass_precision)
     before = F.coalesce(F.get("aas", F.col("at") - 1), F.nullif(F.right("ahead", F.lit(1)), F.lit("")))
+    inner = (F.col("aa") == "X") & (F.get("aas", F.col("at") - 1) == "X") & (F.get("aas", F.col("at") + 1) == "X")  # at a block's bounds: no
     rows = rows.select(
-        *FRAME, "label", "length", "block", "at", "aa",
+        *FRAME, "label", "length", "block", "first_idx", "at", "aa",
         F.get("tags", F.col("lead") + F.col("at")).alias("tag"), F.get("tags", F.col("lead") + F.col("at") - (k - 1)).alias("tag_back"),
-        F.coalesce(mass, F.lit(0).cast("long")).alias("mass"), mass.isNotNull().alias("valid"),
+        F.coalesce(mass, F.lit(0).cast("long")).alias("mass"), mass.isNotNull().alias("valid"), F.coalesce(inner, F.lit(False)).alias("inner"),
         F.when(before.isNull(), 0).otherwise(cut_test(cfg, F.col("aa"), before).cast("int")).alias("cut"),
         "base_mass", "base_bad", "base_cuts",
     )
     up_to = Window.partitionBy(*FRAME, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     wrong = (~F.col("valid")).cast("long")
     return rows.select(
-        *FRAME, "label", "length", (F.col("block").cast("long") * BLOCK + F.col("at")).alias("idx"), "aa", "tag", "tag_back", "mass", "valid",
+        *FRAME, "label", "length", (F.col("first_idx") + F.col("at")).alias("idx"), "aa", "tag", "tag_back", "mass", "valid",
         (F.sum("mass").over(up_to) - F.col("mass") + F.col("base_mass")).alias("cum_mass"),
         (F.sum(wrong).over(up_to) - wrong + F.col("base_bad")).alias("bad"),
-        (F.sum(F.col("cut").cast("long")).over(up_to) + F.col("base_cuts")).alias("span_id"),
+        (F.sum(F.col("cut").cast("long")).over(up_to) + F.col("base_cuts")).alias("span_id"), "inner",
     )
 
 
@@ -105,8 +161,10 @@ def hmst(rows: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
     running sums of mass and invalid residues at the anchor (before it on the left, behind it on the right).
 
     A left tag starts `steps` residues behind its span's first residue, a right one ends as many before the last; all
-    residues from the anchor to the tag's far end are valid. Tags may run over a cleavage site.
+    residues from the anchor to the tag's far end are valid. Tags may run over a cleavage site. What lies inside a run of
+    unknown residues is no tag and no anchor, and goes first: such a run may fill a span as long as a chromosome.
     """
+    rows = rows.where("not inner")
     span = Window.partitionBy(*FRAME, "span_id")
     solid = F.col("aa") != "*"
     end = F.col("cum_mass") + F.col("mass")

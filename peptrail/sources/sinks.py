@@ -29,8 +29,17 @@ def write_peptides(alignments: DataFrame, path: str) -> None:
     distinct_peptides(alignments).write.mode("error").text(path)
 
 
+#: Bytes of a row group of index tables: what a search reads at least of a file.
+GROUP = 8 << 20
+
+
 def write_index(postings: DataFrame, path: str, partitions: int | None = None) -> None:
     """Postings by ranges of tag and direction, sorted by mass inside: row groups then prune by tag and by half mass."""
     keys = ["tag", "is_right"]
     dealt = postings.repartitionByRange(partitions, *keys) if partitions else postings.repartitionByRange(*keys)
-    dealt.sortWithinPartitions("tag", "is_right", "half_mass").write.mode("error").parquet(path)
+    dealt.sortWithinPartitions("tag", "is_right", "half_mass").write.option("parquet.block.size", GROUP).mode("error").parquet(path)
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Blocks of scaffolds or frames by ranges of scaffold and block: row groups then prune by both."""
+    blocks.repartitionByRange("scaffold_id", "block").sortWithinPartitions("scaffold_id", "block").write.option("parquet.block.size", GROUP).mode("error").parquet(path)

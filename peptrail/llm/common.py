@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peptrail.sources.scratch import Scratch, delete, shared_folder, small_enough
+from peptrail.sources.scratch import Scratch, delete, free_shuffles, shared_folder, small_enough
 
-__all__ = ["Scratch", "delete", "shared_folder", "small_enough"]
+__all__ = ["Scratch", "delete", "free_shuffles", "shared_folder", "small_enough"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1

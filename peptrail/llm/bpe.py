@@ -22,7 +22,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from peptrail.llm.common import hold
+from peptrail.llm.common import hold, in_arrow
 
 #: Words remembered by a Python worker, and characters of text in a block.
 REMEMBER, BLOCK = 400_000, 2 << 20
@@ -198,4 +198,4 @@ def encode(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = False) ->
             if keys:
                 yield rows(keys, texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return in_arrow(docs.select("doc_id", "text"), run, out)

@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peptrail.llm.common import in_arrow, to_batch
 from peptrail.llm.template import Piece, compile_template, show
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[TURN]")
@@ -121,8 +122,6 @@ def format_conversations(table: DataFrame, template: str = TEMPLATE) -> DataFram
     kind = table.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
-        from peptrail.llm.common import to_batch
-
         target, buffer, weight, render = schema(), [], 0, renderer(template)
         for key, turns in conversations(batches):
             for i, (text, generated) in enumerate(render(messages=turns)):
@@ -141,7 +140,7 @@ def format_conversations(table: DataFrame, template: str = TEMPLATE) -> DataFram
 
         return to_arrow_schema(out)
 
-    return sort_turns(table).mapInArrow(run, out)
+    return in_arrow(sort_turns(table), run, out)
 
 
 def digests(table: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -152,8 +151,6 @@ def digests(table: DataFrame, template: str = TEMPLATE) -> DataFrame:
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        from peptrail.llm.common import to_batch
-
         target, buffer, render = to_arrow_schema(out), [], renderer(template)
         for key, turns in conversations(batches):
             buffer.append((key, *digest(turns, render)))
@@ -163,4 +160,4 @@ def digests(table: DataFrame, template: str = TEMPLATE) -> DataFrame:
         if buffer:
             yield to_batch(buffer, target)
 
-    return sort_turns(table).mapInArrow(run, out)
+    return in_arrow(sort_turns(table), run, out)

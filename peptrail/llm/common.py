@@ -18,6 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1
 
 
+#: Bytes of a batch of rows on its way to Python, where the session does not set them: Spark's own limit is 10,000 rows of any length.
+BATCH = "4m"
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow in batches bounded in bytes, so that long texts take no more memory than short ones, outside the heap and in Python."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, columns: list[str], rows: Callable[..., Iterator[tuple]], schema: str, flush: int = 4096, flush_bytes: int = 8 << 20) -> DataFrame:
     """Run rows(*values) -> tuples for each row of df, in Arrow batches of bounded size.
 
@@ -41,7 +53,7 @@ def arrow_map(df: DataFrame, columns: list[str], rows: Callable[..., Iterator[tu
         if buffer:
             yield to_batch(buffer, target)
 
-    return df.select(*columns).mapInArrow(run, out)
+    return in_arrow(df.select(*columns), run, out)
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

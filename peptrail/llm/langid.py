@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peptrail.llm.common import arrow_map, hold
+from peptrail.llm.common import arrow_map, hold, in_arrow
 
 UND = "und"
 #: First code points of ranges and the scripts that begin there (fixed values, from the Unicode blocks).
@@ -177,7 +177,7 @@ def train(docs: DataFrame, per_language: int = 2000, smoothing: float = 0.5) ->
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(both[at], pa.int64())], names=["lang", "feature", "n"])
 
-    found = known.select("text", "lang").mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    found = in_arrow(known.select("text", "lang"), count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     grams, scripts = np.zeros((BUCKETS + 1, len(languages))), np.zeros((len(SCRIPTS), len(languages)))
     column = found["lang"].map({lang: i for i, lang in enumerate(languages)}).to_numpy()
     feature, n = found["feature"].to_numpy(), found["n"].to_numpy()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peptrail.llm.common import Scratch, arrow_map, blocks, column_words, mix, semi_by_size, shingle_hashes, signed, text_words
+from peptrail.llm.common import Scratch, arrow_map, blocks, column_words, in_arrow, mix, semi_by_size, shingle_hashes, signed, text_words
 from peptrail.llm.components import components
 
 
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(cid, mask=size == 0), lists], names=["doc_id", "n_shingles", "cid", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, cid long, bands array<long>")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, cid long, bands array<long>")
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -149,7 +149,7 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
                 sets = [sets[i] for i in at]
                 yield pa.RecordBatch.from_arrays([pa.array(cid), lists([signed(s) for s in sets]), lists([one_bits(sketch(s, FINE)) for s in sets])], names=["cid", "items", "bits"])
 
-    rows = texts.select("doc_id", "text").mapInArrow(run, "cid long, items array<long>, bits array<long>")
+    rows = in_arrow(texts.select("doc_id", "text"), run, "cid long, items array<long>, bits array<long>")
     return rows.dropDuplicates(["cid"])
 
 

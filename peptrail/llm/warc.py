@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peptrail.llm.common import Scratch, small_enough
+from peptrail.llm.common import Scratch, in_arrow, small_enough
 
 MAGIC = "WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -173,7 +173,7 @@ def reach(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
 
 def verified(spark: SparkSession, path: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Records that the chain from each file's start reaches, with their offsets; and the offset at which each split's pieces start."""
-    found = scratch.keep(pieces(spark, path).mapInArrow(scan, SCHEMA), "candidates")
+    found = scratch.keep(in_arrow(pieces(spark, path), scan, SCHEMA), "candidates")
     spans = found.groupBy("file", "split").agg(F.sum(F.col("length") + len(MAGIC)).alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = scratch.keep(spans.select("file", "split", before.alias("start")), "starts")
@@ -216,7 +216,7 @@ def torn_payloads(spark: SparkSession, path: str, torn: DataFrame, starts: DataF
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["file", "split", "at", "value"])
 
-    parts = pieces(spark, path).mapInArrow(cut, "file string, split long, at long, value binary").join(F.broadcast(starts) if small_enough(starts, 100_000) else starts, ["file", "split"])
+    parts = in_arrow(pieces(spark, path), cut, "file string, split long, at long, value binary").join(F.broadcast(starts) if small_enough(starts, 100_000) else starts, ["file", "split"])
     parts = parts.select("file", (F.col("start") + F.col("at") - len(MAGIC)).alias("p"), "value").where("p >= 0")
     cell = 1 << 20  # a record meets the cells that it covers, so that the join has an equal key
     wide = torn.select("file", "offset", "next", "body", "size", F.explode(F.sequence(F.floor(F.col("offset") / cell), F.floor((F.col("next") - 1) / cell))).alias("cell"))

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from peptrail.llm import bpe, langid, minhash, mixing, substring
-from peptrail.llm.common import Scratch, arrow_map, blocks
+from peptrail.llm.common import Scratch, arrow_map, blocks, in_arrow
 from peptrail.llm.queries import held_out
 
 #: Least share of a text's letters that its language must have.
@@ -42,7 +42,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
                 good.append(lang != langid.UND and share >= LEAST_SHARE)
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_arrow(docs, keep, docs.schema)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
             sets = minhash.text_sets(batch.column(at), WORDS)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([minhash.set_id(s) if len(s) else None for s in sets], pa.int64())], names=[*names, "__cid"])
 
-    rows = docs.mapInArrow(classes, StructType([*docs.schema.fields, StructField("__cid", LongType())]))
+    rows = in_arrow(docs, classes, StructType([*docs.schema.fields, StructField("__cid", LongType())]))
     alike = Window.partitionBy("doc_id", "__cid", F.when(F.col("__cid").isNull(), F.col("text"))).orderBy("text")
     rows = rows.withColumn("__turn", F.row_number().over(alike)).where("__turn = 1")
     same = (rows["doc_id"] == least["__id"]) & (rows["__cid"] == least["__class"])

@@ -2,34 +2,120 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peptrail.functions.mass import precursor_mass
-from peptrail.functions.sequence import nt_normalize
-
+from peptrail.operators import translate
+from peptrail.sources.scratch import Scratch
 
-def parse_records(records: DataFrame) -> DataFrame:
-    """Adds label and seq to rows whose `value` is a record without its leading >."""
-    lines = F.split("value", r"\r?\n", 2)
-    body = F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))
-    return records.withColumns({"label": F.trim(F.element_at(lines, 1)), "seq": nt_normalize(F.regexp_replace(body, r"\s", ""))})
 
+def pieces(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """file, split, piece, record, label, seq: the files' sequence in pieces of at most `size` nucleotides, upper case, all but A, C, G and T as N.
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """scaffold_id, label, length, start and seq. A record is a row, so lines stay in order; text before the first > is an error.
+    A task streams the lines of its splits and holds one piece. piece counts within a split, record the headers met in it
+    so far (0: a record that an earlier split began); label is set where a record begins. Blank lines are allowed.
+    """
 
-    Files are split at record starts and read in parallel. Blank lines and lower case are allowed.
+    def cut(batches):
+        import pyarrow as pa
+
+        here, out, parts, held, state = None, [], [], 0, [0, 0, None]  # pieces, headers, label
+
+        def flush(to: int) -> None:
+            """Emit what is held in pieces of `size`, and a rest if `to` is 0 or a record's first piece is pending."""
+            nonlocal parts, held
+            text = "".join(parts)
+            at = 0
+            while len(text) - at >= size or (not to and (len(text) > at or state[2] is not None)):
+                out.append((*here, state[0], state[1], state[2], re.sub("[^ACGT]", "N", text[at : at + size])))
+                state[0], state[2], at = state[0] + 1, None, at + size
+            parts = [text[at:]] if len(text) > at else []
+            held = max(len(text) - at, 0)
+
+        def batch():
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            found = pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=["file", "split", "piece", "record", "label", "seq"])
+            out.clear()
+            return found
+
+        for rows in batches:
+            for line, file, split in zip(*(rows.column(i) for i in range(3))):
+                line, key = line.as_py(), (file.as_py(), split.as_py())
+                if key != here:
+                    if here is not None:
+                        flush(0)
+                    here, state[:] = key, [0, 0, None]
+                if line.startswith(">"):
+                    flush(0)
+                    state[1:] = state[1] + 1, line[1:].strip()
+                    continue
+                line = "".join(line.split()).upper()
+                if line and not state[1] and here[1] == 0:
+                    raise ValueError(f"sequence before the first > in {here[0]}")
+                if line:
+                    parts.append(line)
+                    held += len(line)
+                    if held >= size:
+                        flush(1)
+                if len(out) >= 64:
+                    yield batch()
+        if here is not None:
+            flush(0)
+        if out:
+            yield batch()
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    return lines.mapInArrow(cut, "file string, split long, piece long, record long, label string, seq string")
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """file, split, piece, scaffold_id and at (its place in its scaffold) of pieces(): running sums inside a split, and over the splits' totals.
+
+    No sequence takes part, and only the splits' totals are ordered as a whole.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
-    first = Window.partitionBy("file").orderBy("split", "row")
-    raw = raw.withColumn("n", F.row_number().over(first))
-    opened = F.when(F.col("n") > 1, F.col("value")).when(F.col("value").startswith(">"), F.expr("substring(value, 2)")).when(F.trim("value") == "", None)
-    opened = opened.otherwise(F.raise_error(F.concat(F.lit("sequence before the first > in "), F.col("file"))))
-    rows = raw.select(opened.alias("value"), "file", "n").where("value is not null")
-    parsed = parse_records(rows)
-    return number_scaffolds(parsed.select("file", "n", "label", "seq"))
+    zero = F.lit(0).cast("long")
+    rows = found.select("file", "split", "piece", "record", F.col("label").isNotNull().cast("long").alias("head"), F.length("seq").cast("long").alias("nt"))
+    place, line = Window.partitionBy("file", "split").orderBy("piece"), Window.orderBy("file", "split")
+    records = rows.groupBy("file", "split", "record").agg(F.sum("nt").alias("nt"))
+    splits = records.groupBy("file", "split").agg(F.max("record").alias("heads"), F.max_by("nt", "record").alias("open"))
+    # what a split leaves open goes on in the splits behind it, up to the next with a header
+    splits = splits.withColumns({"before": F.coalesce(F.sum("heads").over(line.rowsBetween(Window.unboundedPreceding, -1)), zero), "group": F.sum((F.col("heads") > 0).cast("long")).over(line)})
+    so_far = F.sum("open").over(Window.partitionBy("group").orderBy("file", "split"))
+    splits = splits.withColumn("so_far", so_far).withColumn("carry", F.coalesce(F.lag("so_far").over(line), zero)).select("file", "split", "before", "carry")
+    inside = F.coalesce(F.sum("nt").over(Window.partitionBy("file", "split", "record").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), zero)
+    rows = rows.withColumn("inside", inside).join(splits, ["file", "split"])
+    at = F.col("inside") + F.when(F.col("record") == 0, F.col("carry")).otherwise(zero)
+    return rows.select("file", "split", "piece", (F.col("before") + F.col("record") - 1).alias("scaffold_id"), at.alias("at"), "nt")
+
+
+def read_blocks(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """scaffold_id, label, length, block, seq of FASTA files: scaffolds in blocks, as an index is built from; no row holds more than a block.
+
+    Scaffolds are numbered in order of file and place.
+    """
+    size, scratch = size or translate.NT, Scratch(spark, "fasta")
+    found = scratch.keep(pieces(spark, path, size), "pieces")
+    where = scratch.keep(placed(found), "places")
+    rows = found.join(where, ["file", "split", "piece"])
+    names = rows.groupBy("scaffold_id").agg(F.max("label").alias("label"), F.sum("nt").alias("length"))
+    last = F.col("at") + F.greatest(F.col("nt"), F.lit(1)) - 1
+    parts = rows.select("scaffold_id", "at", "seq", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor(last / size))).alias("block"))
+    start = F.greatest(F.col("block") * size, F.col("at"))
+    share = F.substring("seq", (start - F.col("at") + 1).cast("int"), ((F.col("block") + 1) * size - start).cast("int"))
+    parts = parts.groupBy("scaffold_id", "block").agg(F.array_sort(F.collect_list(F.struct(start.alias("start"), share.alias("share")))).alias("parts"))
+    blocks = parts.select("scaffold_id", "block", F.array_join("parts.share", "").alias("seq"))
+    return blocks.join(names, "scaffold_id").select("scaffold_id", "label", "length", "block", "seq")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """scaffold_id, label, length, start and seq: whole scaffolds, put together from read_blocks(). Text before the first > is an error."""
+    rows = read_blocks(spark, path).groupBy("scaffold_id", "label", "length").agg(F.array_sort(F.collect_list(F.struct("block", "seq"))).alias("parts"))
+    rows = rows.select("scaffold_id", "label", "length", F.array_join("parts.seq", "").alias("seq"))
+    return rows.join(scaffold_offsets(rows).select("scaffold_id", "start"), "scaffold_id").select("scaffold_id", "label", "length", "start", "seq")
 
 
 def running_total(rows: DataFrame, key: str, value: str, out: str, block: int = 65536) -> DataFrame:
@@ -47,22 +133,6 @@ def running_total(rows: DataFrame, key: str, value: str, out: str, block: int =
     return local.join(totals, "__block").withColumn(out, (F.col("__local") + F.col("__before")).cast("long")).drop("__block", "__local", "__before")
 
 
-def number_scaffolds(records: DataFrame) -> DataFrame:
-    """Give records(file, n, label, seq), numbered in each file from 1, ids and global starts in order of file and number.
-
-    Only the files' totals are ordered as a whole; sequences take no part in any window.
-    """
-    keys = records.select("file", F.col("n").cast("long").alias("n"), F.length("seq").cast("long").alias("length"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    files = keys.groupBy("file").agg(F.count("*").alias("c"), F.sum("length").alias("l"))
-    files = files.select("file", F.coalesce(F.sum("c").over(before), zero).alias("ids"), F.coalesce(F.sum("l").over(before), zero).alias("nts"))
-    place = Window.partitionBy("file").orderBy("n")
-    keys = keys.withColumn("row", F.row_number().over(place)).withColumn("nt", F.coalesce(F.sum("length").over(place.rowsBetween(Window.unboundedPreceding, -1)), zero))
-    numbered = keys.join(files, "file").select("file", "n", "length", (F.col("ids") + F.col("row") - 1).cast("long").alias("scaffold_id"), (F.col("nts") + F.col("nt")).cast("long").alias("start"))
-    return records.join(numbered, ["file", "n"]).select("scaffold_id", "label", "length", "start", "seq")
-
-
 def scaffold_offsets(scaffolds: DataFrame) -> DataFrame:
     """scaffold_id, length and global start: a running total over scaffolds."""
     return running_total(scaffolds.select("scaffold_id", "length"), "scaffold_id", "length", "start")

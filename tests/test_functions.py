@@ -1,6 +1,7 @@
 """Single operators on small inputs."""
 
 import random
+import re
 import subprocess
 import sys
 
@@ -98,9 +99,49 @@ def test_enzymes_and_stops(spark):
 def test_two_level_sums(spark, monkeypatch):
     rng = random.Random(3)
     genome = scaffolds(spark, "".join(rng.choice("ACGTN") for _ in range(500)))
-    want = sorted(map(tuple, residues(genome).drop("label").collect()), key=str)
-    monkeypatch.setattr(translate, "BLOCK", 7)
-    assert sorted(map(tuple, residues(genome).drop("label").collect()), key=str) == want
+    rows = lambda: sorted(map(tuple, residues(genome).drop("label", "inner").collect()), key=str)
+    want = rows()
+    for size in (15, 21, 60):
+        monkeypatch.setattr(translate, "NT", size)
+        assert rows() == want
+
+
+def test_fasta_blocks(spark, tmp_path):
+    """Several files, splits and block sizes; records without sequence, of one long line, and lines of any length."""
+    rng, want = random.Random(4), []
+    for name in ("a", "b", "c"):
+        text = ""
+        for i in range(rng.choice([1, 4, 9])):
+            seq = "".join(rng.choice("ACGTNacgtu-") for _ in range(rng.choice([0, 1, 50, 700])))
+            want.append((f"{name}{i} x", re.sub("[^ACGT]", "N", seq.upper())))
+            width = rng.choice([7, 60, 1000])
+            text += f">{name}{i} x\n" + "".join(seq[j : j + width] + rng.choice(["\n", "\r\n", "\n\n", " \n"]) for j in range(0, len(seq), width))
+        (tmp_path / f"{name}.fasta").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        whole = fasta.read_fasta(spark, str(tmp_path)).orderBy("scaffold_id").collect()
+        assert [(r["label"], r["seq"]) for r in whole] == want and [r["scaffold_id"] for r in whole] == list(range(len(want)))
+        assert all(r["length"] == len(r["seq"]) and r["start"] == sum(len(s) for _, s in want[: r["scaffold_id"]]) for r in whole)
+        for size in (16, 64):
+            rows = fasta.read_blocks(spark, str(tmp_path), size).orderBy("scaffold_id", "block").collect()
+            got = {}
+            for r in rows:
+                assert r["block"] == len(got.setdefault(r["scaffold_id"], [])) and len(r["seq"]) <= size
+                got[r["scaffold_id"]].append(r["seq"])
+            assert ["".join(got[i]) for i in range(len(want))] == [s for _, s in want]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_blocks_from_fasta_are_those_of_whole_scaffolds(spark, monkeypatch):
+    monkeypatch.setattr(translate, "NT", 45)
+    genome = scaffolds(spark, "".join(random.Random(2).choice("ACGT") for _ in range(200)), "", "ACG", "A" * 45)
+    whole = translate.nt_blocks(genome)
+    apart = translate.nt_blocks(whole.drop("ahead", "behind"))
+    key = lambda df: sorted(map(tuple, df.select("scaffold_id", "block", "seq", "ahead", "behind", "length").collect()))
+    assert key(whole) == key(apart) and len(key(whole)) == 8
 
 
 def test_band_join(spark):

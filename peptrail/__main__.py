@@ -15,6 +15,7 @@ from peptrail.functions.text import short_id, time_text
 from peptrail.operators.translate import six_frame
 from peptrail.plans import engine
 from peptrail.sources import fasta, sinks
+from peptrail.sources.scratch import Scratch
 
 log = logging.getLogger("peptrail")
 
@@ -63,13 +64,13 @@ def main(argv: list[str] | None = None) -> int:
     spark, began = SparkSession.builder.appName("peptrail").getOrCreate(), time.time()
     if args.command == "index":
         cfg = IndexConfig(args.tag_size, args.enzyme, args.mass_precision, args.mass_bits, args.genetic_code, args.title or short_id(args.genome))
-        engine.build_index(fasta.read_fasta(spark, args.genome), args.index, cfg, short_id(args.index))
+        engine.build_index(fasta.read_blocks(spark, args.genome), args.index, cfg, short_id(args.index))
     elif args.command == "check":
         bad = engine.verify_index(engine.open_index(spark, args.index)).count()
         print("index is sorted" if not bad else f"{bad} buckets are not sorted")
         return int(bad > 0)
     elif args.command == "dump":
-        for r in six_frame(fasta.read_fasta(spark, args.genome)).orderBy("scaffold_id", "strand", "frame").toLocalIterator():
+        for r in six_frame(fasta.read_blocks(spark, args.genome)).orderBy("scaffold_id", "strand", "frame").toLocalIterator():
             print(f"{r['label']} {r['strand']}{r['frame']} {r['orf']}")
         return 0
     else:
@@ -91,16 +92,20 @@ def search(spark: SparkSession, args: argparse.Namespace) -> None:
     for i, p in enumerate(parts[1:], 1):
         queries = queries.unionByName(p.withColumn("part", F.lit(i)))
     queries = queries.select((F.col("part").cast("long") * 2**40 + F.col("query_id")).alias("query_id"), "peptide", "precursor_mass")
-    found = engine.ordered(engine.search(index, queries, cfg))
-    if args.csv_output:
-        sinks.write_csv(found, args.csv_output, precision, cfg.flanking_residues > 0)
-    else:
-        rows = sinks.csv_rows(found, precision, cfg.flanking_residues > 0)
-        print(",".join(rows.columns))
-        for r in rows.toLocalIterator():
-            print(",".join(f'"{v}"' if c == "Assembly" else v for c, v in r.asDict().items()))
-    if args.peptides_output:
-        sinks.write_peptides(found, args.peptides_output)
+    scratch = Scratch(spark, "search")
+    try:
+        found = engine.ordered(engine.search(index, queries, cfg, scratch))
+        if args.csv_output:
+            sinks.write_csv(found, args.csv_output, precision, cfg.flanking_residues > 0)
+        else:
+            header, rows = sinks.csv_lines(found, precision, cfg.flanking_residues > 0)
+            print(header)
+            for r in rows.toLocalIterator():
+                print(r["value"])
+        if args.peptides_output:
+            sinks.write_peptides(found, args.peptides_output)
+    finally:
+        scratch.close()
 
 
 if __name__ == "__main__":

@@ -50,6 +50,11 @@ class Scratch:
                 delete(self.spark, df.scratch_path)
 
 
+    def close(self) -> None:
+        """Delete all tables; no plan that reads one may run any more."""
+        delete(self.spark, self.root)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished plans that nothing refers to any more.
 

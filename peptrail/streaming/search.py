@@ -11,12 +11,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from peptrail.functions.config import SearchConfig
 from peptrail.plans.engine import Index, search
+from peptrail.sources.scratch import Scratch
 
 
 def search_stream(peptides: DataFrame, index: Index, path: str, checkpoint: str, cfg: SearchConfig = SearchConfig()) -> StreamingQuery:
     """Write the alignments of each batch of a streaming DataFrame (query_id, peptide, precursor_mass) below path."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        search(index, batch, cfg).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        scratch = Scratch(batch.sparkSession, "stream")
+        try:
+            search(index, batch, cfg, scratch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            scratch.close()
 
     return peptides.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

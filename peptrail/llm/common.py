@@ -63,6 +63,10 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 _holder: list[Callable[[], None]] = []
 
 
+def _nothing() -> None:
+    """The cache of a stage that has none."""
+
+
 def hold(clear: Callable[[], None]) -> None:
     """Workers are used again by other stages: whoever fills a cache in one first empties the cache of the stage before."""
     if not _holder or _holder[0] is not clear:
@@ -171,6 +175,7 @@ def text_words(text: str | None) -> np.ndarray:
 
 def blocks(batches: Iterable[pa.RecordBatch], at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into parts of about `size` bytes of the text column at `at`, so that a batch of long texts needs no more memory than others."""
+    hold(_nothing)
     for batch in batches:
         _, ends = column_bytes(batch.column(at))
         start = 0

@@ -153,13 +153,13 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
     return rows.dropDuplicates(["cid"])
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8, bands: int = 40, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8, bands: int = 40, rows: int = 6, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, cid, component, component_id, kept (doc_id = component_id).
 
     Components whose smallest doc_ids are equal (of texts that share a doc_id) differ in component, a cid of theirs.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = scratch or Scratch(spark, "minhash")
     num, den = round(similarity * 100), 100
     base = scratch.keep(sketches(docs, width, bands, rows), "sketches")
 

@@ -126,9 +126,9 @@ def pivot_with_pool(keys: list, sizes: np.ndarray, shares: np.ndarray, seed: int
     return shares
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, group: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, group: int = 4096, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, copies, taken."""
-    scratch = Scratch(docs.sparkSession, "mixing")
+    scratch = scratch or Scratch(docs.sparkSession, "mixing")
     sized = scratch.keep(sizes(docs), "sizes")
     goal = scratch.keep(targets(sized, scratch, weights, most), "targets")
     deepest = goal.agg(F.max("n_docs")).first()[0] or 0

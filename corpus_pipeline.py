@@ -50,8 +50,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat a doc_id are judged by their own texts: of each group one row stays.
     """
-    scratch = Scratch(spark, "pipeline")
-    found = scratch.keep(minhash.near_duplicates(docs, width=WORDS).select("doc_id", "cid", "component", "kept"), "judged")
+    scratch, inner = Scratch(spark, "pipeline"), Scratch(spark, "minhash")
+    found = scratch.keep(minhash.near_duplicates(docs, width=WORDS, scratch=inner).select("doc_id", "cid", "component", "kept"), "judged")
+    inner.close()
     again = scratch.keep(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "again")
     gone = scratch.keep(found.where("not kept").select(F.col("doc_id").alias("__gone")).unionByName(again.select(F.col("__again").alias("__gone"))).distinct(), "gone")
     few = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
@@ -83,9 +84,10 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words or more that repeat an earlier text's; n_chars follows, texts without a word left go."""
-    scratch = Scratch(spark, "pipeline")
-    found = substring.repeated_passages(docs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
+    scratch, inner = Scratch(spark, "pipeline"), Scratch(spark, "passages")
+    found = substring.repeated_passages(docs, scratch=inner).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
     found = scratch.keep(found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("text_key", "spans")).alias("__cuts")), "cuts")
+    inner.close()
     ids = found.select("__id")
     ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
     same = docs["doc_id"] == ids["__id"]
@@ -109,10 +111,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix takes it; documents that it takes no time go."""
-    scratch = Scratch(spark, "pipeline")
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
+    scratch, inner = Scratch(spark, "pipeline"), Scratch(spark, "mixing")
+    copies = mixing.mix(docs, scratch=inner).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
     # rows that repeat a doc_id within a source share the sum of their copies, dealt by a running number
     copies = scratch.keep(copies.groupBy("__id", "__source", "__size").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows")).where("__sum > 0"), "copies")
+    inner.close()
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
     sized = docs.withColumn("__words", size)
     match = sized["doc_id"].eqNullSafe(copies["__id"]) & sized["source"].eqNullSafe(copies["__source"]) & (F.col("__words") == F.col("__size"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from peptrail.functions import tables
 from peptrail.functions.config import IndexConfig, SearchConfig
 from peptrail.functions.text import short_id, time_text
-from peptrail.operators.translate import six_frame
+from peptrail.operators.dump import genome_dump, html
 from peptrail.plans import engine
 from peptrail.sources import fasta, sinks
 from peptrail.sources.scratch import Scratch
@@ -23,6 +23,7 @@ log = logging.getLogger("peptrail")
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="peptrail", description=__doc__)
     p.add_argument("--quiet", action="store_true")
+    p.add_argument("--genetic-codes", help="a file of genetic codes, in addition to those known")
     sub = p.add_subparsers(dest="command", required=True)
     ix = sub.add_parser("index", help="index a FASTA file")
     ix.add_argument("genome")
@@ -48,8 +49,10 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--peptides-output")
     c = sub.add_parser("check", help="check that a stored index is sorted")
     c.add_argument("index")
-    sub.add_parser("codes", help="list the genetic codes")
-    d = sub.add_parser("dump", help="print all frames of a FASTA file")
+    k = sub.add_parser("codes", help="list the genetic codes, or the codons of one as CSV")
+    k.add_argument("--codons", type=int, metavar="CODE")
+    d = sub.add_parser("dump", help="print both strands and all frames of a FASTA file under a ruler")
+    d.add_argument("--html", action="store_true")
     d.add_argument("genome")
     return p
 
@@ -57,7 +60,13 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.WARNING if args.quiet else logging.INFO, format="%(message)s")
+    if args.genetic_codes:
+        tables.load_genetic_codes(args.genetic_codes)
     if args.command == "codes":
+        if args.codons is not None:
+            for codon, aa in tables.codon_table(args.codons).items():
+                print(f"{codon.replace('T', 'U')};{aa.replace('*', '$')}")
+            return 0
         for code, (title, _) in sorted(tables.GENETIC_CODES.items()):
             print(f"{code}\t{title}")
         return 0
@@ -70,8 +79,9 @@ def main(argv: list[str] | None = None) -> int:
         print("index is sorted" if not bad else f"{bad} buckets are not sorted")
         return int(bad > 0)
     elif args.command == "dump":
-        for r in six_frame(fasta.read_blocks(spark, args.genome)).orderBy("scaffold_id", "strand", "frame").toLocalIterator():
-            print(f"{r['label']} {r['strand']}{r['frame']} {r['orf']}")
+        dump = genome_dump(fasta.read_blocks(spark, args.genome))
+        for line in html(dump) if args.html else (r["text"] for r in dump.toLocalIterator()):
+            print(line)
         return 0
     else:
         search(spark, args)

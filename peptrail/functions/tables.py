@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from itertools import product
 
@@ -38,6 +39,38 @@ BASES = "TCAG"
 INDEX_BASES = "ACGTN"
 
 
+def parse_genetic_codes(text: str) -> dict[int, tuple[str, str]]:
+    """Genetic codes by id, as (title, amino acids in base order TCAG), from text.
+
+    A code is a title line `id. title`, then lines `key = 64 characters` for AAs, Starts, Base1, Base2 and Base3 in any
+    order; # begins a comment line. Base1 to Base3 tell which codon each column is.
+    """
+    out, lines = {}, [line.strip() for line in text.splitlines()]
+    lines = [line for line in lines if line and not line.startswith("#")]
+    for at in range(0, len(lines), 6):
+        title = re.match(r"(\d+)\.\s*(.*)", lines[at])
+        rows = dict(re.split(r"\s*=\s*", line, maxsplit=1) for line in lines[at + 1 : at + 6] if "=" in line)
+        if not title or set(rows) != {"AAs", "Starts", "Base1", "Base2", "Base3"} or any(len(r) != 64 for r in rows.values()):
+            raise ValueError(f"no genetic code at {lines[at]!r}: a title and five lines of 64 characters are needed")
+        by = {"".join(c): aa for *c, aa in zip(rows["Base1"].upper(), rows["Base2"].upper(), rows["Base3"].upper(), rows["AAs"].upper())}
+        order = list(map("".join, product(BASES, repeat=3)))
+        if set(by) != set(order) or int(title[1]) in out:
+            raise ValueError(f"the genetic code {title[1]} is given twice, or its bases do not make the 64 codons")
+        out[int(title[1])] = title[2].split(" (transl_table")[0], "".join(by[c] for c in order)
+    return out
+
+
+def load_genetic_codes(path: str) -> None:
+    """Add a file's genetic codes, in place of those with the same id."""
+    with open(path, encoding="utf-8") as f:
+        add_genetic_codes(parse_genetic_codes(f.read()))
+
+
+def add_genetic_codes(codes: dict[int, tuple[str, str]]) -> None:
+    GENETIC_CODES.update(codes)
+    codon_string.cache_clear()
+
+
 def codon_table(code: int = 1) -> dict[str, str]:
     """Codon to amino acid for all 125 codons over ACGTN; N is a residue only where all completions agree, else X."""
     if code not in GENETIC_CODES:

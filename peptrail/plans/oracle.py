@@ -125,14 +125,81 @@ IMMEDIATE = f"""extended AS (
              || ':' || 3 * (last_idx - first_idx + 1) AS assembly
     FROM extended x JOIN orfs o ON o.scaffold_id = x.scaffold_id AND o.strand = x.strand AND o.frame = x.frame
 )"""
+SITES = """sites AS (SELECT scaffold_id, strand, i AS pos, substr(seq, i + 1, 2) AS motif, substr('NN' || seq, i + 1, 2) AS ahead, substr(seq || 'NN', i + 3, 2) AS behind
+    FROM strands, LATERAL (SELECT unnest(range(CAST(greatest(length(seq) - 1, 0) AS BIGINT))) AS i) WHERE substr(seq, i + 1, 2) IN ('GT', 'GC', 'AG'))"""
+LIGHT = min(fixed_masses().values())
+_CODON = codon_aa("codon")
+#: Split alignments of the queries in `wanted(peptide)`: exons from anchors, introns of the default motifs, second exons by mass.
+INTRONS = f"""exons AS (
+    SELECT w.peptide AS query, a.scaffold_id, a.strand, a.frame, a.is_right, least(a.anchor_idx, e.idx) AS first_idx, greatest(a.anchor_idx, e.idx) AS last_idx,
+           CASE WHEN a.is_right THEN a.anchor_cum - e.cum_mass ELSE e.cum_end - a.anchor_cum END AS exon_mass,
+           a.frame + 3 * (e.idx + CASE WHEN a.is_right THEN 0 ELSE 1 END) AS edge, w.lo, w.hi, s.split
+    FROM anchors a JOIN wanted USING (peptide) JOIN windowed w USING (peptide) JOIN ends e ON e.scaffold_id = a.scaffold_id AND e.strand = a.strand AND e.frame = a.frame, (VALUES (0), (1), (2)) s(split)
+    WHERE CASE WHEN a.is_right THEN e.idx <= a.anchor_idx - a.steps - 4 AND e.bad = a.anchor_bad AND a.anchor_cum - e.cum_mass + {WATER} + {LIGHT} <= w.hi
+               ELSE e.idx >= a.anchor_idx + a.steps + 4 AND e.spoiled = a.anchor_bad AND e.cum_end - a.anchor_cum + {WATER} + {LIGHT} <= w.hi END
+), gaps AS (
+    SELECT x.*, d.pos AS gap_start, a.pos + 2 AS gap_end, d.motif || '|' || a.motif AS splice_site
+    FROM exons x JOIN sites d ON d.scaffold_id = x.scaffold_id AND d.strand = x.strand AND d.motif IN ('GT', 'GC') AND d.pos = x.edge + x.split
+    JOIN sites a ON a.scaffold_id = x.scaffold_id AND a.strand = x.strand AND a.motif = 'AG' AND a.pos BETWEEN d.pos AND d.pos + 2099 - x.split
+    WHERE NOT x.is_right
+    UNION ALL
+    SELECT x.*, d.pos, a.pos + 2, d.motif || '|' || a.motif
+    FROM exons x JOIN sites a ON a.scaffold_id = x.scaffold_id AND a.strand = x.strand AND a.motif = 'AG' AND a.pos = x.edge - x.split - 2
+    JOIN sites d ON d.scaffold_id = x.scaffold_id AND d.strand = x.strand AND d.motif IN ('GT', 'GC') AND d.pos + 2 BETWEEN x.edge - x.split - 2099 + x.split AND x.edge - x.split
+    WHERE x.is_right
+), coded AS (
+    SELECT g.*, CASE WHEN split = 0 THEN '' WHEN is_right THEN substr(t.seq, gap_start - 2 + split, 3 - split) || substr(t.seq, gap_end + 1, split)
+                     ELSE substr(t.seq, edge + 1, split) || substr(t.seq, gap_end + 1, 3 - split) END AS codon
+    FROM gaps g JOIN strands t ON t.scaffold_id = g.scaffold_id AND t.strand = g.strand
+    WHERE split = 0 OR NOT is_right OR gap_start >= 3 - split
+), joined AS (
+    SELECT c.*, CASE WHEN split > 0 THEN {_CODON} ELSE '' END AS split_aa, exon_mass + coalesce(m.m, 0) + {WATER} AS so_far,
+           CASE WHEN is_right THEN gap_start - (3 - split) % 3 ELSE gap_end + (3 - split) % 3 END AS start
+    FROM coded c LEFT JOIN masses m ON split > 0 AND m.aa = {_CODON}
+    WHERE split = 0 OR length(codon) = 3 AND m.m IS NOT NULL
+), both_exons AS (
+    SELECT j.*, NULL AS first2, NULL AS last2, 0 AS frame2, so_far AS hit_mass FROM joined j WHERE split > 0 AND so_far BETWEEN lo AND hi
+    UNION ALL
+    SELECT j.*, n.idx, e.idx, n.frame, so_far + e.cum_end - n.cum_mass
+    FROM joined j JOIN ends n ON n.scaffold_id = j.scaffold_id AND n.strand = j.strand AND n.frame = j.start % 3 AND n.idx = j.start // 3
+    JOIN ends e ON e.scaffold_id = j.scaffold_id AND e.strand = j.strand AND e.frame = n.frame AND e.idx >= n.idx AND e.spoiled = n.bad AND so_far + e.cum_end - n.cum_mass BETWEEN lo AND hi
+    WHERE NOT is_right AND so_far < hi
+    UNION ALL
+    SELECT j.*, e.idx, n.idx, n.frame, so_far + n.cum_end - e.cum_mass
+    FROM joined j JOIN ends n ON n.scaffold_id = j.scaffold_id AND n.strand = j.strand AND n.frame = j.start % 3 AND n.idx = j.start // 3 - 1
+    JOIN ends e ON e.scaffold_id = j.scaffold_id AND e.strand = j.strand AND e.frame = n.frame AND e.idx <= n.idx AND e.bad = n.spoiled AND so_far + n.cum_end - e.cum_mass BETWEEN lo AND hi
+    WHERE is_right AND so_far < hi AND start >= 0
+), sized AS (
+    SELECT b.*, 3 * (last_idx - first_idx + 1) + split AS anchor_nt,
+           3 * coalesce(last2 - first2 + 1, 0) + (3 - split) % 3 AS other_nt
+    FROM both_exons b
+), stretched AS (
+    SELECT z.*, CASE WHEN is_right THEN other_nt ELSE anchor_nt END AS size1, CASE WHEN is_right THEN anchor_nt ELSE other_nt END AS size2 FROM sized z
+), split_texts AS (
+    SELECT z.*, gap_start - size1 AS start1, gap_end + size2 AS stop, o.label, o.length,
+           substr(o.orf, CAST(first_idx + 1 AS BIGINT), CAST(last_idx - first_idx + 1 AS BIGINT)) AS mine,
+           coalesce(substr(p.orf, CAST(first2 + 1 AS BIGINT), CAST(last2 - first2 + 1 AS BIGINT)), '') AS other
+    FROM stretched z JOIN orfs o ON o.scaffold_id = z.scaffold_id AND o.strand = z.strand AND o.frame = z.frame
+    LEFT JOIN orfs p ON p.scaffold_id = z.scaffold_id AND p.strand = z.strand AND p.frame = z.frame2
+), split_alignments AS (
+    SELECT DISTINCT x.query, coalesce(substr(n.orf, CAST(greatest(start1 // 3 - 5, 0) + 1 AS BIGINT), CAST(start1 // 3 - greatest(start1 // 3 - 5, 0) AS BIGINT)), '') AS aa_n_term,
+           CASE WHEN is_right THEN other || split_aa || mine ELSE mine || split_aa || other END AS peptide,
+           coalesce(substr(c.orf, CAST(stop // 3 + 1 AS BIGINT), 5), '') AS aa_c_term, round(hit_mass / 10000.0, 4) AS mass,
+           '{{index/' || x.label || '}}' || x.strand || CASE WHEN x.strand = '+' THEN start1 ELSE x.length - 1 - start1 END || ':' || size1
+             || ',' || CASE WHEN x.strand = '+' THEN gap_end ELSE x.length - 1 - gap_end END || ':' || size2 AS assembly,
+           CAST(gap_end - gap_start AS BIGINT) AS intron_length, splice_site
+    FROM split_texts x LEFT JOIN orfs n ON n.scaffold_id = x.scaffold_id AND n.strand = x.strand AND n.frame = start1 % 3
+    LEFT JOIN orfs c ON c.scaffold_id = x.scaffold_id AND c.strand = x.strand AND c.frame = stop % 3
+    WHERE replace(CASE WHEN is_right THEN other || split_aa || mine ELSE mine || split_aa || other END, 'I', 'L') = replace(x.query, 'I', 'L')
+), numbered AS (SELECT peptide, row_number() OVER (ORDER BY peptide) AS query_id FROM peptides)"""
 _OWN = ("scaffolds", "strands", "places", "typed", "flagged", "residues")
 
 
-def search_chain(*parts: str, last: str) -> str:
-    """Queries from benchmark against documents as the genome."""
+def search_chain(*parts: str, last: str, genome: str = "documents") -> str:
+    """Queries from benchmark against a table as the genome."""
     import re
 
     mine = ", ".join([scaffolds("benchmark"), STRANDS, RESIDUE_ROWS])
     mine = re.sub(r"\b(" + "|".join(_OWN) + r")\b", r"p_\1", mine)
-    theirs = ", ".join([scaffolds("documents"), STRANDS, RESIDUE_ROWS, ORFS, SPANS, HMST])
+    theirs = ", ".join([scaffolds(genome), STRANDS, RESIDUE_ROWS, ORFS, SPANS, HMST])
     return "WITH " + ", ".join([CODES, mine, PEPTIDES, theirs, *parts]) + " " + last

@@ -59,7 +59,11 @@ def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = small_residues(spark, sf_dir).where("strand = '+' and span_id > 0").groupBy("scaffold_id", "frame", "span_id")
     text = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "aa"))), lambda r: r["aa"]), "").alias("peptide"))
     text = text.select("peptide").where(S.is_peptide("peptide") & (F.length("peptide") >= 8)).distinct()
-    return text.select(F.row_number().over(Window.orderBy("peptide")).cast("long").alias("query_id"), "peptide", F.lit(None).cast("long").alias("precursor_mass"))
+    ranged = Scratch(spark, "peptides").keep(text.repartitionByRange("peptide").withColumn("part", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # numbered range by range: this window holds a row for each
+    parts = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("peptide"))
+    return ranged.withColumn("place", place).join(F.broadcast(parts), "part").select((F.col("before") + F.col("place")).cast("long").alias("query_id"), "peptide", F.lit(None).cast("long").alias("precursor_mass"))
 
 
 def searched(spark, sf_dir, cfg: SearchConfig) -> DataFrame:
@@ -303,10 +307,10 @@ def bucket_offsets(spark, sf_dir):
 
 @query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="SELECT tag, is_right, CAST(half_mass AS BIGINT) AS half_mass, row_number() OVER (PARTITION BY tag, is_right ORDER BY half_mass) AS place FROM hmst"))
 def index_sorted(spark, sf_dir):
-    """Postings as stored: sorted by mass in each bucket."""
+    """Postings by their stored place in each bucket, which is that by mass."""
     index = engine.build_index(small_genome(spark, sf_dir), Scratch(spark, "index").path("small"))
-    stored = index.postings.withColumn("at", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.partitionBy("tag", "is_right").orderBy("half_mass", "at"))
+    stored = index.postings.withColumn("at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy("tag", "is_right").orderBy("at"))
     return stored.select("tag", "is_right", "half_mass", place.cast("long").alias("place"))
 
 
@@ -389,24 +393,20 @@ def conditional_introns(spark, sf_dir):
     return q.join(direct.select("query_id").distinct(), "query_id", "left_anti").select(F.col("peptide").alias("query"))
 
 
-SITES = """sites AS (SELECT scaffold_id, strand, i AS pos, substr(seq, i + 1, 2) AS motif, substr('NN' || seq, i + 1, 2) AS ahead, substr(seq || 'NN', i + 3, 2) AS behind
-    FROM strands, LATERAL (SELECT unnest(range(CAST(greatest(length(seq) - 1, 0) AS BIGINT))) AS i) WHERE substr(seq, i + 1, 2) IN ('GT', 'GC', 'AG'))"""
-
-
-@query(O.chain("documents", SITES, last="SELECT scaffold_id, strand, motif, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum, min(ahead || behind) AS least FROM sites GROUP BY ALL"))
+@query(O.chain("documents", O.SITES, last="SELECT scaffold_id, strand, motif, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum, min(ahead || behind) AS least FROM sites GROUP BY ALL"))
 def splice_sites(spark, sf_dir):
     rows = introns.motif_sites(genome(spark, sf_dir), ["GT", "GC", "AG"])
     return rows.groupBy("scaffold_id", "strand", "motif").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"), F.min(F.concat("ahead", "behind")).alias("least"))
 
 
-@query(O.chain("benchmark", SITES, last="""
+@query(O.chain("benchmark", O.SITES, last="""
     SELECT d.scaffold_id, d.strand, d.pos AS d_pos, a.pos AS a_pos, d.motif AS d_motif, a.motif AS a_motif, a.pos + 2 - d.pos AS intron_length
     FROM sites d JOIN sites a ON d.scaffold_id = a.scaffold_id AND d.strand = a.strand AND d.motif IN ('GT', 'GC') AND a.motif = 'AG' AND a.pos - d.pos BETWEEN 0 AND 2099"""))
 def intron_candidates(spark, sf_dir):
     return introns.intron_candidates(small_genome(spark, sf_dir))
 
 
-@query(O.chain("benchmark", O.RESIDUE_ROWS, SITES, last="""
+@query(O.chain("benchmark", O.RESIDUE_ROWS, O.SITES, last="""
     SELECT r.scaffold_id, r.strand, CAST(r.frame AS INTEGER) AS frame, r.idx, CAST(s.split AS INTEGER) AS split, t.motif
     FROM residues r, (VALUES (0), (1), (2)) s(split), sites t
     WHERE r.valid AND t.scaffold_id = r.scaffold_id AND t.strand = r.strand AND t.pos = r.frame + 3 * r.idx + 3 + s.split AND t.motif IN ('GT', 'GC')"""))
@@ -418,16 +418,24 @@ def intron_starts(spark, sf_dir):
     return rows.join(donors, ["scaffold_id", "strand", "d_pos"]).select(*FRAME, "idx", "split", F.col("d_motif").alias("motif"))
 
 
-@query()
+SPLIT = "SELECT query_id, query, aa_n_term, s.peptide, aa_c_term, CAST(mass AS DOUBLE) AS mass, assembly, intron_length, splice_site FROM split_alignments s JOIN numbered n ON n.peptide = s.query"
+
+
+@query(O.search_chain(O.query_tags(True), O.HITS, O.SITES, "wanted AS (SELECT peptide FROM peptides)", O.INTRONS, genome="benchmark", last=SPLIT))
 def split_alignments(spark, sf_dir):
-    """Intron-split alignments of all peptides against the small genome; tested against goldens and brute force."""
+    """Intron-split alignments of all peptides against the small genome."""
     cfg = SearchConfig(similarity_search=False, search_immediate=False, search_intron_split="yes")
     return engine.search(engine.make_index(small_genome(spark, sf_dir)), peptides(spark, sf_dir), cfg)
 
 
-@query()
+@query(O.search_chain(
+    O.query_tags(True), O.HITS, O.IMMEDIATE, "direct AS (SELECT * FROM alignments WHERE replace(peptide, 'I', 'L') = replace(query, 'I', 'L'))",
+    "found AS (SELECT scaffold_id FROM anchors)", O.SITES.replace("FROM strands,", "FROM (SELECT * FROM strands WHERE scaffold_id IN (SELECT scaffold_id FROM found)) t,"),
+    "wanted AS (SELECT peptide FROM peptides WHERE peptide NOT IN (SELECT query FROM direct))", O.INTRONS,
+    last=SPLIT + " UNION ALL SELECT DISTINCT query_id, query, aa_n_term, d.peptide, aa_c_term, CAST(mass AS DOUBLE), assembly, CAST(NULL AS BIGINT), NULL FROM direct d JOIN numbered n ON n.peptide = d.query",
+))
 def ordered_alignments(spark, sf_dir):
-    """The whole conditional search over all documents, in display order; tested against goldens and brute force."""
+    """The whole conditional search over all documents, in display order."""
     return engine.ordered(searched(spark, sf_dir, EXACT))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,9 +60,12 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished plans that nothing refers to any more.
 
     They go when the driver's JVM collects its garbage, which a driver with little to do may put off for half an hour.
+    What the first round lets go of is seen as garbage in the second.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -4,6 +4,7 @@ import random
 import re
 import subprocess
 import sys
+from itertools import product
 from pathlib import Path
 
 import pytest
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from peptrail.functions import mass, sequence, tables, text
 from peptrail.functions.config import IndexConfig, SearchConfig
-from peptrail.operators import introns, translate
+from peptrail.operators import dump, introns, translate
 from peptrail.operators.bands import band_join, scaffold_lookup
 from peptrail.operators.translate import residues, spans
 from peptrail.plans import engine
@@ -189,6 +190,42 @@ def test_stream(spark, tmp_path):
     assert not list(Path(shared_folder(spark).removeprefix("file://")).glob("stream-*"))  # a batch's tables go with it
 
 
+def test_genetic_code_file(spark, tmp_path):
+    bases = ["".join(c) for c in zip(*("".join(x) for x in product("TCAG", repeat=3)))]
+    block = lambda i, aas: f"# a comment\n{i}. Code {i} (transl_table={i})\n\nAAs = {aas}\nStarts={'-' * 64}\n" + "".join(f"Base{j + 1}  = {b}\n" for j, b in enumerate(bases))
+    aas = tables.GENETIC_CODES[1][1]
+    (tmp_path / "codes").write_text(block(1, aas) + "\n" + block(77, "G" * 60 + aas[60:]))
+    tables.load_genetic_codes(str(tmp_path / "codes"))
+    assert tables.GENETIC_CODES[77] == ("Code 77", "G" * 60 + aas[60:]) and tables.codon_table(77)["TTT"] == "G" and tables.codon_table(1)["TTT"] == "F"
+    for bad in (block(1, aas[:-1]), block(1, aas) + block(1, aas), block(1, aas).replace("Base3", "Base4"), "x"):
+        with pytest.raises(ValueError, match="genetic code"):
+            tables.parse_genetic_codes(bad)
+    index = engine.build_index(scaffolds(spark, "TTTTTTTTTAAATTTTTT"), str(tmp_path / "ix"), IndexConfig(genetic_code=77, tag_size=2))
+    del tables.GENETIC_CODES[77]
+    assert engine.open_index(spark, str(tmp_path / "ix")).config == index.config and tables.GENETIC_CODES.pop(77)[0] == "Code 77"
+
+
+def test_genome_dump(spark, monkeypatch):
+    rng = random.Random(1)
+    monkeypatch.setattr(translate, "NT", 33)
+    monkeypatch.setattr(dump, "NT", 33)
+    genome, table = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (100, 12, 0, 2)], tables.codon_table()
+    got = dump.genome_dump(scaffolds(spark, *genome), width=12).collect()
+    assert [(r["scaffold_id"], r["offset"]) for r in got] == [(i, at) for i, seq in enumerate(genome) for at in range(0, len(seq), 12)]
+    for r in got:
+        seq, at = genome[r["scaffold_id"]], r["offset"]
+        lines = r["text"].split("\n")
+        part = seq[at : at + 12]
+        turned = part.translate(str.maketrans("ACGT", "TGCA"))
+        assert lines[:3] == [f"{at:<9}.{at + 10:<9}.", part, turned]
+        for row in range(3):
+            places = [p for p in range(at, min(at + 12, len(seq) - 2)) if p % 3 == row]
+            for line, letter in ((lines[3 + row], lambda c: table[c]), (lines[6 + row], lambda c: table[c[::-1].translate(str.maketrans("ACGT", "TGCA"))])):
+                assert line == "".join(letter(seq[p : p + 3]) if p in places else " " for p in range(at, at + 12)).rstrip()
+    page = "\n".join(dump.html(dump.genome_dump(scaffolds(spark, "ACGT"))))
+    assert "<h1>s0</h1>" in page and page.endswith("</html>")
+
+
 def test_command_line():
     out = subprocess.run([sys.executable, "-m", "peptrail", "codes"], capture_output=True, text=True, check=True).stdout
     assert out.startswith("1\tThe Standard Code") and "Vertebrate" in out

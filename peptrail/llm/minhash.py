@@ -163,21 +163,22 @@ def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8, ba
     num, den = round(similarity * 100), 100
     base = scratch.keep(sketches(docs, width, bands, rows), "sketches")
 
-    spread = base.where("cid is not null").select("cid", F.explode("bands").alias("bucket"))
+    # a row for each class of equal sets, however many rows it has; its bands are the same in all of them
+    classes = base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.keep(classes, "classes")
+    spread = classes.select("cid", F.explode("bands").alias("bucket"))
     centres = spread.groupBy("bucket").agg(F.min("cid").alias("centre"), F.max("cid").alias("other")).where("centre <> other").select("bucket", "centre")
     shared = scratch.keep(spread.join(centres, "bucket").select("bucket", "centre", "cid").distinct(), "shared")
     edges = shared.where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
-    known = base.join(shared.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("n_shingles").alias("n"))
-    known = scratch.keep(known, "known")
+    known = scratch.keep(classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", "least", "n"), "known")
     x, y = known.alias("x"), known.alias("y")
     near = (F.col("x.n") * num <= F.col("y.n") * den) & (F.col("y.n") * num <= F.col("x.n") * den)
     edges = edges.join(x, F.col("a") == F.col("x.cid")).join(y, (F.col("b") == F.col("y.cid")) & near).select("a", "b")
 
     tested = scratch.keep(edges, "edges")
     if tested.isEmpty():
-        return finish(base, None)
-    wanted = base.join(shared.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = scratch.keep(wanted.select("doc_id").distinct(), "wanted")
+        return finish(base, classes, None, scratch)
+    wanted = scratch.keep(known.select(F.col("least").alias("doc_id")).distinct(), "wanted")
     texts = semi_by_size(docs.select("doc_id", "text").where("doc_id is not null"), wanted.where("doc_id is not null"), "doc_id")
     if not wanted.where("doc_id is null").isEmpty():
         texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
@@ -198,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, similarity: float = 0.8, ba
             groups = components(links, scratch)
         scratch.drop(left)
     scratch.drop(shared, known, tested, wanted, sets)
-    return finish(base, groups)
+    return finish(base, classes, groups, scratch)
 
 
 def links_inside(members: DataFrame, sets: DataFrame, similarity: float, num: int, den: int, centres: int | None) -> DataFrame:
@@ -234,17 +235,32 @@ def confirm(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return arrow_map(edges, ["a", "b", "items_a", "items_b"], close, "a long, b long")
 
 
-def finish(base: DataFrame, groups: DataFrame | None) -> DataFrame:
+#: A key with more than one row in so many is looked up in a broadcast table, which therefore has no more rows than this.
+HOT = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """rows joined with table(key, size, ...) on key; size is the number of rows with it.
+
+    The few largest keys are joined without a shuffle, so that a key of a third of all rows is spread like the rest.
+    """
+    table = scratch.keep(table, "names")
+    total = table.agg(F.sum("size")).first()[0] or 0
+    large = F.broadcast(table.where(F.col("size") * HOT > total).drop("size"))
+    rest = rows.join(large.select(key), key, "left_anti").join(table.where(F.col("size") * HOT <= total).drop("size"), key)
+    return rows.join(large, key).unionByName(rest)
+
+
+def finish(base: DataFrame, classes: DataFrame, groups: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Name each class's component by its smallest doc_id and give each row its component."""
     rows = base.select("doc_id", "n_shingles", "cid")
     alone = rows.where("cid is null").withColumn("component_id", F.col("doc_id"))
-    rows = rows.where("cid is not null")
-    classes = rows.groupBy("cid").agg(F.min("doc_id").alias("least"))
-    if groups is None:
-        named = classes.select("cid", F.col("cid").alias("component"), F.col("least").alias("component_id"))
-    else:
-        classes = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = classes.join(names, "component").select("cid", "component", "component_id")
-    out = rows.join(named, "cid").unionByName(alone, allowMissingColumns=True)
+    named = classes.select("cid", "size", F.col("cid").alias("component"), F.col("least").alias("component_id"))
+    if groups is not None:
+        groups = groups.withColumnRenamed("node", "cid")
+        linked = scratch.keep(classes.select("cid", F.col("size").alias("rows"), "least").join(groups, "cid"), "linked")
+        names = linked.groupBy("component").agg(F.count("*").alias("size"), F.min("least").alias("component_id"))
+        linked = look_up(linked, names, "component", scratch).select("cid", F.col("rows").alias("size"), "component", "component_id")
+        named = named.join(groups, "cid", "left_anti").unionByName(linked)
+    out = look_up(rows.where("cid is not null"), named, "cid", scratch).unionByName(alone, allowMissingColumns=True)
     return out.select("doc_id", "n_shingles", "cid", "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peptrail.llm import bpe, chat, kdtree, langid, minhash, mixing, quality, substring, toxicity, warc
-from peptrail.llm.common import Scratch
+from peptrail.llm.common import WORD, Scratch
 
 CATEGORIES = ["low_quality", "toxic"]
 
@@ -86,8 +86,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_toxicity, op2_quality_rules, op3_substring_dedup, op4_byte_bpe, op5_minhash_near_dedup, op6_mixing, op7_exact_top_k, op8_language_id, op9_chat_format, op10_warc)
 }
 
-#: SQL exists where DuckDB has the functions: inner products and document statistics. The rest is tested against brute force.
+#: Capitals of ASCII and their small letters, for translate().
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_GUARDED = "length(replace({0}, '\\', '\\\\'))" + "".join(f" + (length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in chat.CONTROLS)
+_OK = "'</s>[INST] ok [/INST]'"
+_DIGIT = "substr('{}', CAST((v // {}) % 32 + 1 AS BIGINT), 1)"
+_BASE32 = "list_aggregate(list_transform(range(8), lambda i: list_extract(list_transform([('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5))::BIGINT], lambda v: " + " || ".join(_DIGIT.format(warc.BASE32, 32**k) for k in (3, 2, 1, 0)) + "), 1)), 'string_agg', '')"
+#: What DuckDB can express. The others (1 to 4, 6 and 8) are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": f"""
+        WITH RECURSIVE listed AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '{WORD}') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s
+            FROM listed
+        ), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reached AS (
+            SELECT DISTINCT a AS node, a AS other FROM links
+            UNION SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other
+        ), least AS (SELECT node, min(other) AS other FROM reached GROUP BY node)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(other, doc_id) AS component_id, coalesce(other, doc_id) = doc_id AS kept
+        FROM sets LEFT JOIN least ON node = doc_id
+    """,
+    "op9_chat_format": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', {_OK} UNION ALL SELECT -7, 1, 'assistant', {_OK}
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(13 + CASE WHEN role = 'user' THEN 13 ELSE 0 END + {_GUARDED.format("role")} + {_GUARDED.format("text")}) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id
+    """,
+    "op10_warc": f"""
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), placed AS (
+            SELECT page_id, h, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY h) AS most, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS r FROM payloads
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN most END AS refers_to
+        FROM placed
+    """,
     "op7_exact_top_k": """
         WITH usable AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from peptrail.llm import bpe, langid, minhash, mixing, substring
-from peptrail.llm.common import Scratch, arrow_map, blocks, in_arrow
+from peptrail.llm.common import Scratch, arrow_map, blocks, in_arrow, small_enough
 from peptrail.llm.queries import held_out
 
 #: Least share of a text's letters that its language must have.
@@ -85,28 +85,25 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words or more that repeat an earlier text's; n_chars follows, texts without a word left go."""
     scratch, inner = Scratch(spark, "pipeline"), Scratch(spark, "passages")
-    found = substring.repeated_passages(docs, scratch=inner).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
-    found = scratch.keep(found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("text_key", "spans")).alias("__cuts")), "cuts")
+    found = substring.repeated_passages(docs, scratch=inner).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("first_word", "last_word")).alias("__spans"))
+    found = scratch.keep(found, "cuts")
     inner.close()
-    ids = found.select("__id")
-    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids
-    same = docs["doc_id"] == ids["__id"]
-    touched = docs.join(ids, same, "left_semi")
-    touched = touched.join(found, touched["doc_id"] == found["__id"])
+    keys = found.select("__id", "__key")
+    keys = F.broadcast(keys) if small_enough(keys, 500_000) else keys  # 16 bytes each
+    same = (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    touched = docs.join(keys, same, "left_semi")
+    touched = touched.join(found, (touched["doc_id"] == F.col("__id")) & (F.xxhash64(touched["text"]) == F.col("__key")))
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
 
-    def cut(text, cuts, *rest):
-        key = substring.text_key(text) if text is not None else None
-        for c in cuts:
-            if c["text_key"] == key:
-                text = substring.without(text, [(s["first_word"], s["last_word"]) for s in c["spans"]])
-        if text is None or text.encode("utf-8", "surrogatepass").split():
-            yield text, len(text) if text is not None else None, *rest
+    def cut(text, spans, *rest):
+        text = substring.without(text, [(s["first_word"], s["last_word"]) for s in spans])
+        if text.encode("utf-8", "surrogatepass").split():
+            yield text, len(text), *rest
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {fields.get(c, 'bigint')}" for c in ("text", "n_chars", *others))
-    changed = arrow_map(touched, ["text", "__cuts", *others], cut, schema)
-    return docs.join(ids, same, "left_anti").unionByName(changed.select(*docs.columns))
+    changed = arrow_map(touched, ["text", "__spans", *others], cut, schema)
+    return docs.join(keys, same, "left_anti").unionByName(changed.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Exact top-k inner products by KD-trees per shard.
 
-Vectors are dealt to shards of about `shard` rows by a hash. Each shard is split at medians of its
-widest dimension down to leaves of `leaf` rows with tight bounding boxes. A query visits leaves
-best first, by the largest inner product that a leaf's box allows, and stops at the first leaf
-whose bound is below its kth score so far. Each query's first pass visits one shard only (that of
-its own hash); the kth score found there travels with the query to all other shards, where it
-prunes from the start. Queries meet shards in blocks of `block` queries, so a task holds one shard
-and one block whatever the table's size.
+Vectors are dealt to shards of about `shard` rows (of 64 components; fewer of longer ones) by a hash. Each shard is
+split at medians of its widest dimension down to leaves of `leaf` rows with tight bounding boxes, and stored as one row.
+A query visits leaves best first, by the largest inner product that a leaf's box allows, and stops at the first leaf
+whose bound is below its kth score so far. Each query's first pass visits one shard only (that of its own hash); the kth
+score found there travels with the query to all other shards, where it prunes from the start, and a task that holds
+several shards carries it, as it rises, from one to the next and sends on only its k best.
+
+Queries go to the shards in blocks of at most `block` at a time, as a broadcast of bounded size; shards never move. So
+neither vectors nor queries are shuffled more than once, whatever the table's size.
 
 Components are floor(256 * x) with x as double, which a double holds exactly however large it is (beyond the largest
 double it stays at that); scores are exact integers (products that could pass 2^53 are computed as Python integers;
@@ -21,7 +23,8 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,7 @@ from pyspark.sql.window import Window
 
 from peptrail.llm.common import Scratch, small_enough
 
-SAFE, LARGEST = 2**53, float(np.finfo(np.float64).max)
+SAFE, LARGEST, LOWEST = 2**53, float(np.finfo(np.float64).max), -(2**63)
 
 
 def clean(table: DataFrame) -> DataFrame:
@@ -68,8 +71,16 @@ def leaves(points: np.ndarray, leaf: int) -> np.ndarray:
 
 
 def grow(leaf: int):
+    """A shard's tree as one row: ids and points in order of leaves, and where each leaf begins."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(leaf=leaves(matrix(rows["v"], int(rows["dim"].iloc[0])), leaf)).sort_values("leaf")
+        dim = int(rows["dim"].iloc[0])
+        rows = rows.sort_values("vec_id", kind="stable")
+        points = matrix(rows["v"], dim)
+        at = leaves(points, leaf)
+        order = np.argsort(at, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+        return pd.DataFrame({"dim": [dim], "shard": [int(rows["shard"].iloc[0])], "ids": [rows["vec_id"].to_numpy()[order].tobytes()], "points": [points[order].tobytes()], "cuts": [cuts.astype(np.int64).tobytes()]})
 
     return run
 
@@ -86,85 +97,122 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(len(a), len(b))
 
 
-def search(ids: np.ndarray, points: np.ndarray, leaf: np.ndarray, asked: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query's place, vec_id, score) of the best k of a shard for each query; floor holds the kth scores known so far.
+@dataclass
+class Best:
+    """The k best of some queries so far: scores and ids in rows, unused places at the end of the scale."""
+
+    scores: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def none(cls, n: int, k: int) -> Best:
+        return cls(np.full((n, k), LOWEST, dtype=np.int64), np.full((n, k), -1, dtype=np.int64))
+
 
-    points are sorted by leaf. Leaves are taken best first by box bound; a leaf below the kth score ends the search.
+def search(ids: np.ndarray, points: np.ndarray, cuts: np.ndarray, asked: np.ndarray, queries: np.ndarray, floor: np.ndarray, best: Best, used: np.ndarray, wanted: np.ndarray) -> None:
+    """Add a shard's rows to the k best of the wanted queries (their places).
+
+    floor: kth scores known beforehand; used: how many places of a query's best are taken. Leaves are taken best first by
+    box bound; one below the kth score ends a query's search.
     """
-    cuts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-    ends = np.r_[cuts[1:], len(leaf)]
+    ends, k = np.r_[cuts[1:], len(ids)], best.scores.shape[1]
+    mine = queries[wanted]
     if points.shape[1]:
         low, high = np.minimum.reduceat(points, cuts, axis=0), np.maximum.reduceat(points, cuts, axis=0)
         with np.errstate(over="ignore", invalid="ignore"):
-            up, down = np.maximum(queries, 0) @ high.T, np.minimum(queries, 0) @ low.T
-            slack = (np.maximum(queries, 0) @ np.abs(high).T - np.minimum(queries, 0) @ np.abs(low).T) * 1e-12  # rounding never hides a leaf
-            bounds = np.nan_to_num(up + down + slack, nan=np.inf)
+            plus, minus = np.maximum(mine, 0), np.minimum(mine, 0)
+            slack = (plus @ np.abs(high).T - minus @ np.abs(low).T) * 1e-12  # rounding never hides a leaf
+            bounds = np.nan_to_num(plus @ high.T + minus @ low.T + slack, nan=np.inf)
     else:
-        bounds = np.zeros((len(queries), len(cuts)))
-    for q in range(len(queries)):
-        kth, best_ids, best = floor[q], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        order = np.argsort(-bounds[q], kind="stable")
+        bounds = np.zeros((len(mine), len(cuts)))
+    for row in np.flatnonzero(bounds.max(axis=1) >= floor[wanted]).tolist():
+        q, bound = int(wanted[row]), bounds[row]
+        n = int(used[q])
+        kth = max(int(floor[q]), int(best.scores[q].min())) if n == k else int(floor[q])
+        order = np.argsort(-bound, kind="stable")
         step, at = 1, 0
-        while at < len(order) and bounds[q, order[at]] >= kth:
-            take = [b for b in order[at : at + step].tolist() if bounds[q, b] >= kth]
+        while at < len(order) and bound[order[at]] >= kth:
+            take = [b for b in order[at : at + step].tolist() if bound[b] >= kth]
             at, step = at + step, min(step * 2, 16)
             where = np.concatenate([np.arange(cuts[b], ends[b]) for b in take])
-            scores = products(queries[q : q + 1], points[where])[0]
+            scores = products(mine[row : row + 1], points[where])[0]
             keep = (scores >= kth) & (ids[where] != asked[q])
-            best_ids, best = np.r_[best_ids, ids[where][keep]], np.r_[best, scores[keep]]
-            if len(best) > k:
-                top = np.lexsort((best_ids, ~best))[:k]  # ~ turns the order round and, unlike -, can not overflow
-                best_ids, best = best_ids[top], best[top]
-            if len(best) == k:
-                kth = max(kth, int(best.min()))
-        for i, s in zip(best_ids.tolist(), best.tolist()):
-            yield q, i, s
-
-
-def meet(k: int):
-    """Search one shard (left) for one block of queries (right)."""
-
-    def run(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(shard) and len(asked):
-            dim = int(shard["dim"].iloc[0])
-            shard = shard.sort_values(["leaf", "vec_id"])
-            queries = matrix(asked["v"], dim)
-            ids, keys = shard["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-            floor = asked["kth"].to_numpy()
-            rows = [(int(keys[q]), int(asked["q"].iloc[q]), i, s) for q, i, s in search(ids, matrix(shard["v"], dim), shard["leaf"].to_numpy(), keys, queries, floor, k)]
-        return pd.DataFrame(rows, columns=["query_id", "q", "vec_id", "score"])
+            if not keep.any():
+                continue
+            found, score = np.r_[best.ids[q, :n], ids[where][keep]], np.r_[best.scores[q, :n], scores[keep]]
+            top = np.lexsort((found, ~score))[:k]  # ~ turns the order round and, unlike -, can not overflow
+            n = len(top)
+            best.ids[q, :n], best.scores[q, :n] = found[top], score[top]
+            if n == k:
+                kth = max(kth, int(best.scores[q].min()))
+        used[q] = n
+
+
+def meet(block, k: int, own: bool):
+    """Search trees (rows of shards) for a broadcast block of queries: by dim (vec_id, number, own shard, floor, vectors); in their own shard only, or in all others."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        state = {}
+        for batch in batches:
+            for dim, shard, ids, points, cuts in zip(*(batch.column(i) for i in range(5))):
+                if (dim := dim.as_py()) not in block.value:
+                    continue
+                asked, _, home, floor, queries = block.value[dim]
+                wanted = np.flatnonzero((home == shard.as_py()) == own)
+                if not len(wanted):
+                    continue
+                best, used = state.setdefault(dim, (Best.none(len(asked), k), np.zeros(len(asked), dtype=np.int64)))
+                ids, cuts = (np.frombuffer(x.as_buffer(), dtype=np.int64) for x in (ids, cuts))
+                search(ids, np.frombuffer(points.as_buffer()).reshape(len(ids), dim), cuts, asked, queries, floor, best, used, wanted)
+        for dim, (best, used) in state.items():
+            asked, number = block.value[dim][:2]
+            row, place = np.nonzero(np.arange(k) < used[:, None])
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asked[row], number[row], best.ids[row, place], best.scores[row, place])], names=["query_id", "q", "vec_id", "score"])
 
     return run
 
 
-def top_k(table: DataFrame, every: int = 50, k: int = 5, shard: int = 8192, leaf: int = 64, block: int = 1024) -> DataFrame:
+def top_k(table: DataFrame, every: int = 50, k: int = 5, shard: int = 8192, leaf: int = 64, block: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose vec_id is divisible by `every`."""
     spark = table.sparkSession
     scratch = Scratch(spark, "topk")
     rows = scratch.keep(clean(table), "vectors")
-    shards = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards"), F.ceil(F.count_if(F.col("vec_id") % every == 0) / block).alias("blocks"))
-    rows = rows.join(F.broadcast(shards) if small_enough(shards, 100_000) else shards, "dim")
+    dims = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked"))
+    size = F.greatest(F.lit(leaf), F.floor(F.lit(64 * shard) / F.greatest("dim", F.lit(64))))  # a shard's row stays within some MB
+    dims = scratch.keep(dims.select("dim", F.ceil(F.col("n") / size).alias("shards"), F.ceil(F.col("asked") * F.greatest("dim", F.lit(64)) / (64 * block)).alias("blocks")), "dims")
+    rows = rows.join(F.broadcast(dims) if small_enough(dims, 100_000) else dims, "dim")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), "shards"))
-    trees = rows.select("vec_id", "dim", "v", "shard").groupBy("dim", "shard").applyInPandas(grow(leaf), "vec_id long, dim int, v array<double>, shard long, leaf long")
+    trees = rows.select("vec_id", "dim", "v", "shard").groupBy("dim", "shard").applyInPandas(grow(leaf), "dim int, shard long, ids binary, points binary, cuts binary")
     trees = scratch.keep(trees, "trees")
-    lowest = -(2**63)
     asked = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.greatest("blocks", F.lit(1))))
-    asked = scratch.keep(asked.withColumn("q", F.xxhash64("vec_id", "v")), "queries").withColumn("kth", F.lit(lowest))
-    out = "query_id long, q long, vec_id long, score long"
-
-    def pairs(queries: DataFrame) -> DataFrame:
-        """Searches of each query in the shard named by its row."""
-        keys = queries.select("dim", "shard", "block").distinct()
-        left = trees.join(keys, ["dim", "shard"]).groupBy("dim", "shard", "block")
-        right = queries.select(*(F.col(c).alias(f"of_{c}") for c in ("dim", "shard", "block")), "vec_id", "v", "kth", "q")
-        return left.cogroup(right.groupBy("of_dim", "of_shard", "of_block")).applyInPandas(meet(k), out)
-
-    first = scratch.keep(pairs(asked), "first")
-    bars = first.groupBy("query_id", "q").agg(F.min("score").alias("bar"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "q", "bar")
-    others = asked.join(bars, ["vec_id", "q"], "left").withColumn("kth", F.coalesce("bar", "kth")).withColumn("own", F.col("shard"))
-    others = others.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).where("shard <> own")
-    found = first.unionByName(pairs(others))
-    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = scratch.keep(asked.select("vec_id", "dim", "v", "shard", "block"), "queries")
+    out, found = "query_id long, q long, vec_id long, score long", []
+    for number in range(max(dims.agg(F.max("blocks")).first()[0] or 0, 0)):
+        queries = numbered(asked.where(F.col("block") == number).drop("block").toArrow())
+        sent = spark.sparkContext.broadcast(queries)
+        first = scratch.keep(trees.mapInArrow(meet(sent, k, True), out), "first")
+        bars = first.groupBy("q").agg(F.min("score").alias("bar"), F.count("*").alias("n")).where(F.col("n") == k).select("q", "bar").toArrow()
+        known = dict(zip(bars.column("q").to_pylist(), bars.column("bar").to_pylist()))
+        raised = {dim: (ids, q, home, np.array([known.get(x, LOWEST) for x in q.tolist()], dtype=np.int64), v) for dim, (ids, q, home, _, v) in queries.items()}
+        sent = spark.sparkContext.broadcast(raised)
+        others = scratch.keep(trees.mapInArrow(meet(sent, k, False), out), "others")
+        found.append(first.unionByName(others).withColumn("block", F.lit(number)))
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    order = Window.partitionBy("block", "query_id", "q").orderBy(F.desc("score"), "vec_id")
+    best = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
+
+
+def numbered(rows) -> dict[int, tuple]:
+    """A block of queries by dim: vec_ids, numbers (that tell rows of one vec_id apart), own shards, no floors yet, vectors."""
+    dims, out = rows.column("dim").to_numpy(), {}
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        mine = rows.take(at)
+        vectors = np.array(mine.column("v").to_pylist(), dtype=np.float64).reshape(len(at), dim)
+        out[dim] = mine.column("vec_id").to_numpy(), at.astype(np.int64), mine.column("shard").to_numpy(), np.full(len(at), LOWEST, dtype=np.int64), vectors
+    return out

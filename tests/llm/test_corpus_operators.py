@@ -151,6 +151,44 @@ def test_passages(spark):
     assert substring.without("a b  c\nd e", [(1, 2)]) == "a d e" and substring.without("a b", [(0, 1)]) == ""
 
 
+def test_near_passages_are_found_and_clean_texts_left_alone(spark):
+    """Passages of 60 words with one word changed, and of 160 with three, in texts of their own words; the whole way from table to spans."""
+    rng = random.Random(31)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(150):
+        size, edits = (60, 1) if i % 3 else (160, 3)
+        passage = some(size)
+        near = list(passage)
+        for place in rng.sample(range(5, size - 5), edits):
+            near[place] = "changed"
+        first, second = some(rng.randrange(40)) + passage + some(40), some(at := rng.randrange(60)) + near + some(20)
+        rows += [(i, " ".join(first), 0, "", "", ""), (1000 + i, " ".join(second), 0, "", "", ""), (2000 + i, " ".join(some(120)), 0, "", "", "")]
+        want[1000 + i] = at, at + size - 1
+    got = {}
+    for r in substring.repeated_passages(frame(spark, rows)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["last_word"] + 1))
+    assert set(got) <= set(want) and len(got) >= 147  # of 150
+    whole = [k for k in got if len(got[k] & set(range(want[k][0] + 5, want[k][1] - 4))) >= 0.9 * (want[k][1] - want[k][0] - 9)]
+    assert len(whole) >= 145 and all(want[k][0] - 5 <= min(got[k]) and max(got[k]) <= want[k][1] + 5 for k in got)
+
+
+def test_passages_of_long_texts_and_repeated_ids(spark):
+    rng = random.Random(12)
+    some = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage, other = some(70), some(80)
+    long = some(50_000) + passage + some(100_000) + other + some(10)
+    texts = [(1, long), (2, some(30) + other), (3, passage + some(10)), (3, some(90)), (3, some(20) + other), (3, other + some(5)), (4, some(100))]
+    rows = [(k, " ".join(t), 0, "", "", "") for k, t in texts] * 2
+    got = {}
+    for r in substring.repeated_passages(frame(spark, rows)).collect():
+        got.setdefault((r["doc_id"], r["text_key"]), set()).update(range(r["first_word"], r["last_word"] + 1))
+    key = lambda i: (texts[i][0], substring.text_key(" ".join(texts[i][1])))
+    assert got == {key(1): set(range(30, 110)), key(2): set(range(70)), key(4): set(range(20, 100)), key(5): set(range(80))}
+    keys = frame(spark, rows).select("text", F.xxhash64("text").alias("k")).collect()
+    assert all(r["k"] == substring.text_key(r["text"]) for r in keys)
+
+
 def test_passages_of_frequent_lines(spark):
     rng = random.Random(5)
     lines = [[rng.choice(VOCABULARY) for _ in range(11)] for _ in range(40)]
@@ -372,6 +410,13 @@ def test_documents_are_rounded_in_pairs():
         assert (mixing.pivot_with_pool(keys[1:], sizes[1:], np.full(len(sizes) - 1, 0.4), seed) == 0.4).all()
 
 
+def test_mixing_very_long_text(spark):
+    rows = [(0, "w " * 300_000, "a")] + [(i, "w " * 50, "a") for i in range(1, 200)] + [(1000 + i, "w " * 40, "b") for i in range(50)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 250 and {r["size"] for r in got} == {300_000, 50, 40}
+    assert all(r["taken"] <= 3 * r["size"] for r in got) and sum(r["taken"] for r in got if r["source"] == "b") == 6000
+
+
 def test_mixing_keeps_ids(spark):
     """Large ids beside a null one, text ids, and a source's words whatever rows another source has."""
     big = 2**60

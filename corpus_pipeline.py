@@ -76,8 +76,10 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([minhash.set_id(s) if len(s) else None for s in sets], pa.int64())], names=[*names, "__cid"])
 
     rows = in_arrow(docs, classes, StructType([*docs.schema.fields, StructField("__cid", LongType())]))
-    alike = Window.partitionBy("doc_id", "__cid", F.when(F.col("__cid").isNull(), F.col("text"))).orderBy("text")
-    rows = rows.withColumn("__turn", F.row_number().over(alike)).where("__turn = 1")
+    # the least text of each group; a group is reduced where its rows are, so that one of any size floods no task
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    rows = rows.groupBy("doc_id", "__cid", F.when(F.col("__cid").isNull(), F.col("text")).alias("__text")).agg(F.min(F.struct("text", *rest)).alias("__row"))
+    rows = rows.select("doc_id", "__cid", "__row.*")
     same = (rows["doc_id"] == least["__id"]) & (rows["__cid"] == least["__class"])
     return rows.where("__cid is null").select(*docs.columns).unionByName(rows.join(least, same, "left_semi").select(*docs.columns))
 

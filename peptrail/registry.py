@@ -50,13 +50,13 @@ def small_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.scaffolds_from_text(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", F.concat(F.lit("item-"), F.col("item_id").cast("string")))
 
 
-def small_residues(spark, sf_dir):
-    return translate.residues(small_genome(spark, sf_dir))
+def all_residues(spark, sf_dir):
+    return translate.residues(genome(spark, sf_dir))
 
 
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, peptide, precursor_mass: runs of 8 residues or more between cleavage sites in the forward frames of benchmark texts."""
-    rows = small_residues(spark, sf_dir).where("strand = '+' and span_id > 0").groupBy("scaffold_id", "frame", "span_id")
+    rows = translate.residues(small_genome(spark, sf_dir)).where("strand = '+' and span_id > 0").groupBy("scaffold_id", "frame", "span_id")
     text = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "aa"))), lambda r: r["aa"]), "").alias("peptide"))
     text = text.select("peptide").where(S.is_peptide("peptide") & (F.length("peptide") >= 8)).distinct()
     ranged = Scratch(spark, "peptides").keep(text.repartitionByRange("peptide").withColumn("part", F.spark_partition_id()), "ranged")
@@ -144,10 +144,13 @@ def genetic_code_list(spark, sf_dir):
 # ---- scalars
 
 
-@query(O.chain("benchmark", last="SELECT scaffold_id, strand, i AS pos, substr(seq, i + 1, 3) AS codon FROM strands, LATERAL (SELECT unnest(range(CAST(greatest(length(seq) - 2, 0) AS BIGINT))) AS i)"))
+@query(O.chain("documents", last="""
+    SELECT scaffold_id, strand, substr(seq, i + 1, 3) AS codon, count(*) AS n, CAST(sum(i) AS BIGINT) AS pos_sum
+    FROM strands, LATERAL (SELECT unnest(range(CAST(greatest(length(seq) - 2, 0) AS BIGINT))) AS i) GROUP BY ALL"""))
 def triplets(spark, sf_dir):
-    rows = translate.strands(small_genome(spark, sf_dir)).select("scaffold_id", "strand", F.posexplode(S.overlapping(F.col("seq"), 3)).alias("pos", "codon"))
-    return rows.withColumn("pos", F.col("pos").cast("long"))
+    """Overlapping triplets of both strands, by codon with the sum of their places."""
+    rows = translate.strands(genome(spark, sf_dir)).select("scaffold_id", "strand", F.posexplode(S.overlapping(F.col("seq"), 3)).alias("pos", "codon"))
+    return rows.groupBy("scaffold_id", "strand", "codon").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
 
 
 @query(O.chain("documents", last=f"SELECT codon, {O.codon_aa('codon')} AS aa, count(*) AS n FROM (SELECT unnest(regexp_extract_all(seq, '[ACGTN]{{3}}')) AS codon FROM scaffolds) GROUP BY codon"))
@@ -169,9 +172,9 @@ on_sequence("nt_complement", "translate(seq, 'ACGT', 'TGCA')", S.complement)
 on_sequence("revcomp", "reverse(translate(seq, 'ACGT', 'TGCA'))", S.revcomp)
 
 
-@query(O.chain("benchmark", last=f"SELECT scaffold_id, split, left(seq, split) || right(seq, 3 - split) AS codon, {O.codon_aa('(left(seq, split) || right(seq, 3 - split))')} AS aa FROM scaffolds, (VALUES (1), (2)) s(split) WHERE length(seq) >= 3"))
+@query(O.chain("documents", last=f"SELECT scaffold_id, split, left(seq, split) || right(seq, 3 - split) AS codon, {O.codon_aa('(left(seq, split) || right(seq, 3 - split))')} AS aa FROM scaffolds, (VALUES (1), (2)) s(split) WHERE length(seq) >= 3"))
 def split_codon(spark, sf_dir):
-    rows = small_genome(spark, sf_dir).where("length >= 3").withColumn("split", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = genome(spark, sf_dir).where("length >= 3").withColumn("split", F.explode(F.array(F.lit(1), F.lit(2))))
     codon = F.concat(F.expr("left(seq, split)"), F.expr("right(seq, 3 - split)"))
     return rows.select("scaffold_id", "split", codon.alias("codon"), S.translate_codon(codon).alias("aa"))
 
@@ -258,11 +261,12 @@ def six_frame(spark, sf_dir):
     return rows.select(*FRAME, F.md5("orf").alias("orf_md5"), F.length("orf").cast("long").alias("residues"))
 
 
-@query(O.chain("benchmark", O.RESIDUE_ROWS, last="SELECT DISTINCT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, idx AS site FROM residues WHERE cut OR idx = 0"))
+@query(O.chain("documents", O.RESIDUE_ROWS, last="SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, count(*) AS n_sites, CAST(sum(idx) AS BIGINT) AS site_sum, max(idx) AS last_site FROM residues WHERE cut OR idx = 0 GROUP BY ALL"))
 def cleavage_sites(spark, sf_dir):
-    w = Window.partitionBy(*FRAME).orderBy("idx")
-    rows = small_residues(spark, sf_dir).withColumn("before", F.lag("span_id").over(w))
-    return rows.where("before is null or span_id > before").select(*FRAME, F.col("idx").alias("site"))
+    """First residues of spans, by frame."""
+    site = F.min("idx").alias("site")
+    rows = all_residues(spark, sf_dir).groupBy(*FRAME, "span_id").agg(site)
+    return rows.groupBy(*FRAME).agg(F.count("*").alias("n_sites"), F.sum("site").alias("site_sum"), F.max("site").alias("last_site"))
 
 
 @query(O.chain("documents", O.RESIDUE_ROWS, O.SPANS, last="SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, count(*) AS n_spans, CAST(sum(last_idx - first_idx + 1) AS BIGINT) AS residues, CAST(max(last_idx - first_idx + 1) AS BIGINT) AS longest FROM spans GROUP BY ALL"))
@@ -271,23 +275,31 @@ def spans(spark, sf_dir):
     return translate.spans(translate.residues(genome(spark, sf_dir))).groupBy(*FRAME).agg(F.count("*").alias("n_spans"), F.sum(size).alias("residues"), F.max(size).alias("longest"))
 
 
-@query(O.chain("benchmark", O.RESIDUE_ROWS, last="SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, idx, aa, bad AS run_id FROM residues WHERE valid"))
+@query(O.chain("documents", O.RESIDUE_ROWS, last="""
+    SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, bad AS run_id, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS residues, CAST(sum(mass) AS BIGINT) AS mass
+    FROM residues WHERE valid GROUP BY ALL"""))
 def valid_runs(spark, sf_dir):
-    return small_residues(spark, sf_dir).where("valid").select(*FRAME, "idx", "aa", F.col("bad").alias("run_id"))
+    rows = all_residues(spark, sf_dir).where("valid").groupBy(*FRAME, F.col("bad").alias("run_id"))
+    return rows.agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("residues"), F.sum("mass").alias("mass"))
 
 
-@query(O.chain("benchmark", O.RESIDUE_ROWS, last="SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, idx, cum_mass FROM residues"))
+@query(O.chain("documents", O.RESIDUE_ROWS, last="""
+    SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, span_id, count(*) AS n, min(cum_mass) AS least, max(cum_mass) AS most, CAST(sum(cum_mass) AS BIGINT) AS total
+    FROM residues GROUP BY ALL"""))
 def prefix_mass(spark, sf_dir):
-    return small_residues(spark, sf_dir).select(*FRAME, "idx", "cum_mass")
-
+    """Running masses, by span."""
+    rows = all_residues(spark, sf_dir).groupBy(*FRAME, "span_id")
+    return rows.agg(F.count("*").alias("n"), F.min("cum_mass").alias("least"), F.max("cum_mass").alias("most"), F.sum("cum_mass").alias("total"))
 
-HMST_COLUMNS = "tag, is_right, CAST(half_mass AS BIGINT) AS half_mass, scaffold_id, strand, CAST(frame AS INTEGER) AS frame, CAST(anchor_idx AS BIGINT) AS anchor_idx, CAST(anchor_pos AS BIGINT) AS anchor_pos"
 
-
-@query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last=f"SELECT {HMST_COLUMNS} FROM hmst"))
+@query(O.chain("documents", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="""
+    SELECT scaffold_id, strand, CAST(frame AS INTEGER) AS frame, is_right, CAST(anchor_idx AS BIGINT) AS anchor_idx, CAST(anchor_pos AS BIGINT) AS anchor_pos,
+           count(*) AS n, min(tag) AS first_tag, max(tag) AS last_tag, CAST(sum(half_mass) AS BIGINT) AS mass_sum
+    FROM hmst GROUP BY ALL"""))
 def hmst(spark, sf_dir):
-    rows = translate.hmst(small_residues(spark, sf_dir))
-    return rows.select("tag", "is_right", "half_mass", *FRAME, "anchor_idx", F.col("anchor_pos").cast("long").alias("anchor_pos"))
+    """Half-mass tags, by anchor."""
+    rows = translate.hmst(all_residues(spark, sf_dir)).groupBy(*FRAME, "is_right", "anchor_idx", F.col("anchor_pos").cast("long").alias("anchor_pos"))
+    return rows.agg(F.count("*").alias("n"), F.min("tag").alias("first_tag"), F.max("tag").alias("last_tag"), F.sum("half_mass").alias("mass_sum"))
 
 
 @query(O.chain("documents", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="SELECT tag, is_right, count(*) AS n FROM hmst GROUP BY ALL"))
@@ -302,7 +314,7 @@ def hmst_histogram_stats(spark, sf_dir):
 
 @query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last='SELECT tag, is_right, n, CAST(coalesce(sum(n) OVER (ORDER BY tag, is_right ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM (SELECT tag, is_right, count(*) AS n FROM hmst GROUP BY ALL)'))
 def bucket_offsets(spark, sf_dir):
-    return translate.bucket_offsets(translate.histogram(translate.hmst(small_residues(spark, sf_dir))))
+    return translate.bucket_offsets(translate.histogram(translate.hmst(translate.residues(small_genome(spark, sf_dir)))))
 
 
 @query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="SELECT tag, is_right, CAST(half_mass AS BIGINT) AS half_mass, row_number() OVER (PARTITION BY tag, is_right ORDER BY half_mass) AS place FROM hmst"))
@@ -406,16 +418,18 @@ def intron_candidates(spark, sf_dir):
     return introns.intron_candidates(small_genome(spark, sf_dir))
 
 
-@query(O.chain("benchmark", O.RESIDUE_ROWS, O.SITES, last="""
-    SELECT r.scaffold_id, r.strand, CAST(r.frame AS INTEGER) AS frame, r.idx, CAST(s.split AS INTEGER) AS split, t.motif
-    FROM residues r, (VALUES (0), (1), (2)) s(split), sites t
-    WHERE r.valid AND t.scaffold_id = r.scaffold_id AND t.strand = r.strand AND t.pos = r.frame + 3 * r.idx + 3 + s.split AND t.motif IN ('GT', 'GC')"""))
+@query(O.chain("documents", O.RESIDUE_ROWS, O.SITES, last="""
+    SELECT r.scaffold_id, r.strand, CAST(r.frame AS INTEGER) AS frame, CAST(t.split AS INTEGER) AS split, t.motif, count(*) AS n, CAST(sum(r.idx) AS BIGINT) AS idx_sum
+    FROM (SELECT *, (pos - frame - split) // 3 - 1 AS idx FROM (SELECT scaffold_id, strand, motif, pos, f.frame, (pos - f.frame) % 3 AS split FROM sites, range(3) f(frame) WHERE motif IN ('GT', 'GC') AND pos - f.frame >= 3)) t
+    JOIN residues r ON r.scaffold_id = t.scaffold_id AND r.strand = t.strand AND r.frame = t.frame AND r.idx = t.idx WHERE r.valid GROUP BY ALL"""))
 def intron_starts(spark, sf_dir):
-    g = small_genome(spark, sf_dir)
+    """Residues before a donor motif, by frame, split and motif."""
+    g = genome(spark, sf_dir)
     donors, _ = introns.donors_and_acceptors(g, SearchConfig())
     rows = translate.residues(g).where("valid").withColumn("split", F.explode(F.array(*map(F.lit, range(3)))))
     rows = rows.withColumn("d_pos", F.col("frame") + 3 * F.col("idx") + 3 + F.col("split"))
-    return rows.join(donors, ["scaffold_id", "strand", "d_pos"]).select(*FRAME, "idx", "split", F.col("d_motif").alias("motif"))
+    rows = rows.join(donors, ["scaffold_id", "strand", "d_pos"]).groupBy(*FRAME, "split", F.col("d_motif").alias("motif"))
+    return rows.agg(F.count("*").alias("n"), F.sum("idx").alias("idx_sum"))
 
 
 SPLIT = "SELECT query_id, query, aa_n_term, s.peptide, aa_c_term, CAST(mass AS DOUBLE) AS mass, assembly, intron_length, splice_site FROM split_alignments s JOIN numbered n ON n.peptide = s.query"

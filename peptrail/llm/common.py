@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -94,14 +95,8 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
-#: A value for each byte (A-Z as a-z, white space none), the base of the polynomial and its inverse modulo 2^64 (fixed values).
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BYTES[65:91] = _BYTES[97:123]
-_SOLID = np.ones(256, dtype=bool)
-_SOLID[[32, *range(9, 14)]] = False
-_BYTES[~_SOLID] = 0
+#: The base of polynomials modulo 2^64 (a fixed value).
 BASE = 0x5851F42D4C957F2D
-PIECE = 1 << 17
 
 
 @lru_cache(4)
@@ -116,39 +111,63 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of texts, A-Z in lower case, and where each text's words begin.
+def solid_bytes(gaps) -> np.ndarray:
+    """Which bytes of UTF-8 make words: all but the given ones."""
+    out = np.ones(256, dtype=bool)
+    out[list(gaps)] = False
+    return out
+
+
+WHITE = solid_bytes([0x20, *range(0x09, 0x0E)])
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Words hashed at once, and bytes of a word from which on it is hashed by itself.
+SLICE, LONG = 1 << 16, 512
+
+
+def hash_slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start : start + size] (data has 8 bytes more at its end): eight bytes at a time are mixed into what the bytes before have given.
+
+    Slices of up to eight bytes differ in hash if they differ and are of one size; those of over LONG bytes get a BLAKE2 digest.
+    """
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), dtype=np.uint64)
+        for i in range(min(8, int(left.max(initial=0)))):
+            out |= data[at + i].astype(np.uint64) << np.uint64(8 * i)
+        return out & _KEEP[np.minimum(left, 8)]
+
+    out = mix(mix(eight(start, size)) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more, done = np.flatnonzero(size > 8), 8
+    while len(more) and done < LONG:
+        before = out[more]
+        out[more] = mix((before << np.uint64(23) | before >> np.uint64(41)) + mix(eight(start[more] + done, size[more] - done)))
+        done += 8
+        more = more[size[more] > done]
+    for i in more.tolist():
+        out[i] = int.from_bytes(blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def hash_words(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of texts' words (runs of solid bytes, A-Z in lower case), and where each text's words begin, and the end.
 
-    data: the texts' bytes one behind the other; offsets: where each begins, and the end. A word's hash is a polynomial of
-    its bytes, a difference of running sums; data is taken a piece at a time, and a word torn by a piece's end is joined.
+    data: the texts' bytes one behind the other; offsets: where each begins, and the end.
     """
-    hashes, places, open_, length = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], False, 0
-    up, down = powers(BASE, PIECE), powers(pow(BASE, -1, 1 << 64), PIECE)
-    for at in range(0, len(data), PIECE):
-        x = data[at : at + PIECE]
-        solid = _SOLID[x]
-        first = solid.copy()
-        first[1:] &= ~solid[:-1]
-        begins = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, at + len(x))] - at
-        first[begins] = solid[begins]
-        last = solid.copy()
-        last[:-1] &= ~solid[1:] | first[1:]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.zeros(len(x) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[x] * up[: len(x)], out=sums[1:])
-        found = (sums[end] - sums[start]) * down[start]
-        goes_on = open_ and len(start) > 0 and start[0] == 0 and not (len(begins) and begins[0] == 0)
-        if goes_on:
-            hashes[-1][-1:] += found[:1] * np.uint64(pow(BASE, length, 1 << 64))
-        size = int(end[0]) if len(end) else 0
-        open_ = bool(len(end)) and int(end[-1]) == len(x)
-        length = (length + size if goes_on and len(end) == 1 else int(end[-1] - start[-1])) if open_ else 0
-        if goes_on:
-            start, found = start[1:], found[1:]
-        if len(found):
-            hashes.append(found)
-            places.append(start + at)
-    return mix(np.concatenate(hashes)), np.searchsorted(np.concatenate(places), offsets)
+    inside = solid[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = offsets[:-1][offsets[:-1] < len(data)]
+    first[begins] = inside[begins]
+    start = np.flatnonzero(first)
+    inside[:-1] &= ~inside[1:] | first[1:]  # now the last byte of each word
+    size = np.flatnonzero(inside) + 1 - start
+    folded = np.r_[_FOLD[data], np.zeros(8, dtype=np.uint8)]
+    out = np.empty(len(start), dtype=np.uint64)
+    for at in range(0, len(start), SLICE):
+        out[at : at + SLICE] = hash_slices(folded, start[at : at + SLICE], size[at : at + SLICE])
+    return out, np.searchsorted(start, offsets)
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,15 +181,15 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def column_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def column_words(column: pa.Array, solid: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """hash_words of a string column: the hashes of all words, and where each row's begin, and the end."""
-    return hash_words(*column_bytes(column))
+    return hash_words(*column_bytes(column), solid)
 
 
-def text_words(text: str | None) -> np.ndarray:
+def text_words(text: str | None, solid: np.ndarray = WHITE) -> np.ndarray:
     """hash_words of one text."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    return hash_words(raw, np.array([0, len(raw)]))[0]
+    return hash_words(raw, np.array([0, len(raw)]), solid)[0]
 
 
 def blocks(batches: Iterable[pa.RecordBatch], at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -320,8 +320,7 @@ def test_words_by_pieces(monkeypatch):
     data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
     want, seen = [t.encode().lower().split() for t in texts], {}
     for piece in (7, 64, 1 << 17):
-        monkeypatch.setattr(common, "PIECE", piece)
-        common.powers.cache_clear()
+        monkeypatch.setattr(common, "SLICE", piece)
         hashes, places = common.hash_words(data, offsets)
         for i, words in enumerate(want):
             mine = hashes[places[i] : places[i + 1]].tolist()
@@ -334,6 +333,14 @@ def test_words_by_pieces(monkeypatch):
     assert [x for p in parts for x in p.column(1).to_pylist()] == texts and len(parts) > 5
 
 
+def test_words_that_polynomials_confuse():
+    """Words of a and b in the order of Thue and Morse and its opposite are equal for any polynomial modulo 2^64."""
+    for bits in range(8, 14):
+        order = [bin(i).count("1") % 2 for i in range(1 << bits)]
+        pair = ["".join("ab"[x ^ y] for x in order) for y in (0, 1)]
+        assert common.text_words(pair[0])[0] != common.text_words(pair[1])[0]
+
+
 # ---- mixing
 
 

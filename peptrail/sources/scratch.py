@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +39,8 @@ class Scratch:
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
         """Write df and return it as read back: its lineage starts at the written files."""
         path = self.path(tag)
-        df.write.parquet(path)
+        with shuffles_end(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -50,22 +51,24 @@ class Scratch:
             if getattr(df, "scratch_path", None):
                 delete(self.spark, df.scratch_path)
 
-
     def close(self) -> None:
         """Delete all tables; no plan that reads one may run any more."""
         delete(self.spark, self.root)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans that nothing refers to any more.
+#: Spark deletes the shuffle files of a query that runs while this is on, as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    They go when the driver's JVM collects its garbage, which a driver with little to do may put off for half an hour.
-    What the first round lets go of is seen as garbage in the second.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files: what they write is all that is read again. The session's own setting comes back."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -129,6 +129,7 @@ def walk(shard: dict, asked: dict, wanted: np.ndarray, same: bool, found: Found)
         middle, reach = queries @ shard["centre"].T, norm * shard["radius"]
         slack = norm * (np.sqrt((shard["centre"] ** 2).sum(axis=1)) + shard["radius"]) * 1e-9 + 1e-9  # rounding never hides a node
         upper, lower = np.nan_to_num(middle + reach + slack, nan=np.inf), np.nan_to_num(middle - reach - slack, nan=-np.inf)
+        small = not queries.size or not shard["points"].size or np.abs(queries).max() * np.abs(shard["points"]).max() * queries.shape[1] < SAFE
     child, low, high = shard["child"], shard["low"], shard["high"]
     roots = np.setdiff1d(np.arange(len(child)), np.r_[child[child >= 0], child[child >= 0] + 1])
     for row, q in enumerate(wanted.tolist()):
@@ -138,24 +139,36 @@ def walk(shard: dict, asked: dict, wanted: np.ndarray, same: bool, found: Found)
         mine = shard["label"][roots] == asked["label"][q]
         pending = [(-above[n], n) for n in roots[mine if same else ~mine].tolist()]
         heapify(pending)
+
+        def score(taken: list[int]) -> None:
+            spans = [slice(low[n], high[n]) for n in taken]
+            ids = np.concatenate([shard["ids"][s] for s in spans])
+            scores = np.concatenate([(shard["points"][s] @ queries[row]).astype(np.int64) if small else products(queries[row : row + 1], shard["points"][s])[0] for s in spans])  # noqa: B023
+            some = np.flatnonzero((scores >= min(bars.values())) & (ids != asked["ids"][q]))  # noqa: B023
+            scores, ids = scores[some], ids[some]
+            for w, _, b in windows:  # noqa: B023
+                good = (scores >= bars[w]) & (scores <= b)  # noqa: B023
+                if good.any():
+                    found.add(q, w, scores[good], ids[good])  # noqa: B023
+                    bars[w] = max(bars[w], found.bar(q, w))  # noqa: B023
+
+        taken, step = [], 1
         while pending and windows:
             bound, n = heappop(pending)
             if -bound < min(bars.values()):
                 break
-            open_ = [(w, b) for w, _, b in windows if above[n] >= bars[w] and below[n] <= b]
-            if not open_:
+            if not any(above[n] >= bars[w] and below[n] <= b for w, _, b in windows):
                 continue
             if child[n] >= 0:
                 for c in (int(child[n]), int(child[n]) + 1):
                     heappush(pending, (-above[c], c))
                 continue
-            scores, ids = products(queries[row : row + 1], shard["points"][low[n] : high[n]])[0], shard["ids"][low[n] : high[n]]
-            other = ids != asked["ids"][q]
-            for w, b in open_:
-                good = other & (scores >= bars[w]) & (scores <= b)
-                if good.any():
-                    found.add(q, w, scores[good], ids[good])
-                    bars[w] = max(bars[w], found.bar(q, w))
+            taken.append(n)
+            if len(taken) == step:
+                score(taken)
+                taken, step = [], min(2 * step, 16)
+        if taken:
+            score(taken)
 
 
 def meet(block, k: int, same: bool, own: bool):
@@ -226,7 +239,7 @@ def windows(block: dict, found, low: int, high: int, positives: int) -> dict[int
     return out
 
 
-def hard_negatives(table: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, shard: int = 8192, leaf: int = 64, block: int = 8192, scratch: Scratch | None = None) -> DataFrame:
+def hard_negatives(table: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, shard: int = 8192, leaf: int = 256, block: int = 8192, scratch: Scratch | None = None) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of table(vec_id, label, embedding).
 
     Anchors are the rows whose vec_id is divisible by `every`; low and high, in hundredths (0 to 100), set the window.

@@ -12,12 +12,15 @@ prefixes hold the rarest. Shingles that the same classes have count once.
 Where they meet, the sets are stored in a prefix tree and all of them run down it together: a node holds, for each set
 still running, how many shingles it shares with the path, so sets with a common path are compared along it once. A set
 leaves a subtree when what it shares and the smaller rest of both sides can't reach the overlap that the sizes ask for,
-when sizes are too far apart, or when all sets below are connected with it already. At a leaf the overlap is exact.
+when sizes are too far apart, or when all sets below are connected with it already. First only prefixes are sent and
+stored, with the length of what lies behind them as rest; sets that the tree then leaves open are sent whole into a
+second tree, at whose leaves the overlap is exact.
 
 Only connections are returned, so a group of n near copies gives n - 1 links, never all pairs. They are found in two
 rounds. First each class joins by one shared shingle, in cells of bounded weight; a shingle with several cells sends
 eight centres to each. Then shingles whose classes still lie in several components are joined in full: in one cell, or,
-above a cell's weight, in cells of pairs of blocks, without pairs of blocks of one component. No link is lost.
+above a cell's weight, in cells of pairs of blocks, without pairs of blocks of one component; a pair of sets is taken at
+its first common shingle only. No link is lost.
 
 Defined cases: null or wordless text has an empty set (n_shingles 0), is linked with nothing and is its own component;
 fewer than `width` words make one shingle; very long texts are sets like any other, and the cell of one is as large as
@@ -29,7 +32,7 @@ shingles (58 bits of hash), classes as 128-bit digests of these.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -122,7 +125,7 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, frequent) -> DataF
 
 
 def full_sets(texts: DataFrame, width: int, frequent) -> DataFrame:
-    """cid and items (the whole set in global order) of each class."""
+    """cid and items (the whole set in global order) of each text."""
 
     def run(batches):
         import pyarrow as pa
@@ -131,69 +134,76 @@ def full_sets(texts: DataFrame, width: int, frequent) -> DataFrame:
             found = {digest(s): s for s in text_sets(batch.column(1), width, frequent.value) if len(s)}
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), lists(list(found.values()))], names=["cid", "items"])
 
-    return in_arrow(texts.select("doc_id", "text"), run, "cid binary, items array<long>").dropDuplicates(["cid"])
+    return in_arrow(texts.select("doc_id", "text"), run, "cid binary, items array<long>")
 
 
 class Tree:
     """The sets of a cell in a prefix tree, as rows in the tree's order and the length of each row's common path with the row before.
 
-    Shingles of one set only are left out: no other set shares them, and sizes count them.
+    sets: whole sets, or their first shingles in global order; size: how many shingles the whole sets have. Of whole sets,
+    shingles of one set only are left out: no other set shares them.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets])
+    def __init__(self, sets: list[np.ndarray], size: np.ndarray):
+        length = np.array([len(s) for s in sets])
         _, rank, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        shared = count[rank] > 1
-        rank, owner = rank[shared], owner[shared]
+        owner = np.repeat(np.arange(len(sets)), length)
+        if (length == size).all():
+            shared = count[rank] > 1
+            rank, owner = rank[shared], owner[shared]
         ends = np.searchsorted(owner, np.arange(len(sets) + 1))
         paths = [rank[a:b] for a, b in zip(ends[:-1], ends[1:])]
         self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">i8").tobytes())
         self.paths = [paths[i] for i in self.order]
         self.size = size[self.order]
         self.length = np.array([len(p) for p in self.paths])
+        self.reach = self.length + (size - length)[self.order]  # shingles that another set may share
+        self.last = np.array([p[-1] if len(p) else -1 for p in self.paths])
         self.wide = len(count) + 1
         self.begin = np.r_[0, np.cumsum(self.length)]
-        self.flat = np.concatenate(self.paths) + np.repeat(np.arange(len(sets)), self.length) * self.wide  # sorted: by row, then in global order
+        tokens = np.concatenate(self.paths)
+        self.flat = tokens + np.repeat(np.arange(len(sets)), self.length) * self.wide  # sorted: by row, then in global order
         self.common = np.zeros(len(sets), dtype=np.int64)
         for i in range(1, len(sets)):
             a, b = self.paths[i - 1], self.paths[i]
             n = min(len(a), len(b))
             other = a[:n] != b[:n]
             self.common[i] = int(other.argmax()) if other.any() else n
-        by = np.argsort(self.flat % self.wide, kind="stable")
+        by = np.argsort(tokens, kind="stable")
         self.holders = np.repeat(np.arange(len(sets)), self.length)[by]  # rows that hold a shingle, by shingle
-        self.places = np.searchsorted((self.flat % self.wide)[by], np.arange(self.wide + 1))
+        self.places = np.searchsorted(tokens[by], np.arange(self.wide + 1))
 
     def shares(self, tokens: np.ndarray) -> np.ndarray:
         """For each row how many of the tokens it holds."""
         rows = [self.holders[self.places[t] : self.places[t + 1]] for t in tokens.tolist()]
         return np.bincount(np.concatenate(rows), minlength=len(self.paths)) if rows else np.zeros(len(self.paths), dtype=np.int64)
 
-    def links(self, component: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-        """Pairs of sets that link and connect what links: component as it is before, and sets of equal sides other than 0 are not compared."""
-        component, side, out = component[self.order].copy(), side[self.order], []
+    def leaves(self, component: np.ndarray, side: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, later rows) that may link by all that the tree holds of them; of whole sets those that do.
+
+        component and side are in the tree's order. Rows of one component, or of one side other than 0, don't meet; the
+        caller may unite components as it goes.
+        """
         n = len(self.paths)
         pending = [(0, n, 0, np.arange(n), np.zeros(n, dtype=np.int64))]
         while pending:
             low, high, depth, running, held = pending.pop()
             below = component[low:high]
+            keep = running > low  # each pair once, at the earlier row
             if below.min() == below.max():
-                keep = component[running] != below[0]
-                running, held = running[keep], held[keep]
-            running, held = running[running > low], held[running > low]  # each pair once, at the earlier row
+                keep &= component[running] != below[0]
+            running, held = running[keep], held[keep]
             if not len(running):
                 continue
             end = int(self.common[low + 1 : high].min()) if high - low > 1 else int(self.length[low])
-            path = self.paths[low][depth:end]
-            held = held + self.shares(path)[running]
+            path = self.paths[low][:end]
+            held = held + self.shares(path[depth:])[running]
             mine, theirs = self.size[running], self.size[low:high]
             least, most = int(theirs.min()), int(theirs.max())
-            rest = self.length[running]
-            if end:
-                seen = np.searchsorted(self.flat, running * self.wide + self.paths[low][end - 1], "right") - self.begin[running]
-                rest = rest - seen
-            rest = np.minimum(rest, int(self.length[low:high].max()) - end)
+            # up to the last shingle that both sides show, all they share is counted; beyond, the smaller rest bounds it
+            seen = np.searchsorted(self.flat, running * self.wide + path[-1], "right") - self.begin[running] if end else 0
+            passed = np.searchsorted(path, self.last[running], "right")
+            rest = np.minimum(self.reach[running] - seen, int(self.reach[low:high].max()) - passed)
             partner = np.maximum(least, -(-num * mine // den))
             need = -(-num * (mine + partner) // (num + den))
             keep = (held + rest >= need) & (most * den >= num * mine) & (least * num <= den * mine)
@@ -201,33 +211,85 @@ class Tree:
             if not len(running):
                 continue
             if high - low == 1:
-                for row in running.tolist():
-                    if component[row] != component[low] and (side[row] == 0 or side[row] != side[low]):
-                        out.append((self.order[low], self.order[row]))
-                        component[component == component[row]] = component[low]
+                running = running[(component[running] != component[low]) & ((side[running] == 0) | (side[running] != side[low]))]
+                if len(running):
+                    yield low, running
                 continue
             cuts = [low, *(low + 1 + np.flatnonzero(self.common[low + 1 : high] == end)).tolist(), high]
             pending += [(a, b, end, running, held) for a, b in zip(cuts[:-1], cuts[1:])][::-1]
+
+    def links(self, component: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+        """Pairs of whole sets that link, enough of them to connect all that do."""
+        component, side, out = component[self.order].copy(), side[self.order], []
+        for low, rows in self.leaves(component, side, num, den):
+            for row in rows.tolist():
+                if component[row] != component[low]:
+                    out.append((self.order[low], self.order[row]))
+                    component[component == component[row]] = component[low]
         return out
 
+    def candidates(self, component: np.ndarray, side: np.ndarray, num: int, den: int, first: int | None = None) -> list[int]:
+        """Sets that may link with another one here; with `first` (a shingle's place among the cell's), pairs whose first common shingle it is."""
+        component, side, out = component[self.order], side[self.order], set()
+        for low, rows in self.leaves(component, side, num, den):
+            mine = self.paths[low]
+            for row in rows.tolist():
+                if row in out and low in out:
+                    continue
+                if first is None or mine[np.isin(mine, self.paths[row], assume_unique=True)][:1].tolist() == [first]:
+                    out |= {low, row}
+        return [self.order[i] for i in out]
+
+
+def cells_of(batches) -> Iterator[tuple]:
+    """(batch, cells as (start, stop), items by row, sizes, components, sides) of batches sorted by cell; cells without two sets near in size are left out."""
+    for batch in whole_groups(batches, CELL_KEYS):
+        keys = np.stack([batch.column(k).to_numpy() for k in CELL_KEYS])
+        cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows]
+        items = batch.column("items")
+        ends, values = items.offsets.to_numpy(), items.values.to_numpy()
+        component = np.unique(batch.column("component").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        cells = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1]
+        yield batch, cells, lambda i: values[ends[i] : ends[i + 1]], batch.column("n").to_numpy(), component, batch.column("side").to_numpy()  # noqa: B023
+
+
+def near_sizes(n: np.ndarray, num: int, den: int) -> bool:
+    n = np.sort(n)
+    return bool((n[:-1] * den >= num * n[1:]).any())
+
 
-def meet(num: int, den: int):
-    """Links within the cells of batches sorted by cell."""
+def possible(num: int, den: int, once: bool):
+    """Rows of cells whose prefixes leave open that they link with another row; with `once`, by pairs whose first common shingle is the cell's."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in whole_groups(batches, ["token", "one", "two"]):
-            keys = np.stack([batch.column(k).to_numpy() for k in ("token", "one", "two")])
-            cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows]
-            items = batch.column("items")
-            ends, values = items.offsets.to_numpy(), items.values.to_numpy()
-            component = np.unique(batch.column("component").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            side, found = batch.column("side").to_numpy(), []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if b - a > 1:
-                    tree = Tree([values[ends[i] : ends[i + 1]] for i in range(a, b)])
-                    found += [(a + i, a + j) for i, j in tree.links(component[a:b], side[a:b], num, den)]
+        for batch, cells, item, size, component, side in cells_of(batches):
+            good, tokens = [], batch.column("token").to_numpy()
+            for a, b in cells:
+                if near_sizes(size[a:b], num, den) and component[a:b].min() < component[a:b].max():
+                    sets = [item(i) for i in range(a, b)]
+                    first = int(np.searchsorted(np.unique(np.concatenate(sets)), tokens[a])) if once else None
+                    good += [a + i for i in Tree(sets, size[a:b]).candidates(component[a:b], side[a:b], num, den, first)]
+            if good:
+                yield batch.take(pa.array(sorted(good))).select([*CELL_KEYS, "cid", "component", "side", "n"])
+
+    return run
+
+
+def linked(num: int, den: int):
+    """Links within cells of whole sets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch, cells, item, size, component, side in cells_of(batches):
+            found = []
+            for a, b in cells:
+                rows = [i for i in range(a, b) if i == a or batch.column("cid")[i] != batch.column("cid")[i - 1]]  # a set read twice, where doc_ids repeat
+                if len(rows) > 1:
+                    tree = Tree([item(i) for i in rows], size[rows])
+                    found += [(rows[i], rows[j]) for i, j in tree.links(component[rows], side[rows], num, den)]
             if found:
                 left, right = (pa.array(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([batch.column("cid").take(left), batch.column("cid").take(right)], names=["a", "b"])
@@ -235,10 +297,13 @@ def meet(num: int, den: int):
     return run
 
 
-def joined(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within cells(token, one, two, cid, component, side)."""
-    rows = cells.join(sets, "cid").repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "cid")
-    return in_arrow(rows.select("token", "one", "two", "cid", "component", "side", "items"), meet(num, den), "a binary, b binary")
+CELL_KEYS = ["token", "one", "two"]
+CELL_ROW = "token long, one long, two long, cid binary, component binary, side int, n long"
+
+
+def by_cell(rows: DataFrame, run, schema: str) -> DataFrame:
+    rows = rows.repartition(*CELL_KEYS).sortWithinPartitions(*CELL_KEYS, "cid")
+    return in_arrow(rows.select(*CELL_KEYS, "cid", "component", "side", "n", "items"), run, schema)
 
 
 WEIGHT = f"n + {EACH}"
@@ -297,28 +362,36 @@ def jaccard_join(docs: DataFrame, width: int = 3, similarity: float = 0.9, scrat
     scratch = scratch or Scratch(spark, "ngrams")
     num, den = round(similarity * 100), 100
     frequent = spark.sparkContext.broadcast(frequent_words(docs))
-    base = scratch.keep(prefixes(docs, width, num, den, frequent), "prefixes")
-    classes = base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    classes = scratch.keep(classes, "classes")
-
-    spread = classes.select("cid", "n", F.explode("prefix").alias("token"))
+    rows = scratch.keep(prefixes(docs, width, num, den, frequent), "prefixes")
+    heads = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min("n_shingles").alias("n"), F.first("prefix").alias("items"))
+    heads = scratch.keep(heads, "classes")
+    base = scratch.keep(rows.drop("prefix"), "rows")
+    scratch.drop(rows)
+    classes = scratch.keep(heads.select("cid", "least", "size", "n"), "names")
+
+    spread = heads.select("cid", "n", F.explode("items").alias("token"))
     marks = [F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"mark{i}") for i in range(2)]
     shared = spread.groupBy("token").agg(F.count("*").alias("members"), *marks).where("members > 1")
     shared = shared.groupBy("members", "mark0", "mark1").agg(F.min("token").alias("token")).select("token")
     posts = scratch.keep(spread.join(shared, "token"), "posts")
-    if posts.isEmpty():
-        return finish(base, classes, None, scratch)
-
-    wanted = scratch.keep(classes.join(posts.select("cid").distinct(), "cid", "left_semi").select(F.col("least").alias("doc_id")).distinct(), "wanted")
-    texts = semi_by_size(docs.select("doc_id", "text").where("doc_id is not null"), wanted.where("doc_id is not null"), "doc_id")
-    if not wanted.where("doc_id is null").isEmpty():
-        texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
-    sets = scratch.keep(full_sets(texts, width, frequent), "sets")
 
-    links = scratch.keep(joined(first_cells(posts, scratch), sets, num, den), "links")
+    def found(cells: DataFrame, once: bool) -> DataFrame:
+        """Links of cells: by prefixes first, then, of rows that these leave open, by whole sets."""
+        some = by_cell(cells.join(heads.select("cid", "n", "items"), "cid"), possible(num, den, once), CELL_ROW)
+        some = scratch.keep(some, "possible")
+        ids = scratch.keep(classes.join(some.select("cid").distinct(), "cid", "left_semi").select(F.col("least").alias("doc_id")).distinct(), "wanted")
+        texts = semi_by_size(docs.select("doc_id", "text").where("doc_id is not null"), ids.where("doc_id is not null"), "doc_id")
+        if not ids.where("doc_id is null").isEmpty():
+            texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
+        sets = full_sets(texts, width, frequent)
+        if not base.join(ids, base["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").groupBy("doc_id").count().where("count > 1").isEmpty():
+            sets = sets.dropDuplicates(["cid"])  # many rows may share a doc_id
+        return scratch.keep(by_cell(some.join(sets, "cid"), linked(num, den), "a binary, b binary"), "links")
+
+    links = found(first_cells(posts, scratch), False)
     groups = components(links, scratch)
-    more = scratch.keep(joined(torn_cells(posts, groups, scratch), sets, num, den), "links")
+    more = found(torn_cells(posts, groups, scratch), True)
     if not more.isEmpty():
         groups = components(links.unionByName(more), scratch)
-    scratch.drop(posts, sets, wanted)
+    scratch.drop(posts, heads)
     return finish(base, classes, groups, scratch)

@@ -253,9 +253,13 @@ def cells_of(batches) -> Iterator[tuple]:
         yield batch, cells, lambda i: values[ends[i] : ends[i + 1]], batch.column("n").to_numpy(), component, batch.column("side").to_numpy()  # noqa: B023
 
 
-def near_sizes(n: np.ndarray, num: int, den: int) -> bool:
-    n = np.sort(n)
-    return bool((n[:-1] * den >= num * n[1:]).any())
+def partnered(n: np.ndarray, place: np.ndarray | None, component: np.ndarray, side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Rows of a cell that sizes, components and sides leave a partner; with the cell's shingle's places in the prefixes, as the first that a pair shares, by what is left behind it too."""
+    need = -(-num * (n[:, None] + n) // (num + den))
+    rest = n if place is None else n - place
+    good = (np.minimum(rest[:, None], rest) >= need) & (n[:, None] * num <= n * den) & (n[:, None] >= n)
+    good &= (component[:, None] != component) & ((side[:, None] == 0) | (side[:, None] != side))
+    return np.flatnonzero((good | good.T).any(axis=1))
 
 
 def possible(num: int, den: int, once: bool):
@@ -267,10 +271,12 @@ def possible(num: int, den: int, once: bool):
         for batch, cells, item, size, component, side in cells_of(batches):
             good, tokens = [], batch.column("token").to_numpy()
             for a, b in cells:
-                if near_sizes(size[a:b], num, den) and component[a:b].min() < component[a:b].max():
-                    sets = [item(i) for i in range(a, b)]
+                place = np.array([np.searchsorted(item(i), tokens[a]) for i in range(a, b)]) if once else None
+                rows = a + partnered(size[a:b], place, component[a:b], side[a:b], num, den)
+                if len(rows):
+                    sets = [item(i) for i in rows.tolist()]
                     first = int(np.searchsorted(np.unique(np.concatenate(sets)), tokens[a])) if once else None
-                    good += [a + i for i in Tree(sets, size[a:b]).candidates(component[a:b], side[a:b], num, den, first)]
+                    good += rows[Tree(sets, size[rows]).candidates(component[rows], side[rows], num, den, first)].tolist()
             if good:
                 yield batch.take(pa.array(sorted(good))).select([*CELL_KEYS, "cid", "component", "side", "n"])
 
@@ -323,14 +329,18 @@ def first_cells(posts: DataFrame, scratch: Scratch) -> DataFrame:
     return rows.select("token", "one", F.lit(0).cast("long").alias("two"), "cid", F.col("cid").alias("component"), F.lit(0).alias("side"))
 
 
-def torn_cells(posts: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+def torn_cells(posts: DataFrame, groups: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """All classes of each shingle whose classes lie in several components: in one cell, or in cells of two blocks each.
 
-    A component of more than half a cell has blocks of its own; smaller ones are dealt to common blocks whole.
+    The smaller set of a pair has the shingle, if it is the first that both share, among its first n - ceil(2 * similarity /
+    (1 + similarity) * n) + 1; classes whose size is near that of no such set at this shingle stay out. A component of more than half a cell has blocks of its own; smaller ones are dealt to common blocks whole.
     """
     rows = posts.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    torn = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.expr(WEIGHT)).alias("weight")).where("lo <> hi")
-    rows = scratch.keep(rows.join(torn.select("token", "weight"), "token"), "torn")
+    early = (F.col("n") - F.col("pos")) * (num + den) >= 2 * num * F.col("n")
+    torn = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.expr(WEIGHT)).alias("weight"), F.min(F.when(early, F.col("n"))).alias("least"), F.max(F.when(early, F.col("n"))).alias("most"))
+    near = early | ((F.col("n") >= F.col("least")) & (F.col("n") * num <= F.col("most") * den))
+    rows = rows.join(torn.where("lo <> hi and least is not null").select("token", "weight", "least", "most"), "token").where(near)
+    rows = scratch.keep(rows.select("token", "cid", "n", "component", "weight"), "torn")
     cell = F.lit(0).cast("long")
     small = rows.where(F.col("weight") <= CELL).select("token", cell.alias("one"), cell.alias("two"), "cid", "component", F.lit(0).alias("side"))
     large = rows.where(F.col("weight") > CELL)
@@ -369,7 +379,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, similarity: float = 0.9, scrat
     scratch.drop(rows)
     classes = scratch.keep(heads.select("cid", "least", "size", "n"), "names")
 
-    spread = heads.select("cid", "n", F.explode("items").alias("token"))
+    spread = heads.select("cid", "n", F.posexplode("items").alias("pos", "token"))
     marks = [F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"mark{i}") for i in range(2)]
     shared = spread.groupBy("token").agg(F.count("*").alias("members"), *marks).where("members > 1")
     shared = shared.groupBy("members", "mark0", "mark1").agg(F.min("token").alias("token")).select("token")
@@ -390,7 +400,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, similarity: float = 0.9, scrat
 
     links = found(first_cells(posts, scratch), False)
     groups = components(links, scratch)
-    more = found(torn_cells(posts, groups, scratch), True)
+    more = found(torn_cells(posts, groups, num, den, scratch), True)
     if not more.isEmpty():
         groups = components(links.unionByName(more), scratch)
     scratch.drop(posts, heads)

@@ -47,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--flanking-residues", type=int, default=5)
     q.add_argument("--csv-output")
     q.add_argument("--peptides-output")
-    c = sub.add_parser("check", help="check that a stored index is sorted")
+    c = sub.add_parser("check", help="check that a stored index is sorted and whole")
     c.add_argument("index")
     k = sub.add_parser("codes", help="list the genetic codes, or the codons of one as CSV")
     k.add_argument("--codons", type=int, metavar="CODE")
@@ -75,9 +75,11 @@ def main(argv: list[str] | None = None) -> int:
         cfg = IndexConfig(args.tag_size, args.enzyme, args.mass_precision, args.mass_bits, args.genetic_code, args.title or short_id(args.genome))
         engine.build_index(fasta.read_blocks(spark, args.genome), args.index, cfg, short_id(args.index))
     elif args.command == "check":
-        bad = engine.verify_index(engine.open_index(spark, args.index)).count()
-        print("index is sorted" if not bad else f"{bad} buckets are not sorted")
-        return int(bad > 0)
+        index = engine.open_index(spark, args.index)
+        bad, wrong = engine.verify_index(index).count(), engine.verify_directory(index).count()
+        print("index is sorted" if not bad else f"{bad} lists of tags are not sorted")
+        print("directory is right" if not wrong else f"{wrong} lists of tags differ from the directory in number")
+        return int(bad + wrong > 0)
     elif args.command == "dump":
         dump = genome_dump(fasta.read_blocks(spark, args.genome))
         for line in html(dump) if args.html else (r["text"] for r in dump.toLocalIterator()):
@@ -104,7 +106,7 @@ def search(spark: SparkSession, args: argparse.Namespace) -> None:
     queries = queries.select((F.col("part").cast("long") * 2**40 + F.col("query_id")).alias("query_id"), "peptide", "precursor_mass")
     scratch = Scratch(spark, "search")
     try:
-        found = engine.ordered(engine.search(index, queries, cfg, scratch))
+        found = engine.ordered(engine.search(index, queries, cfg, scratch, placed=True))
         if args.csv_output:
             sinks.write_csv(found, args.csv_output, precision, cfg.flanking_residues > 0)
         else:

@@ -67,6 +67,19 @@ def with_texts(rows: DataFrame, frames: DataFrame, keys: list[str], **parts: tup
     return out.withColumns({name: F.coalesce(name, F.lit("")) for name in parts})
 
 
+def common_residues(found: DataFrame, queries: DataFrame, scaffolds: DataFrame, frames: DataFrame) -> DataFrame:
+    """anchors() with the query's residues (I as L) as `wanted`, and how many residues from the anchor on are those of the query's end, as `same`."""
+    keys = ["query_id", *FRAME, "anchor_idx", "is_right"]
+    rows = found.join(scaffolds.select("scaffold_id", "length"), "scaffold_id").join(queries.select("query_id", il_normalize("peptide").alias("wanted")), "query_id")
+    n, at = F.length("wanted"), F.col("anchor_idx")
+    rows = with_texts(rows, frames, keys, residues=(F.col("frame"), F.when(F.col("is_right"), at - n + 1).otherwise(at), F.when(F.col("is_right"), at).otherwise(at + n - 1)))
+    inward = lambda c: F.when(F.col("is_right"), F.reverse(c)).otherwise(c)
+    mine, theirs = inward(F.col("wanted")), inward(il_normalize("residues"))
+    most = F.least(F.length("wanted"), F.length("residues"))
+    same = F.size(F.filter(F.sequence(F.lit(0), most), lambda i: F.left(mine, i) == F.left(theirs, i))) - 1
+    return rows.withColumn("same", same.cast("long")).drop("length", "residues")
+
+
 def immediate_alignments(hits: DataFrame, scaffolds: DataFrame, frames: DataFrame, index_id: str, flank: int = 5) -> DataFrame:
     """Peptide, flanks and assembly of immediate_hits(); flanks end at the scaffold's bounds."""
     rows = hits.join(scaffolds.select("scaffold_id", "label", "length"), "scaffold_id")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from peptrail.functions.config import IndexConfig, SearchConfig
 from peptrail.functions.mass import min_residue_mass, residue_mass
-from peptrail.functions.sequence import overlapping, translate_codon
+from peptrail.functions.sequence import il_normalize, orf, overlapping, translate_codon
 from peptrail.functions.text import assembly, outer_start
 from peptrail.operators.bands import band_join
 from peptrail.operators.extend import MASS_BIN, with_texts
@@ -19,22 +19,31 @@ from peptrail.operators.translate import FRAME, nt_blocks, strand_blocks
 STRAND = ["scaffold_id", "strand"]
 
 
-def motif_sites(scaffolds: DataFrame, motifs: list[str]) -> DataFrame:
-    """scaffold_id, strand, pos, motif, and the two nucleotides before and behind; one pass over the blocks for each motif length."""
-    both, out = strand_blocks(nt_blocks(scaffolds)), []
+#: Nucleotides beside a motif that exact search looks at: the rest of a split codon and two codons.
+BESIDE = 8
+
+
+def motif_sites(scaffolds: DataFrame, motifs: list[str], beside: int = 2, tag_size: int = IndexConfig.tag_size) -> DataFrame:
+    """scaffold_id, strand, pos, motif, and the `beside` nucleotides before and behind; one pass over the blocks for each motif length."""
+    both, out = strand_blocks(nt_blocks(scaffolds, IndexConfig(tag_size=tag_size))), []
     for size in sorted({len(m) for m in motifs}):
-        ahead, behind = F.lpad(F.right("ahead", F.lit(2)), 2, "N"), F.concat(F.left("behind", F.lit(size + 1)), F.lit("NN"))
-        text = F.left(F.concat(ahead, F.col("seq"), behind), F.length("seq") + size + 3)  # a motif begins in its block and ends in the scaffold
-        rows = both.select(*STRAND, "at", F.posexplode(overlapping(text, size + 4)).alias("pos", "w")).where(F.substring("w", 3, size).isin(*[m for m in motifs if len(m) == size]))
-        out.append(rows.select(*STRAND, (F.col("at") + F.col("pos")).cast("long").alias("pos"), F.substring("w", 3, size).alias("motif"), F.substring("w", 1, 2).alias("ahead"), F.substring("w", size + 3, 2).alias("behind")))
+        ahead = F.lpad(F.right("ahead", F.lit(beside)), beside, "N")
+        behind = F.concat(F.left("behind", F.lit(size - 1 + beside)), F.lit("N" * beside))
+        text = F.left(F.concat(ahead, F.col("seq"), behind), F.length("seq") + size - 1 + 2 * beside)  # a motif begins in its block and ends in the scaffold
+        rows = both.select(*STRAND, "at", F.posexplode(overlapping(text, size + 2 * beside)).alias("pos", "w")).where(F.substring("w", beside + 1, size).isin(*[m for m in motifs if len(m) == size]))
+        out.append(rows.select(*STRAND, (F.col("at") + F.col("pos")).cast("long").alias("pos"), F.substring("w", beside + 1, size).alias("motif"), F.substring("w", 1, beside).alias("ahead"), F.substring("w", beside + size + 1, beside).alias("behind")))
     return reduce(DataFrame.unionByName, out)
 
 
-def donors_and_acceptors(scaffolds: DataFrame, scfg: SearchConfig) -> tuple[DataFrame, DataFrame]:
-    """Donor and acceptor sites as separate tables with their own column names."""
-    sites = motif_sites(scaffolds, sorted({m for pair in scfg.sites for m in pair}))
-    name = lambda rows, p: rows.select(*STRAND, *(F.col(c).alias(f"{p}_{c}") for c in ("pos", "motif", "ahead", "behind")))
-    return name(sites.where(F.col("motif").isin(*{d for d, _ in scfg.sites})), "d"), name(sites.where(F.col("motif").isin(*{a for _, a in scfg.sites})), "a")
+def donors_and_acceptors(scaffolds: DataFrame, scfg: SearchConfig, tag_size: int = IndexConfig.tag_size) -> tuple[DataFrame, DataFrame]:
+    """Donor and acceptor sites as separate tables with their own column names: the two nucleotides before a donor and behind an acceptor
+    (d_ahead, a_behind), and, for exact search, BESIDE of them (d_wide, a_wide)."""
+    sites = motif_sites(scaffolds, sorted({m for pair in scfg.sites for m in pair}), 2 if scfg.similarity_search else BESIDE, tag_size)
+    wide = [] if scfg.similarity_search else [F.col("ahead").alias("d_wide")], [] if scfg.similarity_search else [F.col("behind").alias("a_wide")]
+    sites = sites.withColumns({"two": F.right("ahead", F.lit(2)), "next_two": F.left("behind", F.lit(2))})
+    donors = sites.where(F.col("motif").isin(*{d for d, _ in scfg.sites})).select(*STRAND, F.col("pos").alias("d_pos"), F.col("motif").alias("d_motif"), F.col("two").alias("d_ahead"), F.col("next_two").alias("d_behind"), *wide[0])
+    acceptors = sites.where(F.col("motif").isin(*{a for _, a in scfg.sites})).select(*STRAND, F.col("pos").alias("a_pos"), F.col("motif").alias("a_motif"), F.col("two").alias("a_ahead"), F.col("next_two").alias("a_behind"), *wide[1])
+    return donors, acceptors
 
 
 def listed(scfg: SearchConfig) -> Column:
@@ -53,10 +62,14 @@ def exon_ends(found: DataFrame, windows: DataFrame, prefixes: DataFrame, icfg: I
     """Stretches from an anchor after which an intron may come: the tag is complete and at least one residue is still missing.
 
     query_id, FRAME, is_right, first_idx, last_idx, exon_mass, edge (the nucleotide bound facing the intron), lo, hi, split (0 to 2).
+    Where found has `same` and `wanted` (exact search), a stretch goes no further than the query's own residues do; wanted is kept.
     """
+    exact = ["wanted"] if "same" in found.columns else []
     k, light = icfg.tag_size, min_residue_mass(icfg.mass_precision)
     rows = found.join(windows.select("query_id", "lo", "hi"), "query_id").where("lo is not null")
     most = F.floor((F.col("hi") - icfg.water) / light) - 1
+    if exact:
+        most = F.least(most, F.col("same"), F.length("wanted") - 1)
     rows = rows.where(most >= F.col("steps") + k).withColumn("n", F.explode(F.sequence((F.col("steps") + k).cast("long"), most.cast("long"))))
     far = F.when(F.col("is_right"), F.col("anchor_idx") - F.col("n") + 1).otherwise(F.col("anchor_idx") + F.col("n") - 1)
     rows = rows.withColumn("idx", far).where("idx >= 0").join(prefixes, [*FRAME, "idx"])
@@ -64,11 +77,15 @@ def exon_ends(found: DataFrame, windows: DataFrame, prefixes: DataFrame, icfg: I
     mass = F.when(F.col("is_right"), F.col("anchor_cum") - F.col("cum_mass")).otherwise(F.col("cum_end") - F.col("anchor_cum"))
     rows = rows.where(clean).withColumn("exon_mass", mass).where(F.col("exon_mass") + icfg.water + light <= F.col("hi"))
     edge = F.col("frame") + 3 * (F.col("idx") + F.when(F.col("is_right"), 0).otherwise(1))
-    return rows.select("query_id", *FRAME, "is_right", F.least("idx", "anchor_idx").alias("first_idx"), F.greatest("idx", "anchor_idx").alias("last_idx"), "exon_mass", edge.alias("edge"), "lo", "hi", F.explode(F.array(*map(F.lit, range(3)))).alias("split"))
+    return rows.select("query_id", *FRAME, "is_right", F.least("idx", "anchor_idx").alias("first_idx"), F.greatest("idx", "anchor_idx").alias("last_idx"), "exon_mass", edge.alias("edge"), "lo", "hi", *exact, F.explode(F.array(*map(F.lit, range(3)))).alias("split"))
 
 
-def with_introns(ends: DataFrame, donors: DataFrame, acceptors: DataFrame, scfg: SearchConfig) -> DataFrame:
-    """exon_ends() joined with each listed pair of motifs: intron (start, end) bounds and the codon that it splits."""
+def with_introns(ends: DataFrame, donors: DataFrame, acceptors: DataFrame, scfg: SearchConfig, code: int = 1) -> DataFrame:
+    """exon_ends() joined with each listed pair of motifs: intron (start, end) bounds and the codon that it splits.
+
+    In exact search only those where the split codon and the two residues beyond it are the query's.
+    """
+    exact = "wanted" in ends.columns
     reach = scfg.max_intron_length - F.col("split") - 1
     s = F.col("split")
     left = ends.where("not is_right").withColumn("d_pos", F.col("edge") + s).join(donors, [*STRAND, "d_pos"])
@@ -79,6 +96,16 @@ def with_introns(ends: DataFrame, donors: DataFrame, acceptors: DataFrame, scfg:
     stop = F.col("d_pos") + F.length("d_motif")
     right = band_join(right, donors, STRAND, F.col("edge") - s - reach, F.col("edge") - s, stop, scfg.max_intron_length)
     right = right.withColumn("codon", F.concat(F.substring("d_ahead", s, 3 - s), F.substring("a_behind", F.lit(1), s)))
+    if exact:
+        n, mid, rest = F.col("last_idx") - F.col("first_idx") + 1, (s > 0).cast("int"), ((3 - s) % 3).cast("int")
+        residue = il_normalize(translate_codon("codon", code))
+        size = F.length("wanted")
+        beyond = F.substring("wanted", (n + mid + 1).cast("int"), F.lit(2))
+        seen = il_normalize(orf(F.substring("a_wide", rest + 1, F.lit(6)), 0, code))
+        left = left.where(((s == 0) | (residue == F.substring("wanted", (n + 1).cast("int"), F.lit(1)))) & (F.left(seen, F.length(beyond)) == beyond)).drop("a_wide", "d_wide", "wanted")
+        beyond = F.right(F.left("wanted", (size - n - mid).cast("int")), F.lit(2))
+        seen = il_normalize(orf(F.substring("d_wide", F.lit(BESIDE - 6 + 1) - rest, F.lit(6)), 0, code))
+        right = right.where(((s == 0) | (residue == F.substring("wanted", (size - n).cast("int"), F.lit(1)))) & (F.right(seen, F.length(beyond)) == beyond)).drop("a_wide", "d_wide", "wanted")
     both = left.unionByName(right).where(listed(scfg))
     return both.withColumns({"codon": F.when(s > 0, F.col("codon")), "gap_start": F.col("d_pos"), "gap_end": F.col("a_pos") + F.length("a_motif")})
 

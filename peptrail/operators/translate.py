@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from peptrail.functions.config import IndexConfig
 from peptrail.functions.mass import residue_mass
-from peptrail.functions.sequence import RESIDUES, orf, overlapping, revcomp
+from peptrail.functions.sequence import orf, overlapping, revcomp
+from peptrail.operators.tags import FACTS, block_facts, block_tags
 
 FRAME = ["scaffold_id", "strand", "frame"]
 #: Residues to a block of a frame, and nucleotides to a block of a scaffold.
@@ -23,7 +24,7 @@ def tasks(rows: DataFrame) -> int:
 
 def edge(cfg: IndexConfig) -> int:
     """Nucleotides that a block keeps of its neighbours: a tag and a motif that begin at its bounds lie in it whole."""
-    return 3 * cfg.tag_size + 12
+    return max(3 * cfg.tag_size + 12, 24)
 
 
 def nt_blocks(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
@@ -97,33 +98,51 @@ def cut_test(cfg: IndexConfig, aa: Column, before: Column) -> Column:
     return site | aa.isin(*cfg.cut_before) if cfg.cut_before else site
 
 
-def with_sums(blocks: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
-    """frame_blocks with the sums of all blocks of the frame before each: mass, invalid residues and cleavage sites.
+def block_sums(blocks: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
+    """FRAME, block and what the other blocks of the frame tell each of frame_blocks.
 
-    Sums are counted on the texts, so that nothing is exploded for them; the window holds a row per block.
+    base_mass, base_bad, base_cuts: sums of mass, invalid residues and cleavage sites of all blocks before. in_idx, in_mass,
+    in_bad: the first residue of the span that is open at the block's first residue, and the sums before it. out_idx,
+    out_mass, out_bad: the last residue (no stop) of the span that is open at the block's last one, and the sums up to it.
+    The windows hold a few numbers for each block and no text.
     """
+    kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in FRAME)
+    facts = blocks.select(*FRAME, "block", "first_idx", "text", F.right("ahead", F.lit(1)).alias("before")).mapInArrow(block_facts(cfg), f"{kinds}, {FACTS}")
     zero = F.lit(0).cast("long")
-    count = lambda letters: (F.length("text") - F.length(F.translate("text", letters, ""))).cast("long")
-    mass = sum((count(aa) * m for aa, m in cfg.masses.items()), zero)
-    after = f"(?<=[*{cfg.cut_after}])[\\s\\S]" + (f"|(?<=[\\s\\S])[{cfg.cut_before}]" if cfg.cut_before else "")
-    cuts = F.regexp_count(F.concat(F.right("ahead", F.lit(1)), F.col("text")), F.lit(after)).cast("long")
-    over = Window.partitionBy(*FRAME).orderBy("first_idx").rowsBetween(Window.unboundedPreceding, -1)
-    sums = {"base_mass": mass, "base_bad": F.length("text").cast("long") - count(RESIDUES), "base_cuts": cuts}
-    return blocks.withColumns(sums).withColumns({name: F.coalesce(F.sum(name).over(over), zero) for name in sums})
+    before = Window.partitionBy(*FRAME).orderBy("first_idx").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*FRAME).orderBy(F.desc("first_idx"))
+    rows = facts.withColumns({f"base_{c}": F.coalesce(F.sum(c).over(before), zero) for c in ("mass", "bad", "cuts")})
+    place = lambda c: F.struct(F.col(f"{c}_at").alias("idx"), (F.col(f"{c}_mass") + F.col("base_mass")).alias("mass"), (F.col(f"{c}_bad") + F.col("base_bad")).alias("bad"))
+    rows = rows.withColumns({c: F.when(F.col(f"{c}_at").isNotNull(), place(c)) for c in "sez"})
+    start = F.struct(zero.alias("idx"), zero.alias("mass"), zero.alias("bad"))
+    rows = rows.withColumn("in", F.coalesce(F.last("s", ignorenulls=True).over(before), start))
+    next_end = F.last("e", ignorenulls=True).over(behind.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("out", F.coalesce(next_end, F.first("z").over(behind.rowsBetween(Window.unboundedPreceding, 0))))
+    ends = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("in", "out") for c in ("idx", "mass", "bad")]
+    return rows.select(*FRAME, "block", "base_mass", "base_bad", "base_cuts", *ends)
+
+
+def with_sums(blocks: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
+    """frame_blocks with block_sums()."""
+    return blocks.join(block_sums(blocks, cfg), [*FRAME, "block"])
 
 
 def residues(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
     """residue_rows() of whole scaffolds."""
-    return residue_rows(with_sums(frame_blocks(scaffolds, cfg), cfg), cfg)
+    return residue_rows(all_blocks(scaffolds, cfg), cfg)
+
+
+def all_blocks(scaffolds: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
+    """with_sums() of whole scaffolds."""
+    return with_sums(frame_blocks(scaffolds, cfg), cfg)
 
 
 def residue_rows(blocks: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
     """A row per residue of with_sums(): its place and mass, running sums (before it) of mass, of invalid residues and of cleavage sites.
 
     Columns: scaffold_id, label, length, strand, frame, idx, aa, tag (starting here, or null), tag_back (ending here),
-    mass, valid, cum_mass, bad, span_id, inner (unknown, as are both neighbours). Sums run in two levels, over blocks and
-    inside a block, so that no task needs a whole chromosome's frame. Blocks are dealt to tasks as texts; the residues then
-    need no shuffle for their sums.
+    mass, valid, cum_mass, bad, span_id. Sums run in two levels, over blocks and inside a block, so that no task needs a
+    whole chromosome's frame. Blocks are dealt to tasks as texts; the residues then need no shuffle for their sums.
     """
     k = cfg.tag_size
     dealt = blocks.repartition(tasks(blocks), *FRAME, "block")
@@ -133,11 +152,10 @@ def residue_rows(blocks: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFra
     rows = dealt.withColumns(lists).select(*FRAME, "label", "length", "block", "first_idx", F.posexplode("aas").alias("at", "aa"), "aas", "tags", "lead", "ahead", "behind", "base_mass", "base_bad", "base_cuts")
     mass = residue_mass("aa", cfg.mass_precision)
     before = F.coalesce(F.get("aas", F.col("at") - 1), F.nullif(F.right("ahead", F.lit(1)), F.lit("")))
-    inner = (F.col("aa") == "X") & (F.get("aas", F.col("at") - 1) == "X") & (F.get("aas", F.col("at") + 1) == "X")  # at a block's bounds: no
     rows = rows.select(
         *FRAME, "label", "length", "block", "first_idx", "at", "aa",
         F.get("tags", F.col("lead") + F.col("at")).alias("tag"), F.get("tags", F.col("lead") + F.col("at") - (k - 1)).alias("tag_back"),
-        F.coalesce(mass, F.lit(0).cast("long")).alias("mass"), mass.isNotNull().alias("valid"), F.coalesce(inner, F.lit(False)).alias("inner"),
+        F.coalesce(mass, F.lit(0).cast("long")).alias("mass"), mass.isNotNull().alias("valid"),
         F.when(before.isNull(), 0).otherwise(cut_test(cfg, F.col("aa"), before).cast("int")).alias("cut"),
         "base_mass", "base_bad", "base_cuts",
     )
@@ -147,7 +165,7 @@ def residue_rows(blocks: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFra
         *FRAME, "label", "length", (F.col("first_idx") + F.col("at")).alias("idx"), "aa", "tag", "tag_back", "mass", "valid",
         (F.sum("mass").over(up_to) - F.col("mass") + F.col("base_mass")).alias("cum_mass"),
         (F.sum(wrong).over(up_to) - wrong + F.col("base_bad")).alias("bad"),
-        (F.sum(F.col("cut").cast("long")).over(up_to) + F.col("base_cuts")).alias("span_id"), "inner",
+        (F.sum(F.col("cut").cast("long")).over(up_to) + F.col("base_cuts")).alias("span_id"),
     )
 
 
@@ -156,29 +174,17 @@ def spans(rows: DataFrame) -> DataFrame:
     return rows.where("aa <> '*'").groupBy(*FRAME, "span_id").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
-def hmst(rows: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
-    """Half-mass sequence tags: tag (I as L), is_right, half_mass, scaffold_id, strand, frame, anchor_idx, anchor_pos, steps, and the
-    running sums of mass and invalid residues at the anchor (before it on the left, behind it on the right).
+def hmst(blocks: DataFrame, cfg: IndexConfig = IndexConfig()) -> DataFrame:
+    """Half-mass sequence tags of with_sums(): tag (I as L), is_right, half_mass, scaffold_id, strand, frame, anchor_idx, anchor_pos, steps,
+    and the running sums of mass and invalid residues at the anchor (before it on the left, behind it on the right).
 
     A left tag starts `steps` residues behind its span's first residue, a right one ends as many before the last; all
-    residues from the anchor to the tag's far end are valid. Tags may run over a cleavage site. What lies inside a run of
-    unknown residues is no tag and no anchor, and goes first: such a run may fill a span as long as a chromosome.
+    residues from the anchor to the tag's far end are valid. Tags may run over a cleavage site. A block knows the anchors
+    of the spans that reach over its bounds, so a span of any length is the work of as many tasks as it has blocks.
     """
-    rows = rows.where("not inner")
-    span = Window.partitionBy(*FRAME, "span_id")
-    solid = F.col("aa") != "*"
-    end = F.col("cum_mass") + F.col("mass")
-    spoiled = F.col("bad") + (~F.col("valid")).cast("long")
-    facts = rows.withColumns({
-        "a": F.min(F.when(solid, F.col("idx"))).over(span), "a_cum": F.min(F.when(solid, F.col("cum_mass"))).over(span), "a_bad": F.min(F.when(solid, F.col("bad"))).over(span),
-        "b": F.max(F.when(solid, F.col("idx"))).over(span), "b_cum": F.max(F.when(solid, end)).over(span), "b_bad": F.max(F.when(solid, spoiled)).over(span),
-    }).where(F.col("idx").between(F.col("a"), F.col("b")))
-    whole = lambda t: F.coalesce(F.col(t).rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"), F.lit(False))
-    left = F.struct((whole("tag") & (F.col("bad") == F.col("a_bad"))).alias("ok"), F.col("tag").alias("tag"), F.lit(False).alias("is_right"), (F.col("cum_mass") - F.col("a_cum")).alias("half_mass"), F.col("a").alias("anchor_idx"), (F.col("idx") - F.col("a")).alias("steps"), F.col("a_cum").alias("anchor_cum"), F.col("a_bad").alias("anchor_bad"))
-    right = F.struct((whole("tag_back") & (spoiled == F.col("b_bad"))).alias("ok"), F.col("tag_back").alias("tag"), F.lit(True).alias("is_right"), (F.col("b_cum") - end).alias("half_mass"), F.col("b").alias("anchor_idx"), (F.col("b") - F.col("idx")).alias("steps"), F.col("b_cum").alias("anchor_cum"), F.col("b_bad").alias("anchor_bad"))
-    both = facts.select(*FRAME, F.explode(F.array(left, right)).alias("h")).where(F.col("h.ok") & (F.col("h.half_mass") <= cfg.max_mass))
-    position = F.col("frame") + 3 * F.col("h.anchor_idx") + F.when(F.col("h.is_right"), 2).otherwise(0)
-    return both.select(F.translate("h.tag", "I", "L").alias("tag"), "h.is_right", "h.half_mass", *FRAME, "h.anchor_idx", position.alias("anchor_pos"), "h.steps", "h.anchor_cum", "h.anchor_bad")
+    kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in FRAME)
+    schema = f"tag string, is_right boolean, half_mass long, {kinds}, anchor_idx long, anchor_pos long, steps long, anchor_cum long, anchor_bad long"
+    return blocks.repartition(tasks(blocks), *FRAME, "block").mapInArrow(block_tags(cfg), schema)
 
 
 def histogram(postings: DataFrame) -> DataFrame:

@@ -54,6 +54,10 @@ def all_residues(spark, sf_dir):
     return translate.residues(genome(spark, sf_dir))
 
 
+def all_blocks(spark, sf_dir):
+    return translate.all_blocks(genome(spark, sf_dir))
+
+
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, peptide, precursor_mass: runs of 8 residues or more between cleavage sites in the forward frames of benchmark texts."""
     rows = translate.residues(small_genome(spark, sf_dir)).where("strand = '+' and span_id > 0").groupBy("scaffold_id", "frame", "span_id")
@@ -66,8 +70,21 @@ def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranged.withColumn("place", place).join(F.broadcast(parts), "part").select((F.col("before") + F.col("place")).cast("long").alias("query_id"), "peptide", F.lit(None).cast("long").alias("precursor_mass"))
 
 
-def searched(spark, sf_dir, cfg: SearchConfig) -> DataFrame:
-    return engine.search(engine.make_index(genome(spark, sf_dir)), peptides(spark, sf_dir), cfg)
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> engine.Index:
+    """The index of all documents, built once for a folder of tables in a session and opened by each search."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        path = Scratch(spark, "index").path("documents")
+        engine.build_index(genome(spark, sf_dir), path)
+        _stored[key] = path
+    return engine.open_index(spark, _stored[key])
+
+
+def searched(spark, sf_dir, cfg: SearchConfig, placed: bool = False) -> DataFrame:
+    return engine.search(stored_index(spark, sf_dir), peptides(spark, sf_dir), cfg, placed=placed)
 
 
 # ---- sources and static tables
@@ -298,23 +315,23 @@ def prefix_mass(spark, sf_dir):
     FROM hmst GROUP BY ALL"""))
 def hmst(spark, sf_dir):
     """Half-mass tags, by anchor."""
-    rows = translate.hmst(all_residues(spark, sf_dir)).groupBy(*FRAME, "is_right", "anchor_idx", F.col("anchor_pos").cast("long").alias("anchor_pos"))
+    rows = translate.hmst(all_blocks(spark, sf_dir)).groupBy(*FRAME, "is_right", "anchor_idx", F.col("anchor_pos").cast("long").alias("anchor_pos"))
     return rows.agg(F.count("*").alias("n"), F.min("tag").alias("first_tag"), F.max("tag").alias("last_tag"), F.sum("half_mass").alias("mass_sum"))
 
 
 @query(O.chain("documents", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="SELECT tag, is_right, count(*) AS n FROM hmst GROUP BY ALL"))
 def hmst_histogram(spark, sf_dir):
-    return translate.histogram(translate.hmst(translate.residues(genome(spark, sf_dir))))
+    return translate.histogram(translate.hmst(all_blocks(spark, sf_dir)))
 
 
 @query(O.chain("documents", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="SELECT CAST(sum(n) AS BIGINT) AS total, max(n) AS largest, count(*) AS n_buckets FROM (SELECT count(*) AS n FROM hmst GROUP BY tag, is_right)"))
 def hmst_histogram_stats(spark, sf_dir):
-    return translate.histogram_stats(translate.hmst(translate.residues(genome(spark, sf_dir))))
+    return translate.histogram_stats(translate.hmst(all_blocks(spark, sf_dir)))
 
 
 @query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last='SELECT tag, is_right, n, CAST(coalesce(sum(n) OVER (ORDER BY tag, is_right ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM (SELECT tag, is_right, count(*) AS n FROM hmst GROUP BY ALL)'))
 def bucket_offsets(spark, sf_dir):
-    return translate.bucket_offsets(translate.histogram(translate.hmst(translate.residues(small_genome(spark, sf_dir)))))
+    return translate.bucket_offsets(translate.histogram(translate.hmst(translate.all_blocks(small_genome(spark, sf_dir)))))
 
 
 @query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="SELECT tag, is_right, CAST(half_mass AS BIGINT) AS half_mass, row_number() OVER (PARTITION BY tag, is_right ORDER BY half_mass) AS place FROM hmst"))
@@ -329,7 +346,7 @@ def index_sorted(spark, sf_dir):
 @query("SELECT '' AS tag, false AS is_right, CAST(0 AS BIGINT) AS n_descents WHERE false")
 def index_check(spark, sf_dir):
     """Buckets of a stored index of all documents whose masses fall: none."""
-    return engine.verify_index(engine.build_index(genome(spark, sf_dir), Scratch(spark, "index").path("genome")))
+    return engine.verify_index(stored_index(spark, sf_dir))
 
 
 @query(f"""WITH {O.scaffolds('documents')}, o AS (
@@ -356,14 +373,14 @@ def query_hmst(spark, sf_dir):
 @query(O.search_chain(O.query_tags(False), O.HITS, last="SELECT peptide, is_right, count(*) AS n, CAST(sum(half_mass) AS BIGINT) AS mass_sum FROM hits GROUP BY ALL"))
 def tag_lookup(spark, sf_dir):
     q = peptides(spark, sf_dir)
-    hits = engine.find_hits(engine.make_index(genome(spark, sf_dir)), q, SearchConfig())
+    hits = engine.find_hits(stored_index(spark, sf_dir), q, SearchConfig())
     return hits.groupBy("query_id", "is_right").agg(F.count("*").alias("n"), F.sum("half_mass").alias("mass_sum")).join(q.select("query_id", "peptide"), "query_id").select("peptide", "is_right", "n", "mass_sum")
 
 
 @query(O.search_chain(O.query_tags(False), O.HITS, last="SELECT peptide, is_right, count(*) AS n, CAST(sum(half_mass) AS BIGINT) AS mass_sum, CAST(sum(steps) AS BIGINT) AS steps_sum FROM anchors GROUP BY ALL"))
 def anchors(spark, sf_dir):
     q = peptides(spark, sf_dir)
-    found = engine.find_anchors(engine.make_index(genome(spark, sf_dir)), q, SearchConfig())
+    found = engine.find_anchors(stored_index(spark, sf_dir), q, SearchConfig())
     return found.groupBy("query_id", "is_right").agg(F.count("*").alias("n"), F.sum("half_mass").alias("mass_sum"), F.sum("steps").alias("steps_sum")).join(q.select("query_id", "peptide"), "query_id").select("peptide", "is_right", "n", "mass_sum", "steps_sum")
 
 
@@ -387,21 +404,21 @@ def accept_il(spark, sf_dir):
 
 @query(O.search_chain(O.query_tags(True), O.HITS, O.IMMEDIATE, last="SELECT DISTINCT peptide FROM alignments WHERE replace(peptide, 'I', 'L') = replace(query, 'I', 'L')"))
 def distinct_hit_peptides(spark, sf_dir):
-    return distinct_peptides(searched(spark, sf_dir, SearchConfig(similarity_search=False, search_intron_split="no")))
+    return distinct_peptides(engine.ordered(searched(spark, sf_dir, SearchConfig(similarity_search=False, search_intron_split="no"), placed=True)))
 
 
 @query(O.search_chain(O.query_tags(True), O.HITS, O.IMMEDIATE, last="""
     SELECT DISTINCT query AS "Query", aa_n_term AS "AA N-term", peptide AS "Peptide", aa_c_term AS "AA C-term", printf('%.4f', mass) AS "Mass", assembly AS "Assembly", '' AS "Intron length", '' AS "Splice site"
     FROM alignments WHERE replace(peptide, 'I', 'L') = replace(query, 'I', 'L')"""))
 def alignment_csv(spark, sf_dir):
-    return csv_rows(engine.ordered(searched(spark, sf_dir, SearchConfig(similarity_search=False, search_intron_split="no"))))
+    return csv_rows(engine.ordered(searched(spark, sf_dir, SearchConfig(similarity_search=False, search_intron_split="no"), placed=True)))
 
 
 @query(O.search_chain(O.query_tags(True), O.HITS, O.IMMEDIATE, last="SELECT peptide AS query FROM peptides EXCEPT SELECT query FROM alignments WHERE replace(peptide, 'I', 'L') = replace(query, 'I', 'L')"))
 def conditional_introns(spark, sf_dir):
     """Queries that the intron stage gets: those without an accepted contiguous alignment."""
     q = peptides(spark, sf_dir)
-    direct = engine.search(engine.make_index(genome(spark, sf_dir)), q, SearchConfig(similarity_search=False, search_intron_split="no"))
+    direct = engine.search(stored_index(spark, sf_dir), q, SearchConfig(similarity_search=False, search_intron_split="no"))
     return q.join(direct.select("query_id").distinct(), "query_id", "left_anti").select(F.col("peptide").alias("query"))
 
 
@@ -450,7 +467,7 @@ def split_alignments(spark, sf_dir):
 ))
 def ordered_alignments(spark, sf_dir):
     """The whole conditional search over all documents, in display order."""
-    return engine.ordered(searched(spark, sf_dir, EXACT))
+    return engine.ordered(searched(spark, sf_dir, EXACT, placed=True))
 
 
 #: Rows whose checklist names differ from the function that covers them.

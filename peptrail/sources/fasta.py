@@ -167,10 +167,24 @@ def parse_peptides(lines: DataFrame, precision: int = 10000) -> DataFrame:
     return rows.select("query_id", "peptide", F.nullif(precursor_mass("mass", precision), F.lit(0).cast("long")).alias("precursor_mass"), "line_no")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and line_no of text files, counted through all of them from 1.
+
+    Each split numbers its own lines; the splits' line counts, a row for each, are added up on the driver.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    before, known = 0, []
+    for file, split, n in sorted(tuple(r) for r in lines.groupBy("file", "split").count().collect()):
+        known.append((file, split, before))
+        before += n
+    starts = spark.createDataFrame(known, "file string, split long, before long")
+    inside = F.row_number().over(Window.partitionBy("file", "split").orderBy("at"))
+    return lines.withColumn("inside", inside).join(F.broadcast(starts), ["file", "split"]).select("value", (F.col("before") + F.col("inside")).alias("line_no"))
+
+
 def read_peptides(spark: SparkSession, path: str, precision: int = 10000) -> DataFrame:
-    """Peptides of a text file, numbered by line; the file is a list of queries, so one ordered pass numbers it."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-    return parse_peptides(lines.withColumn("line_no", F.row_number().over(Window.orderBy("at"))), precision)
+    """Peptides of text files, numbered by line."""
+    return parse_peptides(numbered_lines(spark, path), precision)
 
 
 def inline_peptides(spark: SparkSession, items: list[str], precision: int = 10000) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_folder: list[str] = []
 
@@ -31,16 +32,19 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.rows: dict[str, int] = {}
 
     def path(self, tag: str) -> str:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{tag}"
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write df and return it as read back: its lineage starts at the written files."""
-        path = self.path(tag)
+    def keep(self, df: DataFrame, tag: str, counted: bool = False) -> DataFrame:
+        """Write df and return it as read back: its lineage starts at the written files. counted: how many rows were written goes to rows[tag], without a job of its own."""
+        path, seen = self.path(tag), Observation()
         with shuffles_end(self.spark):
-            df.write.parquet(path)
+            (df.observe(seen, F.count(F.lit(1)).alias("rows")) if counted else df).write.parquet(path)
+        if counted:
+            self.rows[tag] = self.rows.get(tag, 0) + int(seen.get.get("rows") or 0)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peptrail.functions.mass import mass_digits
@@ -34,7 +34,9 @@ def write_csv(alignments: DataFrame, path: str, precision: int = 10000, flanks:
 
 
 def distinct_peptides(alignments: DataFrame) -> DataFrame:
-    return alignments.select("peptide").distinct()
+    """Each peptide once, in the order of its first row of ordered alignments."""
+    placed = alignments.select("peptide", F.monotonically_increasing_id().alias("at"))  # grows from partition to partition, and these follow the order
+    return placed.groupBy("peptide").agg(F.min("at").alias("at")).orderBy("at").select("peptide")
 
 
 def write_peptides(alignments: DataFrame, path: str) -> None:
@@ -45,11 +47,25 @@ def write_peptides(alignments: DataFrame, path: str) -> None:
 GROUP = 8 << 20
 
 
-def write_index(postings: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Postings by ranges of tag and direction, sorted by mass inside: row groups then prune by tag and by half mass."""
-    keys = ["tag", "is_right"]
-    dealt = postings.repartitionByRange(partitions, *keys) if partitions else postings.repartitionByRange(*keys)
-    dealt.sortWithinPartitions("tag", "is_right", "half_mass").write.option("parquet.block.size", GROUP).mode("error").parquet(path)
+def tag_bucket(buckets: int) -> Column:
+    """The bucket that holds a tag's postings."""
+    return F.pmod(F.hash("tag"), F.lit(buckets))
+
+
+def write_index(postings: DataFrame, path: str, buckets: int) -> None:
+    """Postings in a folder for each bucket of tags, sorted by tag, direction and mass over a bucket's files: lookups pass over folders, and row groups then prune by tag and half mass.
+
+    Tasks take ranges of that order, so a tag of any frequency is the work of as many tasks as its rows ask for.
+    """
+    order = ["bucket", "tag", "is_right", "half_mass"]
+    dealt = postings.withColumn("bucket", tag_bucket(buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.partitionBy("bucket").option("parquet.block.size", GROUP).mode("error").parquet(path)
+
+
+def write_directory(counts: DataFrame, path: str, buckets: int) -> None:
+    """tag, is_right, n and offset of each list of postings, in the postings' folders."""
+    rows = counts.withColumn("bucket", tag_bucket(buckets)).repartitionByRange("bucket", "tag").sortWithinPartitions("bucket", "tag", "is_right")
+    rows.write.partitionBy("bucket").mode("error").parquet(path)
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:

@@ -8,14 +8,14 @@ of them has a whole count. The documents of a source are dealt by a hash into gr
 tree of fan-in `group`, so no task sees more than a few thousand rows however large a source is. The
 last fraction of a source is rounded at random; so a source misses its target by under one document.
 
-At the root of each source's tree a document may be so long that all smaller ones there, one by one,
-could not take up its fraction: its square exceeds the sum of theirs (pairs walk at random, by steps of
-the smaller document). Its partner is then the pool of all smaller ones, whose fractions change
-together; pairs follow as soon as a document is within that bound. This depends on the source's own
-documents only. All randomness comes from hashes of doc_id and `seed`: reruns agree.
+Pairs are made within classes of size (a power of two each), from the longest documents on. A long document is not taken
+up by much smaller ones, one by one (pairs walk at random, by steps of the smaller document). So what a class leaves open is
+paired with several smaller documents of the group at once, the longest that have room for it, whose fractions change
+together; if all smaller ones have none, it goes on to the next class. What a group leaves open is thus small. All of this depends on the source's own documents only.
+All randomness comes from hashes of doc_id and `seed`: reruns agree.
 
 Defined cases: null or wordless text has size 0 and takes 0; a null source is a source of its own,
-last in order; repeated rows are documents of their own, told apart by a running number, as are rows
+last in order; very long texts are counted whole; repeated rows are documents of their own, told apart by a running number, as are rows
 without a doc_id; a doc_id of any type comes back as it is; a table without words gives targets of 0;
 an empty table an empty result; further columns are ignored.
 """
@@ -34,6 +34,8 @@ from pyspark.sql.window import Window
 from peptrail.llm.common import WORD, Scratch, small_enough
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Running numbers that are dealt at a time.
+RANGE = 1 << 14
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -99,31 +101,44 @@ def pivot(keys: list, sizes: np.ndarray, shares: np.ndarray, seed: int) -> tuple
     return shares, open_
 
 
-def pivot_with_pool(keys: list, sizes: np.ndarray, shares: np.ndarray, seed: int) -> np.ndarray:
-    """Pair each document that is too long for pairs, from the longest on, with the pool of all smaller ones.
+def give_to_pool(keys: list, sizes: np.ndarray, shares: np.ndarray, i: int, pool: np.ndarray, seed: int) -> bool:
+    """Make document i whole or nothing, paired with as many of a pool of others (longest first) as its fraction needs, in place; False if the pool has no room.
 
     It becomes whole with probability equal to its share; each member of the pool gives or takes words in proportion to
-    what it has room for in both cases, so every expectation and the sum of words are kept. It ends at the first document
-    whose square the squares of the smaller ones reach, or whose fraction the pool has no room for; pairs go on from there.
+    what it has room for in both cases, so every expectation and the sum of words are kept.
+    """
+    pool = pool[(shares[pool] > 0) & (shares[pool] < 1) & (sizes[pool] > 0)]
+    w, rest = float(sizes[i]), sizes[pool].astype(float)
+    gives, takes = (1 - shares[i]) * w, shares[i] * w  # words that the pool gives if the document is taken, takes if not
+    room = np.minimum(shares[pool] * rest / gives, (1 - shares[pool]) * rest / takes)
+    enough = int(np.searchsorted(np.cumsum(room), 1.0)) + 1  # the longest ones that have the room together
+    if enough > len(pool):
+        return False
+    pool, rest, part = pool[:enough], rest[:enough], room[:enough] / room[:enough].sum()
+    up = xxhash.xxh64_intdigest(f"{seed}/pool/{keys[i]}") / 2.0**64 < shares[i]
+    shares[i] = float(up)
+    moved = shares[pool] - part * gives / rest if up else shares[pool] + part * takes / rest
+    shares[pool] = np.where(np.abs(moved - np.round(moved)) < 1e-12, np.round(moved), moved)
+    return True
+
+
+def settle(keys: list, sizes: np.ndarray, shares: np.ndarray, seed: int) -> tuple[np.ndarray, int | None]:
+    """Round fractional shares of documents in order of falling size; returns them and the place of the one left, if any.
+
+    Documents are paired within classes of size, a power of two each, from the longest on. The one that a class leaves open
+    is paired with a pool of smaller documents; if they have no room for its fraction, it goes on to the next class.
     """
     shares = shares.astype(float).copy()
-    order = np.array(sorted(np.flatnonzero((shares > 0) & (shares < 1) & (sizes > 0)).tolist(), key=lambda i: (-sizes[i], keys[i])), dtype=np.int64)
-    for n, i in enumerate(order):
-        pool = order[n + 1 :]
-        pool = pool[(shares[pool] > 0) & (shares[pool] < 1)]
-        w, rest = float(sizes[i]), sizes[pool].astype(float)
-        if not len(pool) or not 0 < shares[i] < 1 or w * w <= (rest * rest).sum():
-            break
-        gives, takes = (1 - shares[i]) * w, shares[i] * w  # words that the pool gives if the document is taken, takes if not
-        room = np.minimum(shares[pool] * rest / gives, (1 - shares[pool]) * rest / takes)
-        if room.sum() < 1:
-            break
-        part = room / room.sum()
-        up = xxhash.xxh64_intdigest(f"{seed}/pool/{keys[i]}") / 2.0**64 < shares[i]
-        shares[i] = float(up)
-        moved = shares[pool] - part * gives / rest if up else shares[pool] + part * takes / rest
-        shares[pool] = np.where(np.abs(moved - np.round(moved)) < 1e-12, np.round(moved), moved)
-    return shares
+    kind = np.log2(np.maximum(sizes, 1)).astype(np.int64)
+    open_ = None
+    for k in np.unique(kind)[::-1].tolist():
+        mine = np.flatnonzero(kind == k)
+        mine = mine if open_ is None else np.r_[open_, mine]
+        shares[mine], left = pivot([keys[i] for i in mine.tolist()], sizes[mine], shares[mine], seed)
+        open_ = None if left is None else int(mine[left])
+        if open_ is not None and give_to_pool(keys, sizes, shares, open_, np.flatnonzero(kind < k), seed):
+            open_ = None
+    return shares, open_
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17, group: int = 4096, scratch: Scratch | None = None) -> DataFrame:
@@ -135,7 +150,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     goal_side = F.broadcast(goal) if small_enough(goal, 100_000) else goal
     # rows that repeat a document's id, source and size differ in nothing that matters here but a running number
     alike = sized.groupBy("doc_id", "source", "size").count()
-    alike = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    alike = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / RANGE))))  # no array is longer than RANGE for up to RANGE^2 rows
+    alike = alike.withColumn("copy", F.explode(F.sequence(F.col("part") * RANGE + 1, F.least((F.col("part") + 1) * RANGE, F.col("count"))))).drop("part")
     rows = alike.join(goal_side, alike["source"].eqNullSafe(goal_side["source"])).drop(goal_side["source"])
     expected = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(expected + 1e-12)).withColumn("share", F.greatest(expected - F.col("whole"), F.lit(0.0)))
@@ -172,9 +188,7 @@ def rounding(seed: int, group: int) -> Callable:
         keys = [key[i] for i in order]
         sizes, shares = (rows.column(c).to_numpy()[order] for c in ("size", "share"))
         last = rows.column("rest")[0].as_py() <= group
-        if last:
-            shares = pivot_with_pool(keys, sizes, shares, seed)
-        shares, open_ = pivot(keys, sizes, shares, seed)
+        shares, open_ = settle(keys, sizes, shares, seed)
         left = np.zeros(len(key), dtype=bool)
         if open_ is not None and last:
             shares[open_] = float(xxhash.xxh64_intdigest(f"{seed}/last/{keys[open_]}") / 2.0**64 < shares[open_])

@@ -397,7 +397,7 @@ def test_small_source_beside_a_large_one(spark):
 def test_pivot_keeps_expectations():
     sizes = np.array([500, 90, 60, 30, 7, 7, 5, 1])
     for shares in (np.full(8, 0.4), np.array([0.3, 0.8, 0.5, 0.1, 0.9, 0.2, 0.4, 0.6])):
-        for rounds in (lambda s: mixing.pivot(list("abcdefgh"), sizes, shares, s), lambda s: mixing.pivot(list("abcdefgh"), sizes, mixing.pivot_with_pool(list("abcdefgh"), sizes, shares, s), s)):
+        for rounds in (lambda s: mixing.pivot(list("abcdefgh"), sizes, shares, s), lambda s: mixing.settle(list("abcdefgh"), sizes, shares, s)):
             total = np.zeros(8)
             for seed in range(4000):
                 got, _ = rounds(seed)
@@ -406,39 +406,14 @@ def test_pivot_keeps_expectations():
             assert np.abs(total / 4000 - shares).max() < 0.04
 
 
-def test_documents_are_rounded_in_pairs():
-    """The pool takes in only documents too long for pairs: here one of 301, and none where sizes are alike."""
-    sizes = np.array([9000] + [20] * 300 + [35] * 300)
-    order = np.argsort(-sizes, kind="stable")
-    keys, sizes = [str(i) for i in range(len(sizes))], sizes[order]
-    for seed in range(20):
-        shares = mixing.pivot_with_pool(keys, sizes, np.full(len(sizes), 0.4), seed)
-        assert shares[0] in (0, 1) and ((shares[1:] > 0) & (shares[1:] < 1)).all()
-        assert (mixing.pivot_with_pool(keys[1:], sizes[1:], np.full(len(sizes) - 1, 0.4), seed) == 0.4).all()
-
-
-def test_mixing_very_long_text(spark):
-    rows = [(0, "w " * 300_000, "a")] + [(i, "w " * 50, "a") for i in range(1, 200)] + [(1000 + i, "w " * 40, "b") for i in range(50)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert len(got) == 250 and {r["size"] for r in got} == {300_000, 50, 40}
-    assert all(r["taken"] <= 3 * r["size"] for r in got) and sum(r["taken"] for r in got if r["source"] == "b") == 6000
-
-
-def test_mixing_keeps_ids(spark):
-    """Large ids beside a null one, text ids, and a source's words whatever rows another source has."""
-    big = 2**60
-    rows = [(big + i, " ".join(["w"] * (3 + i)), "a") for i in range(1, 6)] + [(None, "w w w w", "a"), (None, "w w w w", "a"), (7, "b " * 40_000, "b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mix(docs).collect()
-    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [7, *range(big + 1, big + 6)] and len(got) == len(rows)
-    text = mixing.mix(docs.withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))).collect()
-    assert {r["doc_id"] for r in text} == {None, "x7", *(f"x{big + i}" for i in range(1, 6))}
-    empty = docs.unionByName(spark.range(10_000, 12_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit("b").alias("source")))
-    words = lambda rows: sorted((str(r["doc_id"]), r["taken"]) for r in rows if r["source"] == "a")
-    assert words(mixing.mix(empty, group=64).collect()) == words(mixing.mix(docs, group=64).collect())
-    hot = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.lit("w w w").alias("text"), F.lit("a").alias("source"))
-    out = mixing.mix(hot, group=50).collect()  # rows without an id are dealt like any other
-    assert len(out) == 900 and sum(r["taken"] for r in out) == 2700
+def test_what_a_class_of_size_leaves_open_is_small():
+    """One document of 9000 words beside 600 short ones, and six documents of each size from 4096 words down: what is left open is under a hundredth."""
+    for sizes in (np.array([9000] + [35] * 300 + [20] * 300), np.array([2**k + j for k in range(12, 2, -1) for j in (6, 5, 4, 3, 2, 1)])):
+        keys = [str(i) for i in range(len(sizes))]
+        for seed in range(40):
+            shares, left = mixing.settle(keys, sizes, np.full(len(sizes), 0.4), seed)
+            assert left is None or sizes[left] <= 0.01 * 0.4 * sizes.sum()
+            assert ((shares > 0) & (shares < 1)).sum() == (left is not None)
 
 
 # ---- exact search

@@ -188,9 +188,7 @@ def meet(block, k: int, same: bool, own: bool):
                 if not len(wanted):
                     continue
                 shard = {name: np.frombuffer(batch.column(name)[i].as_buffer(), dtype=kind) for name, kind in (PARTS | {"ids": np.int64, "points": np.float64}).items()}
-                shard["centre"], shard["points"] = shard["centre"].reshape(-1, dim), shard["points"].reshape(-1, dim) if dim else np.zeros((len(shard["ids"]), 0))
-                if not dim:
-                    shard["centre"] = np.zeros((len(shard["low"]), 0))
+                shard["centre"], shard["points"] = shard["centre"].reshape(len(shard["low"]), dim), shard["points"].reshape(len(shard["ids"]), dim)
                 walk(shard, asked, wanted, same, state.setdefault(dim, Found(*asked["low"].shape, k)))
         for dim, found in state.items():
             q, w, place = np.nonzero(np.arange(k) < found.used[:, :, None])

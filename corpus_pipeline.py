@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; all but the last return the columns of
 `documents`. run() writes each stage's result to the shared folder and reads it again, so a lost executor never
 costs more than one stage.
+
+Defined cases: rows without a doc_id take part in every stage (in that of repeated passages they neither give nor lose any);
+texts are judged whole, however long; an empty table gives an empty result; further columns pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -48,22 +51,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8); wordless texts stay.
 
-    Rows that repeat a doc_id are judged by their own texts: of each group one row stays.
+    Rows that repeat a doc_id are judged by their own texts: of each group one row stays. Rows without a doc_id go if their
+    group has one; of a group of such rows only, one stays.
     """
     scratch, inner = Scratch(spark, "pipeline"), Scratch(spark, "minhash")
-    found = scratch.keep(minhash.near_duplicates(docs, width=WORDS, scratch=inner).select("doc_id", "cid", "component", "kept"), "judged")
+    found = scratch.keep(minhash.near_duplicates(docs, width=WORDS, scratch=inner).select("doc_id", "cid", "component", "component_id", "kept"), "judged")
     inner.close()
     again = scratch.keep(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "again")
     gone = scratch.keep(found.where("not kept").select(F.col("doc_id").alias("__gone")).unionByName(again.select(F.col("__again").alias("__gone"))).distinct(), "gone")
     few = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
     once = docs.join(few, docs["doc_id"] == few["__gone"], "left_anti").select(*docs.columns)
+    if not found.where("doc_id is null").isEmpty():
+        alone = found.where("doc_id is null and component_id is null and cid is not null").select("doc_id", "cid", "component", F.lit(True).alias("kept"))
+        once = once.where("doc_id is not null").unionByName(one_of_each(docs.where("doc_id is null"), alone))  # wordless ones count as one text
     if again.isEmpty():
         return once
     return once.unionByName(one_of_each(docs.join(again, docs["doc_id"] == again["__again"], "left_semi").select(*docs.columns), found.join(again, F.col("doc_id") == F.col("__again"), "left_semi")))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Of rows that repeat a doc_id, one for each kept group of near duplicates, and one for each wordless text."""
+    """Of rows that repeat a doc_id (or have none), one for each kept group of near duplicates, and one for each wordless text."""
     least = found.where("kept and cid is not null").groupBy(F.col("doc_id").alias("__id"), "component").agg(F.min("cid").alias("__class"))
     names = docs.columns
     at = names.index("text")
@@ -80,7 +87,7 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     rest = [c for c in names if c not in ("doc_id", "text")]
     rows = rows.groupBy("doc_id", "__cid", F.when(F.col("__cid").isNull(), F.col("text")).alias("__text")).agg(F.min(F.struct("text", *rest)).alias("__row"))
     rows = rows.select("doc_id", "__cid", "__row.*")
-    same = (rows["doc_id"] == least["__id"]) & (rows["__cid"] == least["__class"])
+    same = rows["doc_id"].eqNullSafe(least["__id"]) & (rows["__cid"] == least["__class"])
     return rows.where("__cid is null").select(*docs.columns).unionByName(rows.join(least, same, "left_semi").select(*docs.columns))
 
 

@@ -217,9 +217,10 @@ def test_no_word_is_marked_that_is_not_in_a_repeated_passage(spark):
         n = 50 if i % 2 else 49
         shared, i = prose(n), len(rows)
         head = RNG.randrange(3, 40)
-        rows += [(i, " ".join(prose(20) + shared + prose(20))), (i + 1, " ".join(prose(head) + shared + prose(25)))]
+        beside = [[f"{side}{i}{k}" for k in "xy"] for side in "ab"]  # the words at both ends differ
+        rows += [(i + k, " ".join(prose(before) + [beside[0][k]] + shared + [beside[1][k]] + prose(25))) for k, before in enumerate((20, head))]
         if n == 50:
-            want[i + 1] = [(head, head + 49)]
+            want[i + 1] = [(head + 1, head + 50)]
     got = {}
     for r in substring.repeated_passages(frame(spark, rows)).collect():
         got.setdefault(r["doc_id"], []).append((r["first_word"], r["last_word"]))

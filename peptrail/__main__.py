@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     ix = sub.add_parser("index", help="index a FASTA file")
     ix.add_argument("genome")
     ix.add_argument("index")
+    ix.add_argument("--byte-ranges", type=int, metavar="MB", help="read the file in ranges of so many MB, for sequence on long lines")
     ix.add_argument("--title", default="")
     ix.add_argument("--tag-size", type=int, default=5)
     ix.add_argument("--enzyme", default="RK|")
@@ -73,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
     spark, began = SparkSession.builder.appName("peptrail").getOrCreate(), time.time()
     if args.command == "index":
         cfg = IndexConfig(args.tag_size, args.enzyme, args.mass_precision, args.mass_bits, args.genetic_code, args.title or short_id(args.genome))
-        engine.build_index(fasta.read_blocks(spark, args.genome), args.index, cfg, short_id(args.index))
+        engine.build_index(fasta.read_blocks(spark, args.genome, ranges=args.byte_ranges and args.byte_ranges << 20), args.index, cfg, short_id(args.index))
     elif args.command == "check":
         index = engine.open_index(spark, args.index)
         bad, wrong = engine.verify_index(index).count(), engine.verify_directory(index).count()

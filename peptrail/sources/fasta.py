@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from peptrail.functions.mass import precursor_mass
 from peptrail.operators import translate
+from peptrail.sources.ranges import FastaSource
 from peptrail.sources.scratch import Scratch
 
 
@@ -92,13 +93,17 @@ def placed(found: DataFrame) -> DataFrame:
     return rows.select("file", "split", "piece", (F.col("before") + F.col("record") - 1).alias("scaffold_id"), at.alias("at"), "nt")
 
 
-def read_blocks(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, size: int | None = None, ranges: int | None = None) -> DataFrame:
     """scaffold_id, label, length, block, seq of FASTA files: scaffolds in blocks, as an index is built from; no row holds more than a block.
 
-    Scaffolds are numbered in order of file and place.
+    Scaffolds are numbered in order of file and place. Files are read by lines, or in byte ranges of so many bytes, for
+    lines of any length (see ranges.py).
     """
     size, scratch = size or translate.NT, Scratch(spark, "fasta")
-    found = scratch.keep(pieces(spark, path, size), "pieces")
+    if ranges:
+        spark.dataSource.register(FastaSource)
+    found = spark.read.format("fasta_ranges").options(size=size, bytes=ranges).load(path) if ranges else pieces(spark, path, size)
+    found = scratch.keep(found, "pieces")
     where = scratch.keep(placed(found), "places")
     rows = found.join(where, ["file", "split", "piece"])
     names = rows.groupBy("scaffold_id").agg(F.max("label").alias("label"), F.sum("nt").alias("length"))

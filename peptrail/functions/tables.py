@@ -71,6 +71,17 @@ def add_genetic_codes(codes: dict[int, tuple[str, str]]) -> None:
     codon_string.cache_clear()
 
 
+def code_of(definition: tuple[str, str], code: int) -> int:
+    """The id that (title, amino acids) has here: `code` if that is free or means the same, else another, so that no known code changes."""
+    if GENETIC_CODES.get(code) == definition:
+        return code
+    known = [k for k, d in GENETIC_CODES.items() if d == definition]
+    if not known:
+        known = [code if code not in GENETIC_CODES else max(GENETIC_CODES) + 1]
+        add_genetic_codes({known[0]: definition})
+    return known[0]
+
+
 def codon_table(code: int = 1) -> dict[str, str]:
     """Codon to amino acid for all 125 codons over ACGTN; N is a residue only where all completions agree, else X."""
     if code not in GENETIC_CODES:

@@ -1,7 +1,7 @@
 """The engine's own queries by name, and the equivalent SQL.
 
-`documents` stand for a genome and `benchmark` for a small one and for the source of query peptides; both are
-mapped from letters to nucleotides as whole texts.
+`documents` stand for a genome and `benchmark` for the source of query peptides; both are mapped from letters to
+nucleotides as whole texts.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.scaffolds_from_text(docs, "doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.col("doc_id").cast("string")))
 
 
-def small_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+def peptide_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.scaffolds_from_text(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", F.concat(F.lit("item-"), F.col("item_id").cast("string")))
 
 
@@ -60,7 +60,7 @@ def all_blocks(spark, sf_dir):
 
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, peptide, precursor_mass: runs of 8 residues or more between cleavage sites in the forward frames of benchmark texts."""
-    rows = translate.residues(small_genome(spark, sf_dir)).where("strand = '+' and span_id > 0").groupBy("scaffold_id", "frame", "span_id")
+    rows = translate.residues(peptide_genome(spark, sf_dir)).where("strand = '+' and span_id > 0").groupBy("scaffold_id", "frame", "span_id")
     text = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "aa"))), lambda r: r["aa"]), "").alias("peptide"))
     text = text.select("peptide").where(S.is_peptide("peptide") & (F.length("peptide") >= 8)).distinct()
     ranged = Scratch(spark, "peptides").keep(text.repartitionByRange("peptide").withColumn("part", F.spark_partition_id()), "ranged")
@@ -196,31 +196,31 @@ def split_codon(spark, sf_dir):
     return rows.select("scaffold_id", "split", codon.alias("codon"), S.translate_codon(codon).alias("aa"))
 
 
-SMALL_TAGS = "SELECT DISTINCT substr(orf, i + 1, 5) AS tag FROM orfs, LATERAL (SELECT unnest(range(CAST(greatest(length(orf) - 4, 0) AS BIGINT))) AS i)"
+ALL_TAGS = "SELECT DISTINCT substr(orf, i + 1, 5) AS tag FROM orfs, LATERAL (SELECT unnest(range(CAST(greatest(length(orf) - 4, 0) AS BIGINT))) AS i)"
 
 
-def small_tags(spark, sf_dir):
-    return translate.six_frame(small_genome(spark, sf_dir)).select(F.explode(S.overlapping(F.col("orf"), 5)).alias("tag")).distinct()
+def all_tags(spark, sf_dir):
+    return translate.six_frame(genome(spark, sf_dir)).select(F.explode(S.overlapping(F.col("orf"), 5)).alias("tag")).distinct()
 
 
 _code = " + ".join(f"(strpos('{T.TAG_LETTERS}', substr(replace(tag, 'I', 'L'), {i + 1}, 1)) - 1) * {19 ** (4 - i)}" for i in range(5))
 TAG_CODE = f"CASE WHEN regexp_full_match(tag, '[{O.RESIDUES}]{{5}}') THEN CAST({_code} AS BIGINT) ELSE CAST(-1 AS BIGINT) END"
 
 
-@query(O.chain("benchmark", O.RESIDUE_ROWS, O.ORFS, last=f"SELECT tag, {TAG_CODE} AS code FROM ({SMALL_TAGS})"))
+@query(O.chain("documents", O.RESIDUE_ROWS, O.ORFS, last=f"SELECT tag, {TAG_CODE} AS code FROM ({ALL_TAGS})"))
 def tag_code(spark, sf_dir):
-    return small_tags(spark, sf_dir).select("tag", S.tag_code("tag").alias("code"))
+    return all_tags(spark, sf_dir).select("tag", S.tag_code("tag").alias("code"))
 
 
-@query(O.chain("benchmark", O.RESIDUE_ROWS, O.ORFS, last=f"SELECT tag, replace(tag, 'I', 'L') AS decoded FROM ({SMALL_TAGS}) WHERE regexp_full_match(tag, '[{O.RESIDUES}]{{5}}')"))
+@query(O.chain("documents", O.RESIDUE_ROWS, O.ORFS, last=f"SELECT tag, replace(tag, 'I', 'L') AS decoded FROM ({ALL_TAGS}) WHERE regexp_full_match(tag, '[{O.RESIDUES}]{{5}}')"))
 def tag_decode(spark, sf_dir):
-    rows = small_tags(spark, sf_dir).withColumn("code", S.tag_code("tag")).where("code >= 0")
+    rows = all_tags(spark, sf_dir).withColumn("code", S.tag_code("tag")).where("code >= 0")
     return rows.select("tag", S.tag_decode("code", 5).alias("decoded"))
 
 
-@query(O.chain("benchmark", O.RESIDUE_ROWS, O.ORFS, last=f"SELECT tag, replace(tag, 'I', 'L') AS normal FROM ({SMALL_TAGS})"))
+@query(O.chain("documents", O.RESIDUE_ROWS, O.ORFS, last=f"SELECT tag, replace(tag, 'I', 'L') AS normal FROM ({ALL_TAGS})"))
 def il_normalize(spark, sf_dir):
-    return small_tags(spark, sf_dir).select("tag", S.il_normalize("tag").alias("normal"))
+    return all_tags(spark, sf_dir).select("tag", S.il_normalize("tag").alias("normal"))
 
 
 @query(f"WITH m(aa, mass) AS (VALUES {O.MASS_ROWS}) SELECT aa, CAST(mass AS BIGINT) AS mass FROM m")
@@ -329,18 +329,21 @@ def hmst_histogram_stats(spark, sf_dir):
     return translate.histogram_stats(translate.hmst(all_blocks(spark, sf_dir)))
 
 
-@query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last='SELECT tag, is_right, n, CAST(coalesce(sum(n) OVER (ORDER BY tag, is_right ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM (SELECT tag, is_right, count(*) AS n FROM hmst GROUP BY ALL)'))
+@query(O.chain("documents", O.RESIDUE_ROWS, O.SPANS, O.HMST, last='SELECT tag, is_right, n, CAST(coalesce(sum(n) OVER (ORDER BY tag, is_right ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM (SELECT tag, is_right, count(*) AS n FROM hmst GROUP BY ALL)'))
 def bucket_offsets(spark, sf_dir):
-    return translate.bucket_offsets(translate.histogram(translate.hmst(translate.all_blocks(small_genome(spark, sf_dir)))))
+    """The directory of the stored index."""
+    return stored_index(spark, sf_dir).directory.select("tag", "is_right", "n", "offset")
 
 
-@query(O.chain("benchmark", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="SELECT tag, is_right, CAST(half_mass AS BIGINT) AS half_mass, row_number() OVER (PARTITION BY tag, is_right ORDER BY half_mass) AS place FROM hmst"))
+@query(O.chain("documents", O.RESIDUE_ROWS, O.SPANS, O.HMST, last="""
+    SELECT tag, is_right, count(*) AS n, CAST(sum(place * half_mass) AS BIGINT) AS weighted, CAST(min(half_mass) AS BIGINT) AS least, CAST(max(half_mass) AS BIGINT) AS most
+    FROM (SELECT tag, is_right, half_mass, row_number() OVER (PARTITION BY tag, is_right ORDER BY half_mass) AS place FROM hmst) GROUP BY ALL"""))
 def index_sorted(spark, sf_dir):
-    """Postings by their stored place in each bucket, which is that by mass."""
-    index = engine.build_index(small_genome(spark, sf_dir), Scratch(spark, "index").path("small"))
-    stored = index.postings.withColumn("at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    """Lists of postings by their stored order, which is that by mass: sums of place times mass."""
+    stored = stored_index(spark, sf_dir).postings.withColumn("at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     place = F.row_number().over(Window.partitionBy("tag", "is_right").orderBy("at"))
-    return stored.select("tag", "is_right", "half_mass", place.cast("long").alias("place"))
+    rows = stored.select("tag", "is_right", "half_mass", place.alias("place")).groupBy("tag", "is_right")
+    return rows.agg(F.count("*").alias("n"), F.sum(F.col("place") * F.col("half_mass")).alias("weighted"), F.min("half_mass").alias("least"), F.max("half_mass").alias("most"))
 
 
 @query("SELECT '' AS tag, false AS is_right, CAST(0 AS BIGINT) AS n_descents WHERE false")
@@ -428,11 +431,13 @@ def splice_sites(spark, sf_dir):
     return rows.groupBy("scaffold_id", "strand", "motif").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"), F.min(F.concat("ahead", "behind")).alias("least"))
 
 
-@query(O.chain("benchmark", O.SITES, last="""
-    SELECT d.scaffold_id, d.strand, d.pos AS d_pos, a.pos AS a_pos, d.motif AS d_motif, a.motif AS a_motif, a.pos + 2 - d.pos AS intron_length
-    FROM sites d JOIN sites a ON d.scaffold_id = a.scaffold_id AND d.strand = a.strand AND d.motif IN ('GT', 'GC') AND a.motif = 'AG' AND a.pos - d.pos BETWEEN 0 AND 2099"""))
+@query(O.chain("documents", O.SITES, last="""
+    SELECT d.scaffold_id, d.strand, d.motif AS d_motif, a.motif AS a_motif, count(*) AS n, CAST(sum(a.pos + 2 - d.pos) AS BIGINT) AS length_sum, CAST(min(d.pos) AS BIGINT) AS first_donor, CAST(max(a.pos) AS BIGINT) AS last_acceptor
+    FROM sites d JOIN sites a ON d.scaffold_id = a.scaffold_id AND d.strand = a.strand AND d.motif IN ('GT', 'GC') AND a.motif = 'AG' AND a.pos - d.pos BETWEEN 0 AND 2099 GROUP BY ALL"""))
 def intron_candidates(spark, sf_dir):
-    return introns.intron_candidates(small_genome(spark, sf_dir))
+    """Pairs of motifs within reach, by strand."""
+    rows = introns.intron_candidates(genome(spark, sf_dir)).groupBy("scaffold_id", "strand", "d_motif", "a_motif")
+    return rows.agg(F.count("*").alias("n"), F.sum("intron_length").alias("length_sum"), F.min("d_pos").alias("first_donor"), F.max("a_pos").alias("last_acceptor"))
 
 
 @query(O.chain("documents", O.RESIDUE_ROWS, O.SITES, last="""
@@ -452,16 +457,18 @@ def intron_starts(spark, sf_dir):
 SPLIT = "SELECT query_id, query, aa_n_term, s.peptide, aa_c_term, CAST(mass AS DOUBLE) AS mass, assembly, intron_length, splice_site FROM split_alignments s JOIN numbered n ON n.peptide = s.query"
 
 
-@query(O.search_chain(O.query_tags(True), O.HITS, O.SITES, "wanted AS (SELECT peptide FROM peptides)", O.INTRONS, genome="benchmark", last=SPLIT))
+FOUND_SITES = "found AS (SELECT scaffold_id FROM anchors)", O.SITES.replace("FROM strands,", "FROM (SELECT * FROM strands WHERE scaffold_id IN (SELECT scaffold_id FROM found)) t,")
+
+
+@query(O.search_chain(O.query_tags(True), O.HITS, *FOUND_SITES, "wanted AS (SELECT peptide FROM peptides)", O.INTRONS, last=SPLIT))
 def split_alignments(spark, sf_dir):
-    """Intron-split alignments of all peptides against the small genome."""
-    cfg = SearchConfig(similarity_search=False, search_immediate=False, search_intron_split="yes")
-    return engine.search(engine.make_index(small_genome(spark, sf_dir)), peptides(spark, sf_dir), cfg)
+    """Intron-split alignments of all peptides against all documents."""
+    return searched(spark, sf_dir, SearchConfig(similarity_search=False, search_immediate=False, search_intron_split="yes"))
 
 
 @query(O.search_chain(
     O.query_tags(True), O.HITS, O.IMMEDIATE, "direct AS (SELECT * FROM alignments WHERE replace(peptide, 'I', 'L') = replace(query, 'I', 'L'))",
-    "found AS (SELECT scaffold_id FROM anchors)", O.SITES.replace("FROM strands,", "FROM (SELECT * FROM strands WHERE scaffold_id IN (SELECT scaffold_id FROM found)) t,"),
+    *FOUND_SITES,
     "wanted AS (SELECT peptide FROM peptides WHERE peptide NOT IN (SELECT query FROM direct))", O.INTRONS,
     last=SPLIT + " UNION ALL SELECT DISTINCT query_id, query, aa_n_term, d.peptide, aa_c_term, CAST(mass AS DOUBLE), assembly, CAST(NULL AS BIGINT), NULL FROM direct d JOIN numbered n ON n.peptide = d.query",
 ))

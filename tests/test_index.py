@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peptrail.functions.config import IndexConfig, SearchConfig
-from peptrail.functions.tables import fixed_masses
+from peptrail.functions.tables import GENETIC_CODES, codon_string, fixed_masses
 from peptrail.operators import translate
 from peptrail.operators.translate import all_blocks, hmst
 from peptrail.plans import engine
@@ -125,6 +125,23 @@ def test_offset_bits():
     assert [engine.buckets_for(n) for n in (0, 65_535, 65_536, 131_072, 10**12)] == [1, 1, 2, 4, 65_536]
 
 
+def test_an_index_keeps_its_genetic_code_to_itself(spark, tmp_path):
+    """An index whose code 1 is another one than here is read by its own, and code 1 stays what it is."""
+    genome = scaffolds(spark, "ATGGCAGCAGCAGCAGCAAAA")
+    title, aas = before = GENETIC_CODES[1]
+    try:
+        GENETIC_CODES[1] = title, aas.replace("A", "G")
+        codon_string.cache_clear()
+        engine.build_index(genome, str(tmp_path / "ix"))
+    finally:
+        GENETIC_CODES[1] = before
+        codon_string.cache_clear()
+    index = engine.open_index(spark, str(tmp_path / "ix"))
+    assert GENETIC_CODES[1] == before and GENETIC_CODES[index.config.genetic_code] == (title, aas.replace("A", "G"))
+    assert engine.open_index(spark, str(tmp_path / "ix")).config == index.config
+    assert index.postings.where("tag = 'GGGGG'").count() and not engine.make_index(genome).postings.where("tag = 'GGGGG'").count()
+
+
 def test_empty_genome(spark, tmp_path):
     index = engine.build_index(scaffolds(spark, "", "AC"), str(tmp_path / "ix"))
     assert index.totals["postings"] == 0 and engine.verify_directory(index).count() == 0

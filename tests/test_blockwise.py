@@ -67,3 +67,19 @@ def test_one_block_scaffolds_are_not_shuffled_by_span(genome):
     short = genome.where("length < 100")
     plan = translate.by_frame(short, B.span_masses, "span_id long", "n long, least long, most long, total long")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and plan.index("Union") < plan.index("Aggregate")
+
+
+@pytest.mark.parametrize("nt", [45, 24_576])
+def test_a_translated_genome_gives_what_an_index_gives(spark, monkeypatch, tmp_path, genome, nt):
+    from peptrail.functions.config import SearchConfig
+    from peptrail.plans import engine
+
+    monkeypatch.setattr(translate, "NT", nt)
+    index, ready = engine.build_index(genome, str(tmp_path / "index")), engine.translated(genome, str(tmp_path / "ready"))
+    first = translate.six_frame(genome).where("length > 300").selectExpr("explode(regexp_extract_all(orf, '([ACDEFGHILMNPQSTVWY]{8,20})', 1)) as peptide").distinct().limit(12)
+    queries = first.selectExpr("row_number() over (order by peptide) as query_id", "peptide", "cast(null as long) as precursor_mass")
+    cfg = SearchConfig()
+    want = rows(engine.find_hits(index, queries, cfg))
+    assert want and rows(engine.find_hits(ready, queries, cfg)) == want
+    monkeypatch.setattr(engine, "SMALL", 7)  # several passes
+    assert rows(engine.find_hits(ready, queries, cfg)) == want

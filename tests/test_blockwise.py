@@ -83,3 +83,13 @@ def test_a_translated_genome_gives_what_an_index_gives(spark, monkeypatch, tmp_p
     assert want and rows(engine.find_hits(ready, queries, cfg)) == want
     monkeypatch.setattr(engine, "SMALL", 7)  # several passes
     assert rows(engine.find_hits(ready, queries, cfg)) == want
+
+
+@pytest.mark.parametrize("nt", [45, 24_576])
+def test_pairs_by_donor(monkeypatch, genome, nt):
+    from peptrail.functions.config import SearchConfig
+
+    pairs = introns.intron_candidates(genome, SearchConfig(max_intron_length=40)).groupBy("scaffold_id", "strand", "d_pos", "d_motif")
+    want = rows(pairs.agg(F.count("*").alias("n"), F.sum("intron_length").alias("length_sum"), F.min("a_pos").alias("first_acceptor"), F.max("a_pos").alias("last_acceptor")))
+    monkeypatch.setattr(translate, "NT", nt)
+    assert rows(introns.reachable(genome, 40)) == want

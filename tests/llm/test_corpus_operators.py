@@ -101,6 +101,25 @@ def test_small_sets_are_compared_in_full(spark):
         assert sorted((r["a"], r["b"]) for r in found) == [(2 * i, 2 * i + 1) for i in range(5)]
 
 
+def test_large_sets_stay_out_of_the_buckets(spark, monkeypatch):
+    """Links within buckets are the same whether large sets are compared outside or, in crowded buckets, inside the join."""
+    rng, sets = np.random.default_rng(7), []
+    for family in range(6):
+        base = rng.integers(0, 2**63, 40 if family < 2 else 300, dtype=np.uint64)
+        for i in range(5):
+            s = base.copy()
+            s[rng.permutation(len(s))[: len(s) * i // 30]] = rng.integers(0, 2**63, len(s) * i // 30, dtype=np.uint64)
+            sets.append(np.unique(s))
+    want = [(i, j) for i, j in combinations(range(len(sets)), 2) if i // 5 % 2 == j // 5 % 2 and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    rows = spark.createDataFrame([(i, s.view(np.int64).tolist(), minhash.one_bits(minhash.sketch(s, minhash.FINE)).tolist()) for i, s in enumerate(sets)], "cid long, items array<long>, bits array<long>")
+    members = rows.select(F.explode(F.array((F.col("cid") / 5).cast("long") % 2, (F.col("cid") / 5).cast("long") % 2 + 2)).alias("bucket"), "cid", F.col("cid").alias("component"))
+    assert {r["cid"] for r in minhash.brief(rows, 80, 100).where("items is not null").collect()} == set(range(10))
+    for crowd in (32, 0):
+        monkeypatch.setattr(minhash, "CROWD", crowd)
+        for centres in (100, None):
+            assert sorted((r["a"], r["b"]) for r in minhash.links_inside(members, rows, 0.8, 80, 100, centres).collect()) == want
+
+
 def test_sketch_is_unbiased():
     rng = np.random.default_rng(2)
     for n in (12, 100, 2000):

@@ -235,6 +235,24 @@ def test_passages_of_frequent_lines(spark):
         assert len(want) >= 31 and all(want[k] <= got.get(k, set()) for k in want)
 
 
+def test_near_passages_of_frequent_lines(spark):
+    """Passages of 70 words, one of them changed, in texts that are made of the same 60 lines as all others."""
+    rng, want = random.Random(5), {}
+    lines = [[rng.choice(VOCABULARY) for _ in range(10)] for _ in range(60)]
+    some = lambda n: [w for _ in range(n) for w in rng.choice(lines)]
+    texts = {i: some(20) for i in range(500)}
+    for i in range(40):
+        first = some(7)
+        second = list(first)
+        second[rng.randrange(30, 40)] = "changed"
+        texts[1000 + i], texts[2000 + i] = some(5) + first + some(5), some(4) + second + some(6)
+        want[2000 + i] = set(range(40, 110))
+    rows, got = [(k, " ".join(t), 0, "", "", "") for k, t in texts.items()], {}
+    for r in substring.repeated_passages(frame(spark, rows).repartition(4)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["last_word"] + 1))
+    assert sum(w <= got.get(k, set()) for k, w in want.items()) >= 30
+
+
 def test_passages_with_a_block_inserted(spark):
     rng = random.Random(8)
 
